@@ -37,8 +37,8 @@ def extremes(df: DataFrame, weather: DataFrame | None = None, copies: Column | N
     times = copies if copies is not None else F.lit(1)
     base = base.select("temp", "wspd", times.alias("copies"))
     q = scalar_struct(base.agg(
-        F.percentile("temp", 0.9, "copies").alias("hot"), F.percentile("temp", 0.1, "copies").alias("cold"),
-        F.percentile("wspd", 0.9, "copies").alias("windy")))
+        F.percentile("temp", 0.9, F.col("copies")).alias("hot"), F.percentile("temp", 0.1, F.col("copies")).alias("cold"),
+        F.percentile("wspd", 0.9, F.col("copies")).alias("windy")))
     flag = lambda cond: F.when(cond, 1).otherwise(0)
     out = df.select("*", flag(F.col("temp") > q.getField("hot")).alias("is_hot"),
                     flag(F.col("temp") < q.getField("cold")).alias("is_cold"),

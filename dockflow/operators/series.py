@@ -46,7 +46,7 @@ def daily_series(hourly: DataFrame, time: str = "hour", value: str = "trip_count
     daily = hourly.groupBy(F.col(time).cast("date").alias("date")).agg(F.sum(value).alias(value))
     w = Window.orderBy("date")
     stop = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date"))
-    return (daily.withColumn("slot", F.explode(F.sequence("date", stop)))
+    return (daily.withColumn("stop", stop).withColumn("slot", F.explode(F.sequence("date", "stop")))
             .select(F.col("slot").alias("date"), F.when(F.col("slot") == F.col("date"), F.col(value)).otherwise(F.lit(0)).alias(value)))
 
 
@@ -179,18 +179,18 @@ def ffill_bfill(df: DataFrame, cols: list[str], order: str, part: str | None = N
 
 
 def history_before(series: DataFrame, requests: DataFrame, n: int = 168, key: str = "station_name", time: str = "time") -> DataFrame:
-    """The last n rows strictly before each requested (station, at); ``back`` is 1 for the newest.
+    """The last n rows strictly before each requested (station, at_time); ``back`` is 1 for the newest.
 
     Rows get their number within the station; a request finds the number of its last earlier row in the same ordered
     pass and asks for a fixed range of numbers, so requests meet rows by equality only.
     """
     rows = series.select(key, time, *[c for c in series.columns if c not in (key, time)])
     marks = (rows.select(key, F.col(time).alias("_t"), F.lit(1).alias("_row"))
-             .unionByName(requests.select(key, F.col("at").alias("_t"), F.lit(0).alias("_row")).distinct()))
+             .unionByName(requests.select(key, F.col("at_time").alias("_t"), F.lit(0).alias("_row")).distinct()))
     w = Window.partitionBy(key).orderBy("_t", "_row").rowsBetween(Window.unboundedPreceding, 0)
     marks = marks.withColumn("_upto", F.sum("_row").over(w))
     asked = (marks.where("_row = 0 and _upto > 0")
-             .select(key, F.col("_t").alias("at"), "_upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_upto") - (n - 1)), F.col("_upto"))).alias("_no"))
+             .select(key, F.col("_t").alias("at_time"), "_upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_upto") - (n - 1)), F.col("_upto"))).alias("_no"))
              .withColumn("back", (F.col("_upto") - F.col("_no") + 1).cast("int")).drop("_upto"))
     numbered = rows.withColumn("_no", F.row_number().over(_by(key, time)).cast("long"))
     return asked.join(numbered, [key, "_no"]).drop("_no")

@@ -17,11 +17,11 @@ from dockflow.session import small_side
 def forecast_features(requests: DataFrame, history: DataFrame) -> DataFrame:
     """One feature row per request and forecast hour: history features are those at the start for the whole horizon."""
     spark = requests.sparkSession
-    asked = requests.withColumnRenamed("start", "at")
-    past = history_before(history, asked.select("station_name", "at"))
-    static = serving_features(past, ["station_name", "at"]).join(latest_weather(past, ["station_name", "at"], WEATHER_DEFAULTS), ["station_name", "at"])
-    hours = horizon(requests).withColumn("at", F.col("start"))
-    rows = hours.join(static, ["station_name", "at"], "left")
+    asked = requests.withColumnRenamed("start", "at_time")
+    past = history_before(history, asked.select("station_name", "at_time"))
+    static = serving_features(past, ["station_name", "at_time"]).join(latest_weather(past, ["station_name", "at_time"], WEATHER_DEFAULTS), ["station_name", "at_time"])
+    hours = horizon(requests).withColumn("at_time", F.col("start"))
+    rows = hours.join(static, ["station_name", "at_time"], "left")
     cal = hour_columns(F.col("time"))
     cal.update(time_of_day=time_of_day(F.hour("time"), "serve"), season=season(F.month("time"), first=0),
                days_since_epoch=days_since_epoch(F.col("time"), "whole"), days_to_holiday=F.lit(7), days_since_holiday=F.lit(7))
@@ -30,7 +30,7 @@ def forecast_features(requests: DataFrame, history: DataFrame) -> DataFrame:
     rows = rows.withColumn("date", F.col("time").cast("date")).join(small_side(days), "date", "left")
     fill = {c: WEATHER_DEFAULTS.get(c, 0.0) for c in FEATURES if c not in cal and c != "is_holiday"}
     cols = {**cal, **{c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()}, "is_holiday": F.coalesce("is_holiday", F.lit(0))}
-    return rows.select("station_name", "at", "time", "step", *[cols[c].cast("double").alias(c) for c in FEATURES])
+    return rows.select("station_name", "at_time", "time", "step", *[cols[c].cast("double").alias(c) for c in FEATURES])
 
 
 def forecast_models(requests: DataFrame, history: DataFrame, models: dict, weights: DataFrame, scaler_x: DataFrame | None = None,
@@ -41,13 +41,13 @@ def forecast_models(requests: DataFrame, history: DataFrame, models: dict, weigh
         x = apply_standard(x, FEATURES, scaler_x)
     votes = None
     for name, model in models.items():
-        p = model.transform(x).select("station_name", "at", "time", "step", F.lit(name).alias("model"), "predicted")
+        p = model.transform(x).select("station_name", "at_time", "time", "step", F.lit(name).alias("model"), "predicted")
         votes = p if votes is None else votes.unionByName(p)
-    pred = ensemble(votes, weights, ["station_name", "at", "time", "step"])
+    pred = ensemble(votes, weights, ["station_name", "at_time", "time", "step"])
     value = F.col("predicted") if scaler_y is None else invert_standard(F.col("predicted"), scaler_y, "pickups", None)
     pred = pred.withColumn("predicted", F.greatest(value, F.lit(0.0)))
-    past = history_before(history, requests.select("station_name", F.col("start").alias("at")))
-    keys = ("station_name", "at")
+    past = history_before(history, requests.select("station_name", F.col("start").alias("at_time")))
+    keys = ("station_name", "at_time")
     return blend_hourly(calibrate(pred, past, keys=keys), past, keys=keys)
 
 

@@ -21,7 +21,7 @@ def get_spark(app: str = "dockflow", master: str | None = None, shuffle_partitio
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return prepare(builder.config("spark.ui.enabled", "false").getOrCreate())
+    return prepare(builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
