@@ -225,7 +225,7 @@ VIEWS["past"] = (("asked", "hourly"), """
 def asked(d: Data):
     from dockflow.catalog.base import station_name
     e = d.table("events").where(F.col("event_type").isin("error", "signup"))
-    return e.groupBy("user_id", "event_type").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("at_time")).select(station_name(F.col("user_id")).alias("station_name"), "at").distinct()
+    return e.groupBy("user_id", "event_type").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("at_time")).select(station_name(F.col("user_id")).alias("station_name"), "at_time").distinct()
 
 
 @query("history_before", "select station_name, at_time, time, back::int back, pickups from past", "past")

@@ -20,24 +20,19 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accurac
     A second pass counts the values below each bracket and keeps only those inside it: about 4n / accuracy rows plus
     copies, which are folded into counts before they are ordered. The result does not depend on the sketch.
     """
-    names = list(wanted)
     eps = 2.0 / accuracy
-    marks, rows = [], []
-    for name in names:
-        col, q = wanted[name]
-        marks += [F.percentile_approx(col, max(0.0, q - eps), accuracy).alias(f"{name}_lo"),
-                  F.percentile_approx(col, min(1.0, q + eps), accuracy).alias(f"{name}_hi"),
-                  F.min(col).alias(f"{name}_min"), F.max(col).alias(f"{name}_max"), F.count(col).alias(f"{name}_n")]
-    marks = scalar_struct(df.agg(*marks))
-    for name in names:
-        col, q = wanted[name]
-        lo = marks.getField(f"{name}_min") if q - eps <= 0 else marks.getField(f"{name}_lo")
-        hi = marks.getField(f"{name}_max") if q + eps >= 1 else marks.getField(f"{name}_hi")
-        rank = (marks.getField(f"{name}_n") - 1) * F.lit(float(q))
-        rows.append(F.struct(F.lit(name).alias("name"), F.col(col).cast("double").alias("v"), lo.cast("double").alias("lo"),
-                             hi.cast("double").alias("hi"), rank.alias("rank")))
-    long = (df.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("v is not null and v <= hi")
-            .withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v"))))
+    columns = sorted({c for c, _ in wanted.values()})
+    marks = []
+    for name, (col, q) in wanted.items():
+        lo = F.min(col) if q - eps <= 0 else F.percentile_approx(col, q - eps, accuracy)
+        hi = F.max(col) if q + eps >= 1 else F.percentile_approx(col, q + eps, accuracy)
+        marks.append(F.struct(F.lit(name).alias("name"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"),
+                              ((F.count(col) - 1) * F.lit(float(q))).alias("rank"), F.lit(columns.index(col) + 1).alias("at_col")))
+    brackets = df.agg(F.array(*marks).alias("m")).scalar()
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    long = (df.select(values.alias("values"), F.explode(brackets).alias("m"))
+            .select("m.name", "m.lo", "m.hi", "m.rank", F.element_at("values", F.col("m.at_col")).alias("v"))
+            .where("v is not null and v <= hi").withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v"))))
     counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
     w = Window.partitionBy("name").orderBy(F.col("v").asc_nulls_first())
     upto = counts.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -46,12 +41,21 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accurac
     low, high = F.floor("rank"), F.ceil("rank")
     found = upto.groupBy("name").agg(at(low).alias("a"), at(high).alias("b"), F.max(F.col("rank") - low).alias("f"))
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
-    return found.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in names])
+    return found.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted])
 
 
-def fill_median(df: DataFrame, cols: list[str], source: DataFrame | None = None) -> DataFrame:
+def bounded_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """The same for columns with few distinct values (counts of trips, one value per hour): one aggregate.
+
+    Its buffer holds one counter per distinct value, whatever the number of rows.
+    """
+    return df.agg(*[F.percentile(c, q).alias(name) for name, (c, q) in wanted.items()])
+
+
+def fill_median(df: DataFrame, cols: list[str], source: DataFrame | None = None, few_values: bool = False) -> DataFrame:
     """Replace nulls by the exact median of each column (of ``source`` if given)."""
-    med = scalar_struct(exact_quantiles(source if source is not None else df, {c: (c, 0.5) for c in cols}))
+    quantiles = bounded_quantiles if few_values else exact_quantiles
+    med = scalar_struct(quantiles(source if source is not None else df, {c: (c, 0.5) for c in cols}))
     out = [F.coalesce(F.col(c), med.getField(c)).alias(c) if c in cols else F.col(c) for c in df.columns]
     return df.select(*out)
 

@@ -59,22 +59,26 @@ def add_lags(df: DataFrame, col: str, lags: list[int], key: str | None = "statio
     return df.select("*", *[lagged(k).alias(f"lag_{k}h") for k in lags])
 
 
-def _extreme_chain(df: DataFrame, col: str, windows: list[int], w, pick, name: str) -> DataFrame:
-    """Sliding extremes over the previous rows, each window built from the next smaller one.
+def _sliding_extremes(col: str, windows: list[int], w) -> list[list[Column]]:
+    """Minimum and maximum over the previous rows, in steps: each window is built from the next smaller one.
 
     An extreme may use a value twice, so a window of n rows is the extreme of a few shifted smaller windows; the cost
     per row is the number of shifts instead of n. Rows before the start are null and are skipped by least/greatest.
     """
-    size, source = 1, None
+    steps, smaller = [], None
     for n in sorted(windows):
-        if source is None:
-            shifts = [F.lag(col, k).over(w) for k in range(1, n + 1)]
-        else:
-            starts = list(range(0, n - size, size)) + [n - size]
-            shifts = [F.col(source) if s == 0 else F.lag(source, s).over(w) for s in starts]
-        size, source = n, name.format(n)
-        df = df.withColumn(source, pick(*shifts) if len(shifts) > 1 else shifts[0])
-    return df
+        columns = []
+        for name, pick in (("min", F.least), ("max", F.greatest)):
+            if smaller is None:
+                parts = [F.lag(col, k).over(w) for k in range(1, n + 1)]
+            else:
+                source = f"roll_{name}_{smaller}h"
+                starts = [*range(0, n - smaller, smaller), n - smaller]
+                parts = [F.col(source) if s == 0 else F.lag(source, s).over(w) for s in starts]
+            columns.append((pick(*parts) if len(parts) > 1 else parts[0]).alias(f"roll_{name}_{n}h"))
+        steps.append(columns)
+        smaller = n
+    return steps
 
 
 def add_rolling(df: DataFrame, col: str, windows: list[int], key: str | None = "station_name", time: str = "time",
@@ -83,32 +87,32 @@ def add_rolling(df: DataFrame, col: str, windows: list[int], key: str | None = "
 
     For counts the mean and the deviation come from running sums and their lag, which stay exact in whole numbers and
     cost the same for every window length. Other columns use plain frames. ``std_fill`` replaces an undefined deviation.
+    All steps keep the partitioning and order of the first one: one shuffle, one sort.
     """
     w = _by(key, time)
-    upto = w.rowsBetween(Window.unboundedPreceding, -1)
     keep = df.columns
-    out = df
+    steps = _sliding_extremes(col, windows, w)
     if whole_numbers:
-        x = F.col(col).cast("long")
-        out = out.select("*", F.sum(x).over(upto).alias("_s1"), F.sum(x * x).over(upto).alias("_s2"), F.count(col).over(upto).alias("_n"))
-        new = []
+        x, upto = F.col(col).cast("long"), w.rowsBetween(Window.unboundedPreceding, -1)
+        out = df.select("*", *steps[0], F.sum(x).over(upto).alias("_s1"), F.sum(x * x).over(upto).alias("_s2"), F.count(col).over(upto).alias("_n"))
+        stats = []
         for n in windows:
             s1, s2, m = (F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0)) for c in ("_s1", "_s2", "_n"))
-            var = (m * s2 - s1 * s1) / F.nullif(m * (m - 1), F.lit(0))
-            new += [(s1 / F.nullif(m, F.lit(0))).alias(f"roll_mean_{n}h"), F.sqrt(var).alias(f"roll_std_{n}h")]
-        out = out.select("*", *new)
+            stats += [s1.alias(f"_s1_{n}"), s2.alias(f"_s2_{n}"), m.alias(f"_n_{n}")]
     else:
-        new = []
+        out, stats = df.select("*", *steps[0]), []
         for n in windows:
             frame = w.rowsBetween(-n, -1)
-            new += [F.avg(col).over(frame).alias(f"roll_mean_{n}h"), F.stddev_samp(col).over(frame).alias(f"roll_std_{n}h")]
-        out = out.select("*", *new)
-    out = _extreme_chain(out, col, windows, w, F.least, "roll_min_{}h")
-    out = _extreme_chain(out, col, windows, w, F.greatest, "roll_max_{}h")
+            stats += [F.avg(col).over(frame).alias(f"roll_mean_{n}h"), F.stddev_samp(col).over(frame).alias(f"roll_std_{n}h")]
+    later = steps[1:] or [[]]
+    for i, step in enumerate(later):
+        out = out.select("*", *step, *(stats if i == 0 else []))
     final = []
     for n in windows:
+        s1, s2, m = F.col(f"_s1_{n}"), F.col(f"_s2_{n}"), F.col(f"_n_{n}")
+        exact = {"mean": s1 / F.nullif(m, F.lit(0)), "std": F.sqrt((m * s2 - s1 * s1) / F.nullif(m * (m - 1), F.lit(0)))} if whole_numbers else {}
         for stat in ("mean", "std", "min", "max"):
-            c = F.col(f"roll_{stat}_{n}h")
+            c = exact.get(stat, F.col(f"roll_{stat}_{n}h"))
             if stat == "std" and std_fill is not None:
                 c = F.coalesce(c, F.lit(std_fill))
             elif zero_fill:
@@ -121,8 +125,8 @@ def ema(df: DataFrame, col: str, span: int, out: str, key: str = "station_name",
     """Exponential average of the previous values: y0 = x0, then y = a x + (1 - a) y with a = 2 / (span + 1).
 
     The recurrence is cut into blocks. Inside a block it is a running sum of scaled values; the block length is chosen so
-    that the scale stays below 1e9. The state carried over block borders needs three earlier blocks: the weight of a
-    fourth is below 1e-27. All windows are partitioned by station, so one shuffle serves them.
+    that the scale stays below 1e9. The state carried over block borders needs two earlier blocks: the weight of a third is
+    below 1e-18, less than the precision of a double. All windows are partitioned by station, so one shuffle serves them.
     """
     a = 2.0 / (span + 1)
     q = 1.0 - a
@@ -138,7 +142,7 @@ def ema(df: DataFrame, col: str, span: int, out: str, key: str = "station_name",
     before = Window.partitionBy(key).orderBy("_b", "_k").rowsBetween(Window.unboundedPreceding, -1)
     at_end = (F.col("_k") == block - 1) & (F.col("_i") >= 0)
     carry = F.lit(0.0)
-    for step in range(3):
+    for step in range(2):
         rows = rows.withColumn(f"_c{step}", F.last(F.when(at_end, F.col("_loc") + F.lit(q ** block) * carry), True).over(before))
         carry = F.coalesce(F.col(f"_c{step}"), F.lit(0.0))
     value = F.when(F.col("_i") >= 0, F.col("_loc") + carry * F.pow(F.lit(q), F.col("_k") + 1))

@@ -12,12 +12,16 @@ from dockflow.operators.quantiles import fill_median
 from dockflow.operators.rollups import station_hourly, station_quality, top_stations
 from dockflow.operators.series import add_lags, add_rolling, densify, ema, ffill_bfill
 from dockflow.schemas import EMA_SPAN, FEATURES, LAGS, ROLLING
-from dockflow.session import small_side
+from dockflow.session import small_side, stage
 
 
 def kept_series(trips: DataFrame, n_stations: int) -> DataFrame:
-    """Hourly series of the best stations by quality."""
-    series = station_hourly(trips)
+    """Hourly series of the best stations by quality.
+
+    The series is staged: the trips, by far the largest table, are read once, and everything that follows (quality, ends
+    of the grid, hours, windows) starts from the much smaller table of station hours.
+    """
+    series = stage(station_hourly(trips), "station-hourly")
     return keep_stations(series, top_stations(station_quality(series), n_stations))
 
 
@@ -39,8 +43,9 @@ def hour_features(series: DataFrame, weather: DataFrame, with_extremes: bool = F
     years = series.agg(F.year(F.min("time")).alias("a"), F.year(F.max("time")).alias("b")).first()
     first, last = (years["a"], years["b"]) if years and years["a"] else (2020, 2020)
     filled = ffill_bfill(weather.select("time", *measures), measures, "time")
-    hourly = fill_median(hours.join(filled, "time", "left"), measures)
-    out = hourly.join(hour_dimension(hours, holiday_table(spark, first - 1, last + 1)), "time")
+    hourly = stage(hours.join(filled, "time", "left"), "hour-weather")
+    out = fill_median(hourly, measures, few_values=True)
+    out = out.join(hour_dimension(hours, holiday_table(spark, first - 1, last + 1)), "time")
     if with_extremes:
         copies = series.agg(F.count_distinct("station_name")).scalar()
         out = extremes(interactions(out), out, copies)
@@ -71,6 +76,6 @@ def training_rows(features: DataFrame) -> DataFrame:
 
 def evaluation_features(trips: DataFrame, weather: DataFrame) -> DataFrame:
     """Variant used for out-of-sample tests: sparse series (lags are previous rows), undefined history as 0 (deviation 1)."""
-    series = station_hourly(trips)
+    series = stage(station_hourly(trips), "station-hourly")
     history = ema(add_rolling(add_lags(series, "pickups", LAGS, fill=0), "pickups", ROLLING, zero_fill=True), "pickups", EMA_SPAN, f"ema_{EMA_SPAN}h", fill=0.0)
     return history.join(small_side(hour_features(series, weather)), "time", "left")

@@ -30,6 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # window work per row is heavy: small shuffles keep enough partitions to use all cores (no effect on large ones)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     return spark
 
 
