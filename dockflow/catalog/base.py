@@ -33,9 +33,9 @@ class Data:
         """Hourly weather with gaps, from the values of three event types."""
         kind, v = F.col("event_type"), F.col("value")
         return (self.table("events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"))
-                .agg((F.avg(F.when(kind == "view", v)) / 5.0).alias("temp"),
-                     (F.sum(F.when(kind == "error", v).otherwise(0.0)) / 100.0).alias("prcp"),
-                     (F.avg(F.when(kind == "click", v)) / 10.0).alias("wspd")))
+                .agg((F.avg(F.when(kind == "view", v)) / 4.9).alias("temp"),
+                     (F.sum(F.when(kind == "error", v).otherwise(0.0)) / 97.0).alias("prcp"),
+                     (F.avg(F.when(kind == "click", v)) / 9.7).alias("wspd")))
 
     def points(self) -> DataFrame:
         """One weighted point per event, scattered over the area of the stations."""
@@ -60,7 +60,7 @@ class Data:
     def day_weather(self) -> DataFrame:
         """Daily weather of the order days, from prices."""
         return (self.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("date"))
-                .agg((F.avg("o_totalprice") / 10000.0).alias("temp"), (F.min("o_totalprice") / 10000.0).alias("prcp")))
+                .agg((F.avg("o_totalprice") / 9973.0).alias("temp"), (F.min("o_totalprice") / 9973.0).alias("prcp")))
 
 
 STATUS_ORDER = ["last_reported", "ord", "ebikes", "bikes", "docks"]
@@ -95,8 +95,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "stations": ((), """
         select distinct 'station ' || user_id station_name, 40.70 + (user_id%15)*5E-3 lat, -74.02 + floor(user_id/15)*5E-3 lon from events"""),
     "weather": ((), """
-        select date_trunc('hour',ts) time, avg(case when event_type='view' then value end)/5E0 temp,
-               sum(case when event_type='error' then value else 0E0 end)/100E0 prcp, avg(case when event_type='click' then value end)/10E0 wspd
+        select date_trunc('hour',ts) time, avg(case when event_type='view' then value end)/4.9E0 temp,
+               sum(case when event_type='error' then value else 0E0 end)/97E0 prcp, avg(case when event_type='click' then value end)/9.7E0 wspd
         from events group by 1"""),
     "points": ((), """
         select event_id point_id, 40.70E0 + (event_id%997)*1E-3 lat, -74.02E0 + (event_id%1009)*5E-4 lon, event_type kind,
@@ -123,7 +123,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         from (select distinct station_name from kept) s cross join spine t left join kept k on k.station_name=s.station_name and k.time=t.time"""),
     "order_days": ((), "select o_orderdate as hour, count(*) trip_count from orders group by 1"),
     "day_weather": ((), """
-        select cast(o_orderdate as date) date, avg(o_totalprice)/1E4 temp, min(o_totalprice)/1E4 prcp from orders group by 1"""),
+        select cast(o_orderdate as date) date, avg(o_totalprice)/9973E0 temp, min(o_totalprice)/9973E0 prcp from orders group by 1"""),
     "daily": (("order_days",), """
         select cast(d as date) date, coalesce(n,0) trip_count from
           (select unnest(range(min(cast(hour as date)), max(cast(hour as date)) + interval 1 day, interval 1 day)) d from order_days)

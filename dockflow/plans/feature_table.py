@@ -53,8 +53,11 @@ def hour_features(series: DataFrame, weather: DataFrame, with_extremes: bool = F
 
 
 def add_history(grid: DataFrame, col: str = "pickups") -> DataFrame:
-    """Lags, rolling statistics and exponential average; one shuffle by station for all of them."""
-    return ema(add_rolling(add_lags(grid, col, LAGS), col, ROLLING), col, EMA_SPAN, f"ema_{EMA_SPAN}h")
+    """Lags, rolling statistics and exponential average; one shuffle by station for all of them.
+
+    The average comes first: it orders rows twice, which is cheaper while they are narrow.
+    """
+    return add_rolling(add_lags(ema(grid, col, EMA_SPAN, f"ema_{EMA_SPAN}h"), col, LAGS), col, ROLLING)
 
 
 def feature_table(trips: DataFrame, weather: DataFrame, n_stations: int = 200, with_extremes: bool = False, series: DataFrame | None = None) -> DataFrame:
@@ -77,5 +80,6 @@ def training_rows(features: DataFrame) -> DataFrame:
 def evaluation_features(trips: DataFrame, weather: DataFrame) -> DataFrame:
     """Variant used for out-of-sample tests: sparse series (lags are previous rows), undefined history as 0 (deviation 1)."""
     series = stage(station_hourly(trips), "station-hourly")
-    history = ema(add_rolling(add_lags(series, "pickups", LAGS, fill=0), "pickups", ROLLING, zero_fill=True), "pickups", EMA_SPAN, f"ema_{EMA_SPAN}h", fill=0.0)
+    history = ema(series, "pickups", EMA_SPAN, f"ema_{EMA_SPAN}h", fill=0.0)
+    history = add_rolling(add_lags(history, "pickups", LAGS, fill=0), "pickups", ROLLING, zero_fill=True)
     return history.join(small_side(hour_features(series, weather)), "time", "left")
