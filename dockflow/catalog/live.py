@@ -9,12 +9,12 @@ from dockflow.streaming import live
 
 def trip_stream(d: Data):
     schema = d.table("events").schema
-    return trips_from_events(live.read_stream(d.spark, f"{d.folder}/events.parquet", schema))
+    return trips_from_events(live.read_stream(d.spark, f"{d.folder}/events.parquet*", schema))
 
 
 def status_stream(d: Data):
     schema = d.table("lineitem").schema
-    return live.read_stream(d.spark, f"{d.folder}/lineitem.parquet", schema)
+    return live.read_stream(d.spark, f"{d.folder}/lineitem.parquet*", schema)
 
 
 def naive(df, *cols):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dockflow.catalog.base import Data, VIEWS, query, rounded
 from dockflow.catalog.timeline import grid
 from dockflow.operators import anomalies, quantiles, rollups, series
+from dockflow.session import stage
 
 VIEWS["prices"] = ((), "select o_orderkey, o_totalprice * case when o_orderkey % 97 = 0 then 9 else 1 end v from orders")
 VIEWS["flags"] = (("prices",), """
@@ -14,9 +15,13 @@ VIEWS["flags"] = (("prices",), """
 VIEWS["outliers"] = (("flags",), "select *, (iqr_outlier + z_outlier + mad_outlier >= 2)::int is_outlier from flags")
 
 
+def prices(d: Data):
+    return d.table("orders").select("o_orderkey", (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 97 == 0, 9).otherwise(1)).alias("v"))
+
+
 def flagged(d: Data):
-    o = d.table("orders").select("o_orderkey", (F.col("o_totalprice") * F.when(F.col("o_orderkey") % 97 == 0, 9).otherwise(1)).alias("v"))
-    out = anomalies.mad_flag(anomalies.zscore_flag(anomalies.iqr_flag(o, "v"), "v"), "v")
+    o = prices(d)
+    out = anomalies.mad_flag(anomalies.zscore_flag(anomalies.iqr_flag(o, "v", source=o), "v", source=o), "v", source=o)
     return anomalies.consensus(out, ["iqr_outlier", "z_outlier", "mad_outlier"])
 
 
@@ -32,21 +37,21 @@ def _(d: Data):
 
 @query("outliers_capped", "select o_orderkey, round(case when is_outlier=1 then greatest(lo, least(hi, v)) else v end,4) v from outliers", "outliers")
 def _(d: Data):
-    return rounded(anomalies.cap_outliers(flagged(d), "v").select("o_orderkey", "v"), 4)
+    return rounded(anomalies.cap_outliers(flagged(d), "v", source=prices(d)).select("o_orderkey", "v"), 4)
 
 
 @query("outlier_box_stats", """
     select is_outlier, round(min(v),4) "min", round(quantile_cont(v,0.25),4) q25, round(quantile_cont(v,0.5),4) q50, round(quantile_cont(v,0.75),4) q75, round(max(v),4) "max" from outliers group by 1""", "outliers")
 def _(d: Data):
-    return rounded(quantiles.box_stats(flagged(d), "v", "is_outlier"), 4)
+    return rounded(quantiles.box_stats(stage(flagged(d), "flagged"), "v", "is_outlier", [0, 1]), 4)
 
 
 @query("net_demand_outliers", """
     with q as (select quantile_cont(n,0.25) q1, quantile_cont(n,0.75) q3, avg(n) a, stddev_pop(n) s from (select abs(net_demand) n from hourly))
     select station_name, time, (abs(net_demand) < q1-4*(q3-q1) or abs(net_demand) > q3+4*(q3-q1))::int iqr_outlier, (abs((abs(net_demand)-a)/s) > 4)::int z_outlier from hourly, q""", "hourly")
 def _(d: Data):
-    s = rollups.station_hourly(d.trips()).select("station_name", "time", F.abs("net_demand").cast("double").alias("n"))
-    return anomalies.zscore_flag(anomalies.iqr_flag(s, "n"), "n").drop("n")
+    s = stage(rollups.station_hourly(d.trips()), "station-hourly").select("station_name", "time", F.abs("net_demand").cast("double").alias("n"))
+    return anomalies.zscore_flag(anomalies.iqr_flag(s, "n", source=s), "n", source=s).drop("n")
 
 
 @query("isolation_forest")

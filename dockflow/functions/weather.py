@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.operators.quantiles import scalar_struct
+from dockflow.operators.quantiles import attach
 
 # What a missing measurement counts as, and the rain classes in mm per hour.
 WEATHER_DEFAULTS = {"temp": 15.0, "prcp": 0.0, "wspd": 5.0}
@@ -36,14 +36,12 @@ def extremes(df: DataFrame, weather: DataFrame | None = None, copies: Column | N
     base = weather if weather is not None else df
     times = copies if copies is not None else F.lit(1)
     base = base.select("temp", "wspd", times.alias("copies"))
-    q = scalar_struct(base.agg(
-        F.percentile("temp", 0.9, F.col("copies")).alias("hot"), F.percentile("temp", 0.1, F.col("copies")).alias("cold"),
-        F.percentile("wspd", 0.9, F.col("copies")).alias("windy")))
+    q = base.agg(F.percentile("temp", 0.9, F.col("copies")).alias("hot"), F.percentile("temp", 0.1, F.col("copies")).alias("cold"),
+                 F.percentile("wspd", 0.9, F.col("copies")).alias("windy"))
     flag = lambda cond: F.when(cond, 1).otherwise(0)
-    out = df.select("*", flag(F.col("temp") > q.getField("hot")).alias("is_hot"),
-                    flag(F.col("temp") < q.getField("cold")).alias("is_cold"),
-                    flag(F.col("prcp") > 1.0).alias("is_rainy"),
-                    flag(F.col("wspd") > q.getField("windy")).alias("is_windy"))
+    out = attach(df, q).select(
+        "*", flag(F.col("temp") > F.col("_s.hot")).alias("is_hot"), flag(F.col("temp") < F.col("_s.cold")).alias("is_cold"),
+        flag(F.col("prcp") > 1.0).alias("is_rainy"), flag(F.col("wspd") > F.col("_s.windy")).alias("is_windy")).drop("_s")
     return out.withColumn("bad_weather", F.greatest("is_rainy", "is_cold", "is_windy"))
 
 

@@ -9,40 +9,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.operators.quantiles import exact_quantiles, fill_median, scalar_struct
+from dockflow.operators.quantiles import attach, exact_quantiles, fill_median, scalar_struct
 from dockflow.operators.ranking import sample_fraction, sample_rows
 
 
 def daily_anomalies(daily: DataFrame, k: float = 2.0, value: str = "trip_count") -> DataFrame:
     """Days whose z-score (n - 1) over the result exceeds k in size."""
-    m = scalar_struct(daily.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")))
-    z = (F.col(value) - m.getField("mean")) / F.nullif(m.getField("std"), F.lit(0.0))
-    return daily.withColumn("z_score", z).where(F.abs("z_score") > k)
+    m = daily.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    z = (F.col(value) - F.col("_s.mean")) / F.nullif(F.col("_s.std"), F.lit(0.0))
+    return attach(daily, m).withColumn("z_score", z).drop("_s").where(F.abs("z_score") > k)
 
 
-def iqr_flag(df: DataFrame, col: str, k: float = 4.0, name: str = "iqr_outlier") -> DataFrame:
-    """1 outside the quartiles by more than k interquartile ranges."""
-    q = scalar_struct(exact_quantiles(df, {"q1": (col, 0.25), "q3": (col, 0.75)}))
-    q1, q3 = q.getField("q1"), q.getField("q3")
+def iqr_flag(df: DataFrame, col: str, k: float = 4.0, name: str = "iqr_outlier", source: DataFrame | None = None) -> DataFrame:
+    """1 outside the quartiles by more than k interquartile ranges; ``source`` is the table the quartiles come from."""
+    q = exact_quantiles(df if source is None else source, {"q1": (col, 0.25), "q3": (col, 0.75)})
+    q1, q3 = F.col("_s.q1"), F.col("_s.q3")
     out = (F.col(col) < q1 - k * (q3 - q1)) | (F.col(col) > q3 + k * (q3 - q1))
-    return df.withColumn(name, F.when(out, 1).otherwise(0))
+    return attach(df, q).withColumn(name, F.when(out, 1).otherwise(0)).drop("_s")
 
 
-def zscore_flag(df: DataFrame, col: str, k: float = 4.0, name: str = "z_outlier") -> DataFrame:
+def zscore_flag(df: DataFrame, col: str, k: float = 4.0, name: str = "z_outlier", source: DataFrame | None = None) -> DataFrame:
     """1 where the z-score with the population deviation exceeds k; nulls count as the median."""
-    filled = F.coalesce(F.col(col).cast("double"), exact_quantiles(df, {"m": (col, 0.5)}).scalar())
-    base = df.select(filled.alias("v"))
-    m = scalar_struct(base.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")))
-    z = F.abs((filled - m.getField("mean")) / F.nullif(m.getField("std"), F.lit(0.0)))
-    return df.withColumn(name, F.when(z > k, 1).otherwise(0))
-
-
-def mad_flag(df: DataFrame, col: str, k: float = 6.0, name: str = "mad_outlier") -> DataFrame:
+    base = (df if source is None else source).select(F.col(col).cast("double").alias("v"))
+    med = exact_quantiles(base, {"med": ("v", 0.5)})
+    # mean and deviation with the nulls at the median, from the sums of the present values: no second filled pass
+    n, present, s1, s2 = F.count(F.lit(1)), F.count("v"), F.avg("v"), F.var_pop("v")
+    one = attach(base.agg(n.alias("n"), present.alias("p"), s1.alias("a"), s2.alias("b")), med)
+    share = F.col("p") / F.col("n")
+    mean = F.col("a") * share + F.col("_s.med") * (1 - share)
+    var = share * (F.col("b") + F.pow(F.col("a") - mean, F.lit(2))) + (1 - share) * F.pow(F.col("_s.med") - mean, F.lit(2))
+    stats = one.select(mean.alias("mean"), F.sqrt(var).alias("std"), F.col("_s.med").alias("med"))
+    z = F.abs((F.coalesce(F.col(col).cast("double"), F.col("_s.med")) - F.col("_s.mean")) / F.nullif(F.col("_s.std"), F.lit(0.0)))
+    return attach(df, stats).withColumn(name, F.when(z > k, 1).otherwise(0)).drop("_s")
+
+
+def mad_flag(df: DataFrame, col: str, k: float = 6.0, name: str = "mad_outlier", source: DataFrame | None = None) -> DataFrame:
     """1 where the distance from the median exceeds k scaled median absolute deviations."""
-    med = exact_quantiles(df, {"m": (col, 0.5)}).scalar()
-    dev = df.select(F.abs(F.col(col) - med).alias("d"))
-    mad = exact_quantiles(dev, {"m": ("d", 0.5)}).scalar()
-    return df.withColumn(name, F.when(F.abs(F.col(col) - med) > F.lit(k * 1.4826) * mad, 1).otherwise(0))
+    base = (df if source is None else source).select(F.col(col).cast("double").alias("v"))
+    med = exact_quantiles(base, {"med": ("v", 0.5)})
+    dev = attach(base, med).select(F.abs(F.col("v") - F.col("_s.med")).alias("d"))
+    stats = attach(exact_quantiles(dev, {"mad": ("d", 0.5)}), med).select("mad", F.col("_s.med").alias("med"))
+    out = F.abs(F.col(col) - F.col("_s.med")) > F.lit(k * 1.4826) * F.col("_s.mad")
+    return attach(df, stats).withColumn(name, F.when(out, 1).otherwise(0)).drop("_s")
 
 
 def consensus(df: DataFrame, flags: list[str], least: int = 2) -> DataFrame:
@@ -55,12 +63,12 @@ def remove_outliers(df: DataFrame, flag: str = "is_outlier") -> DataFrame:
     return df.where(F.col(flag) == 0)
 
 
-def cap_outliers(df: DataFrame, col: str, flag: str = "is_outlier", low: float = 0.01, high: float = 0.99) -> DataFrame:
+def cap_outliers(df: DataFrame, col: str, flag: str = "is_outlier", low: float = 0.01, high: float = 0.99, source: DataFrame | None = None) -> DataFrame:
     """Outliers are limited to the outer quantiles instead of removed."""
-    q = scalar_struct(exact_quantiles(df, {"lo": (col, low), "hi": (col, high)}))
+    q = exact_quantiles(df if source is None else source, {"lo": (col, low), "hi": (col, high)})
     v = F.col(col).cast("double")
-    capped = F.greatest(q.getField("lo"), F.least(q.getField("hi"), v))
-    return df.withColumn(col, F.when(F.col(flag) == 1, capped).otherwise(v))
+    capped = F.greatest(F.col("_s.lo"), F.least(F.col("_s.hi"), v))
+    return attach(df, q).withColumn(col, F.when(F.col(flag) == 1, capped).otherwise(v)).drop("_s")
 
 
 # ---------------------------------------------------------------------------------------------------------------------

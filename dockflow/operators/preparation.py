@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.operators.quantiles import exact_quantiles, scalar_struct
+from dockflow.operators.quantiles import attach, exact_quantiles, scalar_struct
 
 
 def fit_standard(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -18,8 +18,8 @@ def fit_standard(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_standard(df: DataFrame, cols: list[str], fitted: DataFrame) -> DataFrame:
-    m = scalar_struct(fitted)
-    return df.select(*[((F.col(c) - m.getField(f"{c}_mean")) / m.getField(f"{c}_scale")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    scaled = {c: (F.col(c) - F.col(f"_s.{c}_mean")) / F.col(f"_s.{c}_scale") for c in cols}
+    return attach(df, fitted).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
 def invert_standard(col: Column, fitted: DataFrame, name: str, floor: float | None = 0.0) -> Column:
@@ -38,17 +38,17 @@ def merge_standard(parts: DataFrame, group: list[str] | None = None) -> DataFram
 
 
 def scale_minmax(df: DataFrame, col: str, low: float = 0.0, high: float = 1.0, out: str | None = None) -> DataFrame:
-    m = scalar_struct(df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")))
-    lo, hi = m.getField("lo"), m.getField("hi")
+    ends = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
     unit = (F.col(col) - lo) / F.when(hi > lo, hi - lo).otherwise(1.0)
-    return df.withColumn(out or col, unit * (high - low) + low)
+    return attach(df, ends).withColumn(out or col, unit * (high - low) + low).drop("_s")
 
 
 def scale_robust(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Distance from the median in interquartile ranges."""
-    q = scalar_struct(exact_quantiles(df, {"q1": (col, 0.25), "q2": (col, 0.5), "q3": (col, 0.75)}))
-    iqr = q.getField("q3") - q.getField("q1")
-    return df.withColumn(out or col, (F.col(col) - q.getField("q2")) / F.when(iqr > 0, iqr).otherwise(1.0))
+    q = exact_quantiles(df, {"q1": (col, 0.25), "q2": (col, 0.5), "q3": (col, 0.75)})
+    iqr = F.col("_s.q3") - F.col("_s.q1")
+    return attach(df, q).withColumn(out or col, (F.col(col) - F.col("_s.q2")) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("_s")
 
 
 def row_cuts(df: DataFrame, cuts: dict[str, Column], time: str = "time", key: str = "station_name") -> DataFrame:

@@ -13,6 +13,14 @@ def scalar_struct(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
 
 
+def attach(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame:
+    """Add a one-row frame as a struct column, so that several expressions share one subquery; drop it after use.
+
+    Take the row from the original table rather than from a frame that carries other subqueries: plans stay small.
+    """
+    return df.withColumn(name, scalar_struct(one_row))
+
+
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accuracy: int = ACCURACY) -> DataFrame:
     """One row with exact, linearly interpolated quantiles; ``wanted`` maps output name to (column, quantile).
 
@@ -55,39 +63,34 @@ def bounded_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Da
 def fill_median(df: DataFrame, cols: list[str], source: DataFrame | None = None, few_values: bool = False) -> DataFrame:
     """Replace nulls by the exact median of each column (of ``source`` if given)."""
     quantiles = bounded_quantiles if few_values else exact_quantiles
-    med = scalar_struct(quantiles(source if source is not None else df, {c: (c, 0.5) for c in cols}))
-    out = [F.coalesce(F.col(c), med.getField(c)).alias(c) if c in cols else F.col(c) for c in df.columns]
-    return df.select(*out)
+    med = quantiles(source if source is not None else df, {c: (c, 0.5) for c in cols})
+    out = [F.coalesce(F.col(c), F.col(f"_s.{c}")).alias(c) if c in cols else F.col(c) for c in df.columns]
+    return attach(df, med).select(*out)
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum."""
-    q = scalar_struct(exact_quantiles(df, {"q25": (col, 0.25), "q50": (col, 0.5), "q75": (col, 0.75)}))
+    q = exact_quantiles(df, {"q25": (col, 0.25), "q50": (col, 0.5), "q75": (col, 0.75)})
     one = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                  F.min(col).alias("min"), F.max(col).alias("max"))
-    return one.select("*", *[q.getField(c).alias(c) for c in ("q25", "q50", "q75")])
+    return attach(one, q).select("*", "_s.*").drop("_s")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last bin is closed on the right. Empty bins are not listed."""
-    ends = scalar_struct(df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")))
-    lo, hi = ends.getField("lo"), ends.getField("hi")
+    ends = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
     width = (hi - lo) / F.lit(float(bins))
     pos = F.when(hi == lo, F.lit(0)).otherwise(F.floor((F.col(col) - lo) / F.nullif(width, F.lit(0.0))))
-    return (df.where(F.col(col).isNotNull())
+    return (attach(df.where(F.col(col).isNotNull()), ends)
             .select(F.least(pos, F.lit(bins - 1)).cast("long").alias("bin"))
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
 
 
-def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Five-number summary per group, for the few values of a flag."""
-    groups = [r[0] for r in df.select(by).distinct().orderBy(by).limit(100).collect()]
-    parts = []
-    for g in groups:
-        part = df.where(F.col(by) == g)
-        q = exact_quantiles(part, {"min": (col, 0.0), "q25": (col, 0.25), "q50": (col, 0.5), "q75": (col, 0.75), "max": (col, 1.0)})
-        parts.append(q.select(F.lit(g).alias(by), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def box_stats(df: DataFrame, col: str, by: str, groups: list) -> DataFrame:
+    """Five-number summary per value of a flag; the few values are given."""
+    marks = {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0}
+    split = df.select(*[F.when(F.col(by) == g, F.col(col)).alias(f"c{i}") for i, g in enumerate(groups)])
+    q = exact_quantiles(split, {f"{m}_{i}": (f"c{i}", p) for i in range(len(groups)) for m, p in marks.items()})
+    cells = F.array(*[F.struct(F.lit(g).alias(by), *[F.col(f"{m}_{i}").alias(m) for m in marks]) for i, g in enumerate(groups)])
+    return q.select(F.explode(cells).alias("c")).select("c.*")

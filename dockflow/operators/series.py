@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockflow.operators.quantiles import attach
+
 HOUR = "INTERVAL '1' HOUR"
 
 
@@ -25,13 +27,12 @@ def densify(series: DataFrame, values: list[str], key: str = "station_name", tim
     shuffle is the one by station that the following lag and rolling windows use too; no stations x hours product is
     built or joined.
     """
-    from dockflow.operators.quantiles import scalar_struct
-    ends = scalar_struct(series.agg(F.min(time).alias("lo"), F.max(time).alias("hi")))
+    ends = series.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
     w = _by(key, time)
     step = F.expr(HOUR)
-    stop = F.coalesce(F.lead(time).over(w) - step, F.col("grid_hi"))
-    begin = F.when(F.lag(time).over(w).isNull(), F.col("grid_lo")).otherwise(F.col(time))
-    spread = (series.select(key, time, *values, ends.getField("lo").alias("grid_lo"), ends.getField("hi").alias("grid_hi"))
+    stop = F.coalesce(F.lead(time).over(w) - step, F.col("_s.hi"))
+    begin = F.when(F.lag(time).over(w).isNull(), F.col("_s.lo")).otherwise(F.col(time))
+    spread = (attach(series.select(key, time, *values), ends)
               .withColumn("begin", begin).withColumn("stop", stop)
               .withColumn("slot", F.explode(F.sequence("begin", "stop", step))))
     here = F.col("slot") == F.col(time)

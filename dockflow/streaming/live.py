@@ -15,7 +15,7 @@ REFRESH = "60 seconds"
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """A folder (or file) of landed snapshots as a stream."""
+    """Landed files as a stream; the path is a folder or a glob."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
