@@ -12,7 +12,7 @@ def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     queries, checks = load()
-    spark = get_spark("check", "local[8]", 8)
+    spark = get_spark("check", "local[8]", 8, memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     failed = []
     for name, fn in queries.items():

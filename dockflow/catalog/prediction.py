@@ -67,9 +67,9 @@ def _(d: Data):
     return forecasting.horizon(requests(d)).select("station_name", "time", "step")
 
 
-@query("statistical_forecast", "select station_name, time, step, round(predicted,6) predicted from forecasts", "forecasts")
+@query("statistical_forecast", "select station_name, time, step, round(predicted,9) predicted from forecasts", "forecasts")
 def _(d: Data):
-    return rounded(fc.forecast(requests(d), known_history(d))["predictions"])
+    return rounded(fc.forecast(requests(d), known_history(d))["predictions"], 9)
 
 
 @query("forecast_kpis", """
@@ -84,26 +84,26 @@ def _(d: Data):
     return rounded(d.table("events").select("event_id", forecasting.rule_forecast(F.col("ts")).alias("predicted")))
 
 
-@query("backcast", "select station_name, time, actual, round(predicted,6) predicted from backcast", "backcast")
+@query("backcast", "select station_name, time, actual, round(predicted,9) predicted from backcast", "backcast")
 def _(d: Data):
-    return rounded(backcast(d))
+    return rounded(backcast(d), 9)
 
 
 @query("calibrated_forecast", """
     with h as (select station_name, count(*) n, avg(pickups) m, stddev_pop(pickups) s from hourly group by 1), p as (select station_name, avg(predicted) m, stddev_pop(predicted) s from backcast group by 1)
-    select b.station_name, b.time, round(case when h.n > 10 and h.s > 0 then greatest(0, h.m + (predicted-p.m)*least(5, greatest(1, h.s/case when p.s>0 then p.s else 1 end))) else predicted end,6) predicted
+    select b.station_name, b.time, round(case when h.n > 10 and h.s > 0 then greatest(0, h.m + (predicted-p.m)*least(5, greatest(1, h.s/case when p.s>0 then p.s else 1 end))) else predicted end,9) predicted
     from backcast b join p on p.station_name=b.station_name left join h on h.station_name=b.station_name""", "backcast", "hourly")
 def _(d: Data):
     b = backcast(d)
-    return rounded(forecasting.calibrate(b.select("station_name", "time", "predicted"), b.withColumnRenamed("actual", "pickups")))
+    return rounded(forecasting.calibrate(b.select("station_name", "time", "predicted"), b.withColumnRenamed("actual", "pickups")), 9)
 
 
 @query("blended_forecast", """
     with m as (select station_name, hour(time) h, avg(pickups) m from hourly group by 1,2)
-    select b.station_name, time, round(case when m is null then predicted else 0.7*predicted + 0.3*m end,6) predicted from backcast b left join m on m.station_name=b.station_name and h=hour(time)""", "backcast", "hourly")
+    select b.station_name, time, round(case when m is null then predicted else 0.7*predicted + 0.3*m end,9) predicted from backcast b left join m on m.station_name=b.station_name and h=hour(time)""", "backcast", "hourly")
 def _(d: Data):
     b = backcast(d)
-    return rounded(forecasting.blend_hourly(b.select("station_name", "time", "predicted"), b.withColumnRenamed("actual", "pickups")))
+    return rounded(forecasting.blend_hourly(b.select("station_name", "time", "predicted"), b.withColumnRenamed("actual", "pickups")), 9)
 
 
 @query("ensemble_forecast", """
@@ -121,11 +121,11 @@ def _(d: Data):
 
 
 @query("forecast_vs_actual", """
-    select f.station_name, f.time, round(predicted,6) predicted, h.pickups actual from forecasts f left join hourly h on h.station_name=f.station_name and h.time=f.time""", "forecasts", "hourly")
+    select f.station_name, f.time, round(predicted,9) predicted, h.pickups actual from forecasts f left join hourly h on h.station_name=f.station_name and h.time=f.time""", "forecasts", "hourly")
 def _(d: Data):
     pred = forecasting.statistical_forecast(requests(d), known_history(d)).select("station_name", "time", "predicted")
     actual = rollups.station_hourly(d.trips()).select("station_name", "time", F.col("pickups").alias("actual"))
-    return rounded(pred_vs_actual(pred, actual, ["station_name"]))
+    return rounded(pred_vs_actual(pred, actual, ["station_name"]), 9)
 
 
 METRICS = """count(*) n, round(avg(abs(actual-predicted)),6) mae, round(sqrt(avg(pow(actual-predicted,2))),6) rmse, round(1-sum(pow(actual-predicted,2))/nullif(var_pop(actual)*count(*),0),6) r2,

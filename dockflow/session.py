@@ -14,9 +14,11 @@ SMALL_SIDE_ROWS = 200_000
 _local_stage: str | None = None
 
 
-def get_spark(app: str = "dockflow", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """Build (or fetch) a session with the settings the operators expect."""
+def get_spark(app: str = "dockflow", master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
+    """Build (or fetch) a session with the settings the operators expect; ``memory`` is the driver's, for local runs."""
     builder = SparkSession.builder.appName(app)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
