@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.functions.calendar import holiday_table, hour_dimension
 from dockflow.functions.cleaning import keep_stations
 from dockflow.functions.weather import extremes, interactions
-from dockflow.operators.quantiles import fill_median
+from dockflow.operators.quantiles import bounded_quantiles
 from dockflow.operators.rollups import station_hourly, station_quality, top_stations
 from dockflow.operators.series import add_lags, add_rolling, densify, ema, ffill_bfill
 from dockflow.schemas import EMA_SPAN, FEATURES, LAGS, ROLLING
@@ -18,17 +20,24 @@ from dockflow.session import small_side, stage
 def kept_series(trips: DataFrame, n_stations: int) -> DataFrame:
     """Hourly series of the best stations by quality.
 
-    The series is staged: the trips, by far the largest table, are read once, and everything that follows (quality, ends
-    of the grid, hours, windows) starts from the much smaller table of station hours.
+    Both the full and the kept series are staged: the trips, by far the largest table, are read once, and everything that
+    follows (quality, ends of the grid, hours, windows) starts from the much smaller table of station hours.
     """
     series = stage(station_hourly(trips), "station-hourly")
-    return keep_stations(series, top_stations(station_quality(series), n_stations))
+    return stage(keep_stations(series, top_stations(station_quality(series), n_stations)), "kept-series")
+
+
+def span(series: DataFrame) -> tuple[datetime.datetime, datetime.datetime] | None:
+    """First and last hour of a series."""
+    row = series.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).first()
+    return (row["lo"], row["hi"]) if row["lo"] is not None else None
 
 
-def hour_spine(series: DataFrame) -> DataFrame:
-    """Every hour between the first and the last of the series."""
-    ends = series.agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
-    return ends.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL '1' HOUR"))).alias("time"))
+def hour_spine(spark: SparkSession, lo: datetime.datetime, hi: datetime.datetime) -> DataFrame:
+    """Every hour between two hours."""
+    hours = int((hi - lo).total_seconds() // 3600) + 1
+    start = F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")
+    return spark.range(hours).select(F.timestamp_add("HOUR", F.col("id").cast("int"), start).alias("time"))
 
 
 def hour_features(series: DataFrame, weather: DataFrame, with_extremes: bool = False) -> DataFrame:
@@ -39,13 +48,14 @@ def hour_features(series: DataFrame, weather: DataFrame, with_extremes: bool = F
     """
     spark = series.sparkSession
     measures = ["temp", "prcp", "wspd"]
-    hours = hour_spine(series)
-    years = series.agg(F.year(F.min("time")).alias("a"), F.year(F.max("time")).alias("b")).first()
-    first, last = (years["a"], years["b"]) if years and years["a"] else (2020, 2020)
+    ends = span(series)
+    lo, hi = ends or (datetime.datetime(2020, 1, 1), datetime.datetime(2019, 12, 31, 23))
+    hours = hour_spine(spark, lo, hi)
     filled = ffill_bfill(weather.select("time", *measures), measures, "time")
     hourly = stage(hours.join(filled, "time", "left"), "hour-weather")
-    out = fill_median(hourly, measures, few_values=True)
-    out = out.join(hour_dimension(hours, holiday_table(spark, first - 1, last + 1)), "time")
+    medians = bounded_quantiles(hourly, {c: (c, 0.5) for c in measures}).first().asDict()
+    out = hourly.fillna({c: v for c, v in medians.items() if v is not None})
+    out = out.join(hour_dimension(hours, holiday_table(spark, lo.year - 1, hi.year + 1)), "time")
     if with_extremes:
         copies = series.agg(F.count_distinct("station_name")).scalar()
         out = extremes(interactions(out), out, copies)
