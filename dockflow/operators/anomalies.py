@@ -109,11 +109,16 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
     spark = df.sparkSession
     x = fill_median(df, cols)
     n = x.count()
-    # trees * subsample rows are needed in all; the share fitted on is an upper limit as in any sample-based fit
-    wanted = min(1.0, max(fit_share, trees * subsample / max(n, 1)) if n * fit_share < trees * subsample else 1.5 * trees * subsample / n)
-    picked = sample_fraction(x, key, wanted, seed).select(
-        F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(trees)).cast("int").alias("tree"),
-        F.xxhash64(F.lit(seed + 2), *key).alias("order"), *[F.col(c).cast("double").alias(c) for c in cols])
+    tree = F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(trees)).cast("int")
+    if n * fit_share >= trees * subsample:
+        # enough rows: a sampled row serves one tree
+        rows = sample_fraction(x, key, 1.5 * trees * subsample / n, seed).withColumn("tree", tree)
+    else:
+        # few rows (less than trees * subsample / fit_share): every tree draws from all of them
+        rows = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        draw = F.pmod(F.xxhash64(F.lit(seed), "tree", *key), F.lit(1_000_000))
+        rows = rows.where(draw < F.lit(int(min(1.0, 1.5 * subsample / max(n, 1)) * 1_000_000)))
+    picked = rows.select("tree", F.xxhash64(F.lit(seed + 2), "tree", *key).alias("order"), *[F.col(c).cast("double").alias(c) for c in cols])
     w = Window.partitionBy("tree").orderBy("order")
     picked = picked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= subsample).drop("rn", "order")
     limit = math.ceil(math.log2(max(subsample, 2)))
@@ -133,7 +138,7 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
     packed = spark.sparkContext.broadcast([
         (g["feature"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
          g["depth"].to_numpy() + _average_path(g["size"].to_numpy())) for g in forest])
-    norm = float(_average_path(np.array([subsample]))[0])
+    norm = float(np.mean([_average_path(np.array([g["size"].iloc[0]]))[0] for g in forest])) or 1.0
 
     @F.pandas_udf("double")
     def score(*series: pd.Series) -> pd.Series:

@@ -38,16 +38,23 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accurac
                               ((F.count(col) - 1) * F.lit(float(q))).alias("rank"), F.lit(columns.index(col) + 1).alias("at_col")))
     brackets = df.agg(F.array(*marks).alias("m")).scalar()
     values = F.array(*[F.col(c).cast("double") for c in columns])
+    side = F.when(F.col("x") < F.col("lo"), 0).when(F.col("x") > F.col("hi"), 2).otherwise(1)
     long = (df.select(values.alias("values"), F.explode(brackets).alias("m"))
-            .select("m.name", "m.lo", "m.hi", "m.rank", F.element_at("values", F.col("m.at_col")).alias("v"))
-            .where("v is not null and v <= hi").withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v"))))
-    counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
-    w = Window.partitionBy("name").orderBy(F.col("v").asc_nulls_first())
+            .select("m.name", "m.lo", "m.hi", "m.rank", F.element_at("values", F.col("m.at_col")).alias("x"))
+            .where("x is not null").withColumn("side", side).withColumn("v", F.when(F.col("side") == 1, F.col("x"))))
+    counts = long.groupBy("name", "side", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"), F.min("x").alias("least"), F.max("x").alias("most"))
+    w = Window.partitionBy("name").orderBy("side", "v")
     upto = counts.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first, last = F.col("end") - F.col("n"), F.col("end") - 1
-    at = lambda r: F.max(F.when((first <= r) & (r <= last), F.col("v")))
+    inside = (F.col("side") == 1) & F.col("wanted").between(first, last)
+    # in few rows the bracket may miss the rank by one: then it is the greatest value below or the least above
+    edge = F.when((F.col("side") == 0) & (F.col("wanted") == last), F.col("most")).when((F.col("side") == 2) & (F.col("wanted") == first), F.col("least"))
     low, high = F.floor("rank"), F.ceil("rank")
-    found = upto.groupBy("name").agg(at(low).alias("a"), at(high).alias("b"), F.max(F.col("rank") - low).alias("f"))
+    both = F.explode(F.array(F.struct(low.alias("wanted"), F.lit(0).alias("is_high")), F.struct(high.alias("wanted"), F.lit(1).alias("is_high"))))
+    hit = upto.select("*", both.alias("r")).select("*", "r.*").withColumn("value", F.when(inside, F.col("v")).otherwise(edge))
+    found = hit.groupBy("name").agg(F.max(F.when(F.col("is_high") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("is_high") == 1, F.col("value"))).alias("b"),
+                                    F.max(F.col("rank") - low).alias("f"))
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
     return found.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted])
 
