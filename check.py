@@ -1,4 +1,4 @@
-"""Compare registered queries with their check SQL: python check.py [folder] [name part ...]"""
+"""Compare registered queries with their check SQL: python check.py [folder] [name part ...] [-skipped part ...]"""
 
 import sys
 import time
@@ -10,13 +10,14 @@ from tests.compare import compare
 
 def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:]
+    wanted = [w for w in sys.argv[2:] if not w.startswith("-")]
+    skipped = [w[1:] for w in sys.argv[2:] if w.startswith("-")]
     queries, checks = load()
     spark = get_spark("check", "local[8]", 8, memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     failed = []
     for name, fn in queries.items():
-        if wanted and not any(w in name for w in wanted):
+        if (wanted and not any(w in name for w in wanted)) or any(w in name for w in skipped):
             continue
         t = time.time()
         try:
