@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import bytebpe, langid, ordinal, packing, toxicity
-from dockflow.llm.shared import table
+from dockflow.llm import bytebpe, capdedup, langid, linecrf, ordinal, packing, secrets, setjoin, toxicity, warc
+from dockflow.llm.shared import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -36,12 +36,31 @@ def language_model(docs: DataFrame) -> langid.Model:
     return langid.train(docs, docs.where(fold(4) != 2).select("doc_id", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op2_cap_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return capdedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+CHECKS["op2_cap_near_dedup"] = """
+    with recursive v as (select vec_id, label, embedding::double[] e from embeddings),
+    links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93e0),
+    reach as (select vec_id node, vec_id seen from v union select node, b from reach join links on seen = a)
+    select vec_id, n_links, component_id, vec_id = component_id kept from
+      (select node vec_id, min(seen) component_id from reach group by 1) join (select vec_id, count(b) n_links from v left join links on vec_id = a group by 1) using (vec_id)"""
+
+
 @query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return langid.predict(docs, language_model(docs)).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_line_field_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return linecrf.rules(docs, linecrf.train(docs, table(spark, folder, "labels")))
+
+
 @query
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -49,6 +68,38 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "worst")
 
 
+@query
+def op6_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives are written to the shared folder and read back; what the result says comes from the archives."""
+    planned = warc.plan(table(spark, folder, "pages"))
+    rows = warc.read(warc.write(planned, stage_path(spark, "warc")), payload=False).where("gap is null")
+    return rows.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_of("refers_to").alias("refers_to"))
+
+
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.scan(docs, secrets.model_of(docs))
+    count = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *count, F.sha2(secrets.joined("base").cast("binary"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
+@query
+def op8_token_group_join(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.similar_classes(table(spark, folder, "documents"))
+
+
+CHECKS["op8_token_group_join"] = """
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) = 0 then cast([] as varchar[]) when len(w) < 4 then [array_to_string(w, ' ')]
+                                         else list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]) end) s from w),
+    n as (select doc_id, count(*) n from s group by 1),
+    p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+    reach as (select doc_id node, doc_id seen from documents union select node, b from reach join links on seen = a)
+    select doc_id, coalesce(n, 0) n_shingles, component_id from (select node doc_id, min(seen) component_id from reach group by 1) left join n using (doc_id)"""
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The vocabulary of the contract's rank file, in the library's own format."""
