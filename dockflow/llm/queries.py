@@ -92,7 +92,7 @@ def op8_token_group_join(spark: SparkSession, folder: str) -> DataFrame:
 CHECKS["op8_token_group_join"] = """
     with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
     s as (select distinct doc_id, unnest(case when len(w) = 0 then cast([] as varchar[]) when len(w) < 4 then [array_to_string(w, ' ')]
-                                         else list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]) end) s from w),
+                                         else list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]) end) s from w),
     n as (select doc_id, count(*) n from s group by 1),
     p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
     links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
