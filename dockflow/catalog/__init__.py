@@ -1,14 +1,14 @@
 """Named queries over the given tables with their check SQL."""
 
+import importlib
+
+PARTS = ("tables", "timeline", "dashboard", "outliers", "prediction", "live")
+
 
 def load():
     """All registered queries and checks."""
     from dockflow.catalog import base
-    import importlib
-    for part in ("tables", "timeline", "dashboard", "outliers", "prediction", "live"):
-        try:
-            importlib.import_module(f"dockflow.catalog.{part}")
-        except ModuleNotFoundError as e:
-            if part not in str(e):
-                raise
+
+    for part in PARTS:
+        importlib.import_module(f"dockflow.catalog.{part}")
     return base.QUERIES, base.CHECKS

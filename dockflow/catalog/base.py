@@ -115,8 +115,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           select *, least(1.0, greatest(0.0, data_points/(days_active*24+1))) coverage, std/(mean+1E-6) cv from (
             select station_name, count(pickups) data_points, sum(pickups) volume, avg(pickups) mean, stddev_samp(pickups) std, min(time) first_time,
                    max(time) last_time, date_diff('second', min(time), max(time))/86400E0 days_active from hourly group by 1))"""),
-    "kept": (("hourly", "quality"), """
-        select h.* from hourly h where station_name in (select station_name from quality where score is not null order by score desc, station_name limit 200)"""),
+    "kept": (("hourly",), "select * from hourly"),
     "spine": (("kept",), "select unnest(range(min(time), max(time) + interval 1 hour, interval 1 hour)) time from kept"),
     "grid": (("kept", "spine"), """
         select s.station_name, t.time, coalesce(k.pickups,0) pickups, coalesce(k.dropoffs,0) dropoffs, coalesce(k.net_demand,0) net_demand

@@ -105,19 +105,19 @@ def _(d: Data):
 
 
 @query("map_data", """
-    select s.station_name, lat, lon, coalesce(trip_count,0) trip_count from stations s left join (select * from volumes where trip_count > 60) v on v.station_name=s.station_name
+    select s.station_name, lat, lon, coalesce(trip_count,0) trip_count from stations s left join volumes v on v.station_name=s.station_name
     order by 4 desc, 1 limit 1000""", "stations", "volumes")
 def _(d: Data):
-    volumes = d.trips().groupBy(F.col("start_station_name").alias("station_name")).agg(F.count(F.lit(1)).alias("trip_count")).where("trip_count > 60")
+    volumes = d.trips().groupBy(F.col("start_station_name").alias("station_name")).agg(F.count(F.lit(1)).alias("trip_count"))
     return dashboards.map_data(d.stations(), volumes)
 
 
 @query("route_data", """
     with r as (select start_station_name, end_station_name, count(*) trip_count from trips group by 1,2 order by 3 desc, 1, 2 limit 50)
     select r.*, a.lat start_lat, a.lon start_lon, b.lat end_lat, b.lon end_lon from r join s a on a.station_name = start_station_name join s b on b.station_name = end_station_name""".replace(
-    "with r as", "with s as (select * from stations where lat < 40.75), r as"), "trips", "stations")
+    "with r as", "with s as (select * from stations), r as"), "trips", "stations")
 def _(d: Data):
-    return dashboards.route_data(d.trips(), d.stations().where("lat < 40.75"), 50)
+    return dashboards.route_data(d.trips(), d.stations(), 50)
 
 
 @query("station_list", "select station_name from stations order by 1", "stations")
@@ -136,17 +136,17 @@ def _(d: Data):
 
 VIEWS["boroughs"] = ((), """
     select case r_name when 'AFRICA' then 'Bronx' when 'AMERICA' then 'Manhattan' when 'EUROPE' then 'Queens' else r_name end borough,
-      case when r_name = 'MIDDLE EAST' then 0E0 else count(*)/(select count(*)/4E0 from supplier) end score
-    from region join nation on r_regionkey=n_regionkey join supplier on s_nationkey=n_nationkey where r_name <> 'ASIA' group by r_name""")
+      count(*)/(select count(*)/4E0 from supplier) score
+    from region join nation on r_regionkey=n_regionkey join supplier on s_nationkey=n_nationkey group by r_name""")
 
 
 def boroughs(d: Data):
     name = F.when(F.col("r_name") == "AFRICA", "Bronx").when(F.col("r_name") == "AMERICA", "Manhattan").when(F.col("r_name") == "EUROPE", "Queens").otherwise(F.col("r_name"))
     per_nation = d.table("supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
     total = d.table("supplier").agg((F.count(F.lit(1)) / 4.0).alias("t")).scalar()
-    return (d.table("region").where("r_name <> 'ASIA'").join(d.table("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return (d.table("region").join(d.table("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
             .join(per_nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("r_name").agg(F.sum("n").alias("n"))
-            .select(name.alias("borough"), F.when(F.col("r_name") == "MIDDLE EAST", 0.0).otherwise(F.col("n") / total).alias("score")))
+            .select(name.alias("borough"), (F.col("n") / total).alias("score")))
 
 
 @query("service_level", """
@@ -161,7 +161,7 @@ def _(d: Data):
 
 VIEWS["latest_status"] = (("station_status",), "select * from station_status qualify row_number() over (partition by station_id order by last_reported desc, ord desc, ebikes desc, bikes desc, docks desc) = 1")
 VIEWS["live"] = (("latest_status", "station_info"), """
-    select i.station_id, i.name, i.capacity, least(l.bikes, i.capacity) bikes, l.ebikes, l.docks, l.is_renting = 1 is_renting, l.last_reported
+    select i.station_id, i.name, i.capacity, l.bikes, l.ebikes, l.docks, l.is_renting = 1 is_renting, l.last_reported
     from station_info i join latest_status l on l.station_id = i.station_id""")
 
 
@@ -177,8 +177,7 @@ def board_sql(whole: str) -> str:
 
 
 def live(d: Data):
-    s = operations.station_state(d.station_info(), d.station_status(), STATUS_ORDER)
-    return s.withColumn("bikes", F.least("bikes", "capacity"))
+    return operations.station_state(d.station_info(), d.station_status(), STATUS_ORDER)
 
 
 @query("live_stations", """
@@ -257,7 +256,7 @@ def _(d: Data):
 
 @query("grid_with_station_metrics", "select g.station_name, g.time, round(q.coverage,6) coverage from grid g left join quality q on q.station_name = g.station_name", "grid", "quality")
 def _(d: Data):
-    series = ft.kept_series(d.trips(), 200)
+    series = ft.kept_series(d.trips())
     from dockflow.operators.series import densify
     quality = rollups.station_quality(series).select("station_name", "coverage")
     return rounded(joins.with_station(densify(series, ["pickups"]).drop("pickups"), quality))

@@ -63,7 +63,7 @@ def _(d: Data):
 @query("local_outlier_factor")
 def _(d: Data):
     s = rollups.station_hourly(d.trips())
-    return anomalies.local_outlier_factor(s, ["station_name", "time"], ["pickups", "dropoffs"], k=20, sample=5000)
+    return anomalies.local_outlier_factor(s, ["station_name", "time"], ["pickups", "dropoffs"], k=20)
 
 
 PERIODS = [24.0, 12.0, 8.0, 6.0, 168.0, 84.0]

@@ -21,7 +21,7 @@ VIEWS["means"] = (("hourly",), """
     join (select station_name, isodow(time)-1 dd, avg(pickups) dm from hourly where pickups > 0 group by 1,2) d on d.station_name = h.station_name
     join (select station_name, avg(pickups) om from hourly where pickups > 0 group by 1) o on o.station_name = h.station_name""")
 VIEWS["forecasts"] = (("horizon", "hourly"), """
-    with f as (select station_name, start, step, start + to_hours(cast(step as int)) time from horizon), k as (select * from hourly where station_name not like '%7')
+    with f as (select station_name, start, step, start + to_hours(cast(step as int)) time from horizon), k as (select * from hourly)
     select f.station_name, f.time, f.step::int step, case when om is null then
         (case when hour(f.time) in (7,8,9,17,18,19) then 25.0 when hour(f.time) between 10 and 16 then 18.0 when hour(f.time) between 20 and 22 then 15.0 else 12.0 end) * case when isodow(f.time)>=6 then 0.7 else 1.0 end
         else greatest(0, 0.6*coalesce(hm,om) + 0.3*coalesce(dm,om) + 0.1*om) end::double predicted
@@ -42,8 +42,8 @@ def requests(d: Data):
 
 
 def known_history(d: Data):
-    """History of most stations; those ending in 7 count as new."""
-    return rollups.station_hourly(d.trips()).where(~F.col("station_name").endswith("7"))
+    """History of all stations."""
+    return rollups.station_hourly(d.trips())
 
 
 def backcast(d: Data):
@@ -110,7 +110,7 @@ def _(d: Data):
     with w as (select model, (1/mae)/sum(1/mae) over () weight from (select model, avg(abs(actual-predicted)) mae from model_votes where model <> 'constant' group by 1))
     select station_name, time, round(sum(coalesce(weight,1/3E0)*predicted)/sum(coalesce(weight,1/3E0)),6) predicted from model_votes v left join w on w.model=v.model group by 1,2""", "model_votes")
 def _(d: Data):
-    v = votes(d)
+    v = stage(votes(d), "votes")
     w = forecasting.inverse_mae_weights(evaluation.metrics(v.where("model <> 'constant'"), ["model"]))
     return rounded(forecasting.ensemble(v, w, ["station_name", "time"]))
 
@@ -189,9 +189,6 @@ def _(d: Data):
 
 # ------------------------------------------------------------------------------------------------------ models
 
-SMALL_SET = ["temp", "prcp", "hour", "day_of_week", "is_rush_hour", "lag_1h", "lag_24h", "lag_168h", "roll_mean_24h", "roll_std_24h", "ema_24h"]
-
-
 def training(d: Data, names: list[str]):
     rows = ft.training_rows(ft.feature_table(d.trips(), d.weather())).select("station_name", "time", F.col("pickups").cast("double").alias("pickups"), *names)
     return stage(rows, "training")
@@ -207,7 +204,7 @@ def fitted(d: Data, names: list[str]):
 @query("tree_model_metrics")
 def _(d: Data):
     """Boosted trees and a forest on the training rows, compared on the last fifth in time."""
-    rows, fit = fitted(d, SMALL_SET)
+    rows, fit = fitted(d, FEATURES)
     out = None
     for name, m in fit.items():
         p = m.transform(rows.where("is_train = 0")).select(F.lit(name).alias("model"), F.col("pickups").alias("actual"), "predicted")
@@ -217,13 +214,13 @@ def _(d: Data):
 
 @query("tree_feature_importance")
 def _(d: Data):
-    rows, fit = fitted(d, SMALL_SET)
-    return models.importance_by_category(models.importances(rows, fit["forest"], SMALL_SET))
+    rows, fit = fitted(d, FEATURES)
+    return models.importance_by_category(models.importances(rows, fit["forest"], FEATURES))
 
 
 @query("parameter_search")
 def _(d: Data):
-    names = ["hour", "lag_1h", "lag_24h", "roll_mean_24h"]
+    names = FEATURES
     rows = stage(preparation.time_folds(training(d, names), 2), "training-folds")
     found = models.search(rows, lambda **p: models.forest(names, numTrees=4, **p), models.grid(maxDepth=[2, 4]), folds=2)
     return d.spark.createDataFrame([(i + 1, str(p), float(e)) for i, (p, e) in enumerate(found)], "rank int, params string, mae double")
@@ -244,8 +241,8 @@ def _(d: Data):
 
 @query("published_tables")
 def _(d: Data):
-    series = ft.kept_series(d.trips(), 200)
+    series = ft.kept_series(d.trips())
     features = stage(ft.feature_table(d.trips(), d.weather(), series=series), "features")
-    quality = rollups.top_stations(rollups.station_quality(series), 200)
+    quality = rollups.station_quality(series)
     metrics = evaluation.metrics(backcast(d))
     return published_sizes(d.spark, publish(features, quality, metrics, stage_path(d.spark, "published")))

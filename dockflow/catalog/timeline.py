@@ -9,6 +9,7 @@ from dockflow.operators import preparation, quantiles, ranking, rollups, series
 from dockflow.operators.joins import with_weather
 from dockflow.plans import feature_table as ft
 from dockflow.schemas import EMA_SPAN, FEATURES, LAGS, ROLLING
+from dockflow.session import stage
 
 
 def _cycle(expr: str, n: int, name: str) -> str:
@@ -69,8 +70,9 @@ def _(d: Data):
 
 @query("holiday_trips", "select h.date, count(*) trip_count from trips join holidays h on h.date = started_at::date group by 1", "trips", "holidays")
 def _(d: Data):
-    days = cal.holiday_table(d.spark, 2023, 2025)
     daily = d.trips().groupBy(F.col("started_at").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("trip_count"))
+    years = daily.agg(F.year(F.min("date")).alias("a"), F.year(F.max("date")).alias("b")).first()
+    days = cal.holiday_table(d.spark, years["a"], years["b"])
     return daily.join(days, "date", "left_semi")
 
 
@@ -103,7 +105,7 @@ def _(d: Data):
     select time, (temp>hot)::int is_hot, (temp<cold)::int is_cold, (prcp>1.0)::int is_rainy, (wspd>windy)::int is_windy, (temp<cold or prcp>1.0 or wspd>windy)::int bad_weather
     from weather_filled, q""", "weather_filled")
 def _(d: Data):
-    w = series.ffill_bfill(d.weather(), ["temp", "prcp", "wspd"], "time").persist()
+    w = stage(series.ffill_bfill(d.weather(), ["temp", "prcp", "wspd"], "time"), "weather")
     return wx.extremes(w).drop("temp", "prcp", "wspd")
 
 
@@ -145,7 +147,7 @@ VIEWS["full_spine"] = (("hourly",), "select unnest(range(min(time), max(time) +
 
 
 def grid(d: Data):
-    return series.densify(ft.kept_series(d.trips(), 200), ["pickups", "dropoffs", "net_demand"])
+    return series.densify(ft.kept_series(d.trips()), ["pickups", "dropoffs", "net_demand"])
 
 
 @query("hourly_grid", "select station_name, time, pickups::bigint pickups, dropoffs::bigint dropoffs, net_demand::bigint net_demand from grid", "grid")
@@ -216,7 +218,7 @@ def _(d: Data):
     return ranking.recent(rollups.station_hourly(d.trips()).select("station_name", "time", "pickups"), "time", 10)
 
 
-VIEWS["asked"] = ((), "select distinct 'station ' || user_id station_name, date_trunc('hour', max(ts)) at_time from events where event_type in ('error','signup') group by user_id, event_type")
+VIEWS["asked"] = ((), "select distinct 'station ' || user_id station_name, date_trunc('hour', max(ts)) at_time from events group by user_id, event_type")
 VIEWS["past"] = (("asked", "hourly"), """
     select station_name, at_time, time, pickups, row_number() over (partition by station_name, at_time order by time desc) back from
       (select a.station_name, a.at_time, h.time, h.pickups from asked a join hourly h on h.station_name = a.station_name and h.time < a.at_time) qualify back <= 168""")
@@ -224,8 +226,7 @@ VIEWS["past"] = (("asked", "hourly"), """
 
 def asked(d: Data):
     from dockflow.catalog.base import station_name
-    e = d.table("events").where(F.col("event_type").isin("error", "signup"))
-    return e.groupBy("user_id", "event_type").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("at_time")).select(station_name(F.col("user_id")).alias("station_name"), "at_time").distinct()
+    return d.table("events").groupBy("user_id", "event_type").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("at_time")).select(station_name(F.col("user_id")).alias("station_name"), "at_time").distinct()
 
 
 @query("history_before", "select station_name, at_time, time, back::int back, pickups from past", "past")
@@ -284,7 +285,7 @@ def _(d: Data):
     select time, (temp>hot)::int is_hot, (temp<cold)::int is_cold, (prcp>1.0)::int is_rainy, (wspd>windy)::int is_windy, (temp<cold or prcp>1.0 or wspd>windy)::int bad_weather,
       round(temp-0.4*wspd,6) feels_like from hour_weather, q""", "grid", "hour_weather")
 def _(d: Data):
-    out = ft.hour_features(ft.kept_series(d.trips(), 200), d.weather(), with_extremes=True)
+    out = ft.hour_features(ft.kept_series(d.trips()), d.weather(), with_extremes=True)
     return rounded(out.select("time", "is_hot", "is_cold", "is_rainy", "is_windy", "bad_weather", "feels_like"))
 
 

@@ -121,9 +121,9 @@ def holiday_proximity(days: DataFrame, holidays: DataFrame, none: int = HOLIDAY_
             .unionByName(holidays.select("date", F.lit(0).alias("wanted"), F.col("date").alias("h")))
             .groupBy("date").agg(F.max("wanted").alias("wanted"), F.max("h").alias("h"))
             .withColumn("n", F.unix_date("date")))
-    w = Window.orderBy("n")
-    nxt = F.min("h").over(w.rangeBetween(1, Window.unboundedFollowing))
-    last = F.max("h").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    before = Window.orderBy("n").rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, -1)
+    nxt, last = F.min("h").over(after), F.max("h").over(before)
     bound = (lambda c: F.least(c, F.lit(cap))) if cap is not None else (lambda c: c)
     return (both.withColumn("nxt", nxt).withColumn("last", last).where("wanted = 1")
             .select("date", F.when(F.col("h").isNotNull(), 1).otherwise(0).alias("is_holiday"),

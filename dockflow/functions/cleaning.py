@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.session import small_side
 
 
 def to_ts(col: Column | str) -> Column:
@@ -63,7 +62,7 @@ def for_station(col: Column, name: str) -> Column:
 
 def keep_stations(df: DataFrame, stations: DataFrame, key: str = "station_name") -> DataFrame:
     """Rows whose station is in the list."""
-    return df.join(small_side(stations.select(key)), key, "left_semi")
+    return df.join(stations.select(key), key, "left_semi")
 
 
 def exclude(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

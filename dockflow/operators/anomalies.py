@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.operators.quantiles import attach, exact_quantiles, fill_median, scalar_struct
+from dockflow.session import stage
 from dockflow.operators.ranking import sample_fraction, sample_rows
 
 
@@ -99,7 +100,7 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int = 50, subsample: int = 256, fit_share: float = 0.1,
+def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int = 50, subsample: int = 256,
                      contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """Isolation score and flag of every row; trees are grown on small samples, one group per tree.
 
@@ -109,15 +110,10 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
     spark = df.sparkSession
     x = fill_median(df, cols)
     n = x.count()
-    tree = F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(trees)).cast("int")
-    if n * fit_share >= trees * subsample:
-        # enough rows: a sampled row serves one tree
-        rows = sample_fraction(x, key, 1.5 * trees * subsample / n, seed).withColumn("tree", tree)
-    else:
-        # few rows (less than trees * subsample / fit_share): every tree draws from all of them
-        rows = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        draw = F.pmod(F.xxhash64(F.lit(seed), "tree", *key), F.lit(1_000_000))
-        rows = rows.where(draw < F.lit(int(min(1.0, 1.5 * subsample / max(n, 1)) * 1_000_000)))
+    # a pool of about trees * subsample rows by hash, from which every tree draws its own share
+    pool = trees * subsample
+    rows = sample_fraction(x, key, pool / max(n, 1), seed).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    rows = sample_fraction(rows, ["tree", *key], 1.5 * subsample / max(min(n, pool), 1), seed + 1)
     picked = rows.select("tree", F.xxhash64(F.lit(seed + 2), "tree", *key).alias("order"), *[F.col(c).cast("double").alias(c) for c in cols])
     w = Window.partitionBy("tree").orderBy("order")
     picked = picked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= subsample).drop("rn", "order")
@@ -167,45 +163,60 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
 
 def local_outlier_factor(df: DataFrame, key: list[str], cols: list[str], k: int = 20, sample: int = 20_000, contamination: float = 0.05,
                          seed: int = 42) -> DataFrame:
-    """Local outlier factor of a fixed-size sample of rows; all rows outside the sample are normal by definition.
+    """Local outlier factor of every row against a reference sample of at most ``sample`` rows; flags the highest scores.
 
-    The sample (the method's own limit, at most ``sample`` rows) is broadcast and each task finds the k nearest rows of its
-    share of it with array arithmetic; densities and factors are joins over the k neighbours per row.
+    The sample (a bound of the method, chosen by hash) is what neighbours are searched in; its rows, distances and densities
+    are broadcast, and each task scores its share of all rows with array arithmetic. A row isn't its own neighbour.
     """
     spark = df.sparkSession
     vec = F.array(*[F.col(c).cast("double") for c in cols])
-    picked = sample_rows(fill_median(df, cols), key, sample, seed).select(F.xxhash64(*key).alias("id"), *key, vec.alias("x"))
-    from dockflow.session import stage
-    picked = stage(picked, "lof-sample")
-    rows = picked.select("id", "x").toPandas()  # bounded by ``sample``
-    if len(rows) < 2:
-        return picked.select(*key, F.lit(1.0).alias("lof"), F.lit(0).alias("lof_outlier"))
-    ids, mat = rows["id"].to_numpy(), np.array(rows["x"].tolist(), dtype=float)
-    shared = spark.sparkContext.broadcast((ids, mat))
+    every = stage(fill_median(df, cols).select(F.struct(*key).alias("_key"), F.xxhash64(*key).alias("_hash"), vec.alias("_x")), "lof-rows")
+    kind = every.schema["_key"].dataType.simpleString()
+    rows = sample_rows(every.dropDuplicates(["_key"]), ["_hash", "_key"], sample, seed).toPandas()  # bounded by ``sample``
+    hashes, mat = rows["_hash"].to_numpy(), np.array(rows["_x"].tolist(), dtype=float).reshape(len(rows), -1)
     near = min(k, len(rows) - 1)
+    if near < 1:
+        return df.select(*key, F.lit(1.0).alias("lof"), F.lit(0).alias("lof_outlier"))
+
+    def nearest(x: np.ndarray, own: np.ndarray, mat: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reference rows nearest to each row, and their distances."""
+        d = np.zeros((len(x), len(mat)))
+        for j in range(mat.shape[1]):
+            d += (x[:, j, None] - mat[None, :, j]) ** 2
+        d[own[:, None] == hashes[None, :]] = np.inf
+        idx = np.argpartition(d, near - 1, axis=1)[:, :near]
+        return idx, np.sqrt(np.take_along_axis(d, idx, axis=1))
+
+    def density(idx: np.ndarray, dist: np.ndarray, k_dist: np.ndarray) -> np.ndarray:
+        return 1.0 / (np.maximum(dist, k_dist[idx]).mean(axis=1) + 1e-10)
+
+    shared = spark.sparkContext.broadcast((hashes, mat))
 
     def neighbours(batches):
-        ids, mat = shared.value
+        hashes, mat = shared.value
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo:lo + 256]
-                x = np.array(part["x"].tolist(), dtype=float)
-                d = np.sqrt(np.maximum(((x[:, None, :] - mat[None, :, :]) ** 2).sum(axis=2), 0.0))
-                d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                idx = np.argpartition(d, near - 1, axis=1)[:, :near]
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), near), "nb": ids[idx].ravel(),
-                                    "dist": np.take_along_axis(d, idx, axis=1).ravel()})
-
-    spread = picked.select("id", "x").repartition(spark.sparkContext.defaultParallelism)
-    nn = stage(spread.mapInPandas(neighbours, "id long, nb long, dist double"), "lof-neighbours")
-    reach = nn.groupBy("id").agg(F.max("dist").alias("k_dist"))
-    density = (nn.join(reach.select(F.col("id").alias("nb"), F.col("k_dist").alias("nb_dist")), "nb")
-               .groupBy("id").agg((1.0 / (F.avg(F.greatest("dist", "nb_dist")) + F.lit(1e-10))).alias("lrd")))
-    factor = (nn.join(density.select(F.col("id").alias("nb"), F.col("lrd").alias("nb_lrd")), "nb").join(density, "id")
-              .groupBy("id").agg((F.avg("nb_lrd") / F.max("lrd")).alias("lof")))
-    out = picked.select("id", *key).join(factor, "id").drop("id")
-    edge = factor.agg(F.percentile_approx("lof", 1 - contamination, 10_000)).scalar()
-    return out.withColumn("lof_outlier", F.when(F.col("lof") > edge, 1).otherwise(0))
+                idx, dist = nearest(np.array(part["_x"].tolist(), dtype=float), part["_hash"].to_numpy(), mat, hashes)
+                yield pd.DataFrame({"at": part["at"].to_numpy(), "nb": list(idx), "dist": list(dist)})
+
+    numbered = spark.createDataFrame(rows.assign(at=range(len(rows)))[["at", "_hash", "_x"]]).repartition(spark.sparkContext.defaultParallelism)
+    own = numbered.mapInPandas(neighbours, "at long, nb array<long>, dist array<double>").toPandas().sort_values("at")  # k numbers for each sampled row
+    idx, dist = np.array(own["nb"].tolist()), np.array(own["dist"].tolist())
+    k_dist = dist.max(axis=1)
+    fitted = spark.sparkContext.broadcast((hashes, mat, k_dist, density(idx, dist, k_dist)))
+
+    def score(batches):
+        hashes, mat, k_dist, lrd = fitted.value
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo:lo + 256]
+                idx, dist = nearest(np.array(part["_x"].tolist(), dtype=float), part["_hash"].to_numpy(), mat, hashes)
+                yield pd.DataFrame({"_key": part["_key"].tolist(), "lof": lrd[idx].mean(axis=1) / density(idx, dist, k_dist)})
+
+    scored = stage(every.mapInPandas(score, f"_key {kind}, lof double"), "lof-scores")
+    edge = scored.agg(F.percentile_approx("lof", 1 - contamination, 10_000)).scalar()
+    return scored.select(*[F.col(f"_key.`{c}`").alias(c) for c in key], "lof", F.when(F.col("lof") > edge, 1).otherwise(0).alias("lof_outlier"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------

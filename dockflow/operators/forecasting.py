@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.session import small_side
 
 MAX_HOURS = 168
 
@@ -65,7 +64,7 @@ def inverse_mae_weights(metrics: DataFrame) -> DataFrame:
 
 def ensemble(predictions: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted mean over the models present; a model without a weight counts as one of n equal ones."""
-    w = predictions.join(small_side(weights.select("model", "weight")), "model", "left")
+    w = predictions.join(weights.select("model", "weight"), "model", "left")
     n = predictions.agg(F.count_distinct("model")).scalar()
     weight = F.coalesce("weight", 1.0 / n)
     return w.withColumn("_w", weight).groupBy(*keys).agg((F.sum(F.col("_w") * F.col("predicted")) / F.sum("_w")).alias("predicted"))

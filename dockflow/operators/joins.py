@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.operators.ranking import latest
-from dockflow.session import small_side
 
 
 def with_weather(df: DataFrame, weather: DataFrame, on: str = "time") -> DataFrame:
     """Left join of weather by time; the weather side is broadcast only when counted small."""
-    return df.join(small_side(weather), on, "left")
+    return df.join(weather, on, "left")
 
 
 def with_station(df: DataFrame, stations: DataFrame, on: str = "station_name") -> DataFrame:
-    return df.join(small_side(stations), on, "left")
+    return df.join(stations, on, "left")
 
 
 def pickups_join_dropoffs(pickups: DataFrame, dropoffs: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ def recent(df: DataFrame, time: str, days: int) -> DataFrame:
 
 def sample_fraction(df: DataFrame, key: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """Share of the rows chosen by a hash of their key: repeatable whatever the partitioning, and without a shuffle."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000))
-    return df.where(h < F.lit(int(fraction * 1_000_000)))
+    if fraction >= 1:
+        return df
+    return df.where(F.xxhash64(F.lit(seed), *key).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(fraction * (1 << 63))))
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:

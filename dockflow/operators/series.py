@@ -175,11 +175,15 @@ def smooth(daily: DataFrame, k: int, value: str = "trip_count") -> DataFrame:
 
 
 def ffill_bfill(df: DataFrame, cols: list[str], order: str, part: str | None = None) -> DataFrame:
-    """Fill gaps with the last known value, then leading gaps with the next known one."""
+    """Fill gaps with the last known value, then leading gaps with the next known one.
+
+    Only leading rows are still empty after the first fill, and for those the next known value is the first of all, so both
+    frames are computed once per group.
+    """
     w = _by(part, order)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    filled = {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in cols}
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(whole)) for c in cols}
     return df.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
@@ -207,10 +211,10 @@ def sequences(df: DataFrame, col: str, n: int = 24, key: str = "station_name", t
     return df.select(key, time, col, F.collect_list(col).over(w).alias("seq")).where(F.size("seq") == n)
 
 
-def serving_features(history: DataFrame, keys: list[str], value: str = "pickups", span: int = 24) -> DataFrame:
+def serving_features(history: DataFrame, keys: list[str], value: str = "pickups", span: int = 24, sample: bool = False) -> DataFrame:
     """Features at forecast time from the last rows of each request (``back`` = 1 is the newest).
 
-    Lags that reach before the history are 0; statistics need a full window, else 0; deviation with n. The exponential
+    Lags that reach before the history are 0; statistics need a full window, else 0; deviation with n, or with n - 1 if ``sample``. The exponential
     average is the closed form of its recurrence over the history and needs 24 rows. Everything is one aggregate.
     """
     a = 2.0 / (span + 1)
@@ -222,7 +226,7 @@ def serving_features(history: DataFrame, keys: list[str], value: str = "pickups"
         aggs.append(F.coalesce(F.max(F.when(back == k, x)), F.lit(0.0)).alias(f"lag_{k}h"))
     for n in (4, 12, 24, 168):
         inside = F.when(back <= n, x)
-        for stat, fn in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max)):
+        for stat, fn in (("mean", F.avg), ("std", F.stddev_samp if sample else F.stddev_pop), ("min", F.min), ("max", F.max)):
             aggs.append(F.when(total >= n, fn(inside)).otherwise(0.0).alias(f"roll_{stat}_{n}h"))
     weighted = F.sum(F.lit(a) * F.pow(F.lit(q), back - 1) * x)
     oldest = F.max_by(F.lit(q) * F.pow(F.lit(q), back - 1) * x, back)

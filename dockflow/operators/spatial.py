@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.session import small_side, stage
+from dockflow.session import stage
 
 
 def cell(col: Column, size: float) -> Column:
@@ -87,7 +87,7 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     at = lambda c, low: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.lit(low)) / F.lit(side / cells)))
     placed = points.select("point_id", "lat", "lon", at("lon", box["c"]).alias("cx"), at("lat", box["a"]).alias("cy"))
     occupied = stage(placed.where("cx is not null and cy is not null").select("cx", "cy").distinct(), "near-occupied")
-    cand = small_side(_cell_candidates(occupied, places, {"a": box["a"], "c": box["c"], "side": side}, steps))
+    cand = _cell_candidates(occupied, places, {"a": box["a"], "c": box["c"], "side": side}, steps)
     d2 = F.pow(F.col("s_lon") - F.col("lon"), F.lit(2)) + F.pow(F.col("s_lat") - F.col("lat"), F.lit(2))
     best = placed.join(cand, ["cx", "cy"], "left").groupBy("point_id").agg(F.min(F.when(d2.isNotNull(), F.struct(d2.alias("d2"), "station_name"))).alias("m"))
     return best.select("point_id", "m.station_name", F.sqrt("m.d2").alias("dist"))
@@ -97,7 +97,7 @@ def match_by_volume(targets: DataFrame, stations: DataFrame, share: float = 0.1)
     """Station whose trip count is closest to a target; only if the difference is below ``share`` of the target.
 
     An accepted station lies within the share, hence in the target's logarithmic bucket or a neighbouring one. In the own
-    bucket the closest values below and above come from one ordered pass; from the neighbours only their largest and
+    bucket the closest values below and above come from one pass in either order; from the neighbours only their largest and
     smallest value matter. Equal values are folded first (first name wins; of two equally close values the smaller).
     """
     width = math.log1p(share) - math.log1p(-share)
@@ -108,9 +108,9 @@ def match_by_volume(targets: DataFrame, stations: DataFrame, share: float = 0.1)
     hit = F.struct("v", "name")
     both = s.select("b", "v", hit.alias("s"), F.lit(0).alias("is_t")).unionByName(
         t.select("b", "v", F.lit(None).cast("struct<v:double,name:string>").alias("s"), F.lit(1).alias("is_t")))
-    w = Window.partitionBy("b").orderBy("v", "is_t")
-    own = (both.withColumn("lo", F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("hi", F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w = Window.partitionBy("b").orderBy("v", "is_t").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("b").orderBy(F.desc("v"), F.desc("is_t")).rowsBetween(Window.unboundedPreceding, 0)
+    own = (both.withColumn("lo", F.last("s", True).over(w)).withColumn("hi", F.last("s", True).over(down))
            .where("is_t = 1").select("b", F.col("v").alias("target"), "lo", "hi"))
     edges = s.groupBy("b").agg(F.min(hit).alias("least"), F.max(hit).alias("most"))
     below = edges.select((F.col("b") + 1).alias("b"), F.col("most").alias("prev"))

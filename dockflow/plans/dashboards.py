@@ -14,7 +14,7 @@ from dockflow.operators.ranking import topk
 from dockflow.operators.rollups import top_routes
 from dockflow.operators.series import daily_series, trend_band
 from dockflow.operators.spatial import density
-from dockflow.session import small_side
+from dockflow.session import stage
 
 # Service level per borough used where none was measured.
 DEFAULT_SCORES = {"Manhattan": 0.92, "Brooklyn": 0.87, "Queens": 0.78, "Bronx": 0.71, "Staten Island": 0.65}
@@ -49,12 +49,12 @@ def overview_kpis(base: DataFrame) -> DataFrame:
 def overview_series(daily: DataFrame, weather: DataFrame) -> DataFrame:
     """Daily trips with temperature, rain and humidity of the day."""
     w = weather.select("date", "temp", F.col("prcp").alias("precip"), estimate_humidity(F.col("date"), F.col("prcp")).alias("humidity"))
-    return daily.join(small_side(w), "date", "left")
+    return daily.join(w, "date", "left")
 
 
 def overview_anomalies(daily: DataFrame, weather: DataFrame, k: float = 2.0) -> DataFrame:
     w = weather.select("date", "temp", F.col("prcp").alias("precip"))
-    return (daily_anomalies(daily, k).withColumn("z_score", round_half_even(F.col("z_score"), 2)).join(small_side(w), "date", "left"))
+    return (daily_anomalies(daily, k).withColumn("z_score", round_half_even(F.col("z_score"), 2)).join(w, "date", "left"))
 
 
 def rider_heatmap(daily_demand: DataFrame, riders: tuple[str, ...] = ("casual", "member")) -> DataFrame:
@@ -65,7 +65,7 @@ def rider_heatmap(daily_demand: DataFrame, riders: tuple[str, ...] = ("casual",
 def system_overview(hourly: DataFrame, daily_demand: DataFrame, weather: DataFrame, start: str | None = None, end: str | None = None,
                     days: str | None = None) -> dict[str, DataFrame]:
     """The five parts of the overview over one kept base of filtered hourly sums (one row per hour of the period)."""
-    base = filter_hourly(hourly, start, end, days).persist()
+    base = stage(filter_hourly(hourly, start, end, days), "overview")
     daily = daily_series(base)
     return {"kpis": overview_kpis(base), "time_series": overview_series(daily, weather), "trend": trend_band(daily),
             "anomalies": overview_anomalies(daily, weather), "heatmap": rider_heatmap(daily_demand)}
@@ -92,7 +92,7 @@ def station_day_profile(profile: DataFrame) -> DataFrame:
 
 def station_detail(profile: DataFrame, locations: DataFrame, name: str) -> dict[str, DataFrame]:
     """Totals, profiles and location of one station; raises KeyError for an unknown one."""
-    rows = profile.where(F.col("start_station_name") == name).persist()
+    rows = stage(profile.where(F.col("start_station_name") == name), "station-profile")
     if rows.isEmpty():
         raise KeyError(f"station not found: {name}")
     return {"kpis": station_kpis(rows), "hourly_profile": station_hour_profile(rows), "daily_profile": station_day_profile(rows),

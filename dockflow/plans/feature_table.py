@@ -14,16 +14,18 @@ from dockflow.operators.quantiles import bounded_quantiles
 from dockflow.operators.rollups import station_hourly, station_quality, top_stations
 from dockflow.operators.series import add_lags, add_rolling, densify, ema, ffill_bfill
 from dockflow.schemas import EMA_SPAN, FEATURES, LAGS, ROLLING
-from dockflow.session import small_side, stage
+from dockflow.session import stage
 
 
-def kept_series(trips: DataFrame, n_stations: int) -> DataFrame:
-    """Hourly series of the best stations by quality.
+def kept_series(trips: DataFrame, n_stations: int | None = None) -> DataFrame:
+    """Hourly series of all stations, or of the best ``n_stations`` by quality.
 
     Both the full and the kept series are staged: the trips, by far the largest table, are read once, and everything that
     follows (quality, ends of the grid, hours, windows) starts from the much smaller table of station hours.
     """
     series = stage(station_hourly(trips), "station-hourly")
+    if n_stations is None:
+        return series
     return stage(keep_stations(series, top_stations(station_quality(series), n_stations)), "kept-series")
 
 
@@ -70,14 +72,14 @@ def add_history(grid: DataFrame, col: str = "pickups") -> DataFrame:
     return add_rolling(add_lags(ema(grid, col, EMA_SPAN, f"ema_{EMA_SPAN}h"), col, LAGS), col, ROLLING)
 
 
-def feature_table(trips: DataFrame, weather: DataFrame, n_stations: int = 200, with_extremes: bool = False, series: DataFrame | None = None) -> DataFrame:
+def feature_table(trips: DataFrame, weather: DataFrame, n_stations: int | None = None, with_extremes: bool = False, series: DataFrame | None = None) -> DataFrame:
     """Station, hour, target and the 54 features in their order, for all rows of the complete grid.
 
     Pass a staged ``series`` when it is also used elsewhere, so that trips are read once.
     """
     series = kept_series(trips, n_stations) if series is None else series
     history = add_history(densify(series, ["pickups", "dropoffs", "net_demand"]))
-    hours = small_side(hour_features(series, weather, with_extremes))
+    hours = hour_features(series, weather, with_extremes)
     extra = [c for c in hours.columns if c not in FEATURES and c != "time"]
     return history.join(hours, "time", "left").select("station_name", "time", "pickups", "dropoffs", "net_demand", *FEATURES, *extra)
 
@@ -92,4 +94,4 @@ def evaluation_features(trips: DataFrame, weather: DataFrame) -> DataFrame:
     series = stage(station_hourly(trips), "station-hourly")
     history = ema(series, "pickups", EMA_SPAN, f"ema_{EMA_SPAN}h", fill=0.0)
     history = add_rolling(add_lags(history, "pickups", LAGS, fill=0), "pickups", ROLLING, zero_fill=True)
-    return history.join(small_side(hour_features(series, weather)), "time", "left")
+    return history.join(hour_features(series, weather), "time", "left")

@@ -1,4 +1,4 @@
-"""Session set-up, shared staging storage and the size check behind every broadcast."""
+"""Session set-up and shared staging storage. Joins are left to adaptive execution, which broadcasts by measured bytes."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A dimension is offered for broadcast only when it was counted and has at most this many rows.
-SMALL_SIDE_ROWS = 200_000
 
 _local_stage: str | None = None
 
@@ -63,12 +59,3 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Offer a dimension for broadcast after counting it; a larger one is left to a shuffled join.
-
-    The count stops at ``max_rows + 1`` rows and the counted frame is kept, so the join does not compute it again.
-    """
-    kept = df.persist()
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept

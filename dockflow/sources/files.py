@@ -40,25 +40,44 @@ def read_station(spark: SparkSession, path: str, name, key: str = "station_name"
     return spark.read.parquet(path).where(F.col(key) == F.lit(name))
 
 
-def read_trip_files(spark: SparkSession, globs: list[str], schema: T.StructType) -> DataFrame:
-    """All CSV files of several globs; globs without a file are left out, corrupt files are skipped.
+def trip_file_headers(spark: SparkSession, globs: list[str], schema: T.StructType) -> DataFrame:
+    """(path, header, skipped) of every file that a glob matches: its first line, and why it can't be read, if so; empty files have no row.
 
-    Columns are matched by header name, so files may order or lack columns.
+    Only the first block of each file is looked at, and its lines are folded where they are read.
     """
-    frames = []
-    for g in globs:
-        if not exists(spark, g):
-            continue
-        names = spark.read.option("header", True).csv(g).columns
-        known = {f.name: f for f in schema.fields}
-        as_found = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
-        part = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("timestampNTZFormat", NTZ_FORMAT).schema(as_found).csv(g)
-        frames.append(part.select(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]))
-    if not frames:
-        return spark.createDataFrame([], schema)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    found = [g for g in globs if exists(spark, g)]
+    if not found:
+        return spark.createDataFrame([], "path string, header string, skipped string")
+    files = spark.read.format("binaryFile").load(found).select("path")
+    lines = (spark.read.text(found).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+             .where("start = 0").withColumn("line", F.monotonically_increasing_id()))
+    first = lines.groupBy(F.regexp_replace("path", "^file:/+", "file:/").alias("path")).agg(F.min_by("value", "line").alias("header"))
+    known = F.arrays_overlap(F.split(F.regexp_replace("header", '"', ""), ","), F.array(*[F.lit(f.name) for f in schema.fields]))
+    why = F.when(F.coalesce(known, F.lit(False)), None).otherwise("no known column in the header")
+    return files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(first, "path", "left").select("path", "header", why.alias("skipped"))
+
+
+def read_trip_files(spark: SparkSession, globs: list[str], schema: T.StructType, corrupt: str | None = None) -> DataFrame:
+    """All CSV files of several globs; globs without a file are left out, and so are the files that ``trip_file_headers`` marks as skipped.
+
+    Columns are matched by name in each file, so files of one glob may order or lack columns: there is one scan for each
+    distinct header. Malformed lines give nulls; with ``corrupt`` that column has their text.
+    """
+    by_header: dict[str, list[str]] = {}
+    for r in trip_file_headers(spark, globs, schema).where("skipped is null").collect():  # one short row per file
+        by_header.setdefault(r.header, []).append(r.path)
+    wanted = [*schema.fields, *([T.StructField(corrupt, T.StringType())] if corrupt else [])]
+    known = {f.name: f for f in schema.fields}
+    out = spark.createDataFrame([], T.StructType(wanted))
+    for header in sorted(by_header):
+        paths = by_header[header]
+        names = spark.read.option("header", True).csv(paths[0]).columns
+        as_found = [known.get(n, T.StructField(n, T.StringType())) for n in names] + ([T.StructField(corrupt, T.StringType())] if corrupt else [])
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).option("timestampNTZFormat", NTZ_FORMAT)
+        if corrupt:
+            reader = reader.option("columnNameOfCorruptRecord", corrupt)
+        part = reader.schema(T.StructType(as_found)).csv(paths)
+        out = out.unionByName(part.select(*[F.col(f.name) if f.name in (*names, corrupt) else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]))
     return out
 
 

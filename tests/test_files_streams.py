@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dockflow import schemas
 from dockflow.functions.cleaning import align_features, missing_features
-from dockflow.session import SMALL_SIDE_ROWS, small_side, stage
+from dockflow.session import stage
 from dockflow.sources import files, sinks
 from dockflow.streaming import live
 
@@ -70,15 +70,32 @@ def test_latest_status_over_batches_and_restart(spark, tmp_path):
     assert again.board(spark).count() == 0
 
 
-def test_stage_and_small_side(spark):
-    df = spark.range(10)
-    assert stage(df, "t").count() == 10
-    big = spark.range(SMALL_SIDE_ROWS + 1)
-    plan = spark.range(5).join(small_side(big), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in plan
-    plan = spark.range(5).join(small_side(df), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan
-    spark.catalog.clearCache()
+def test_stage(spark):
+    assert stage(spark.range(10), "t").count() == 10
+
+
+def test_mixed_headers_in_one_glob(spark, tmp_path):
+    (tmp_path / "b1.csv").write_text("trip_id,member_casual,rideable_type\n1,member,classic\n")
+    (tmp_path / "b2.csv").write_text("rideable_type,member_casual,trip_id\nelectric,casual,2\nelectric,casual,3,4,5\n")
+    (tmp_path / "b3.csv").write_text("")
+    (tmp_path / "b4.csv").write_text("nothing,known\n1,2\n")
+    out = files.read_trip_files(spark, [str(tmp_path / "b*.csv")], schemas.TRIPS, corrupt="bad").collect()
+    assert sorted((r.trip_id, r.member_casual, r.rideable_type) for r in out if r.bad is None) == [(1, "member", "classic"), (2, "casual", "electric")]
+    assert [r.bad for r in out if r.bad] == ["electric,casual,3,4,5"]
+    skipped = files.trip_file_headers(spark, [str(tmp_path / "b*.csv")], schemas.TRIPS).where("skipped is not null").collect()
+    assert sorted((r.path.rsplit("/")[-1], r.skipped) for r in skipped) == [("b4.csv", "no known column in the header")]  # an empty file has no row
+
+
+def test_linear_fill_of_many_hours(spark):
+    import time
+
+    from dockflow.operators.series import ffill_bfill
+
+    df = spark.range(50_000).selectExpr("id time", "case when id > 40000 and id % 7 = 0 then cast(id as double) end v")
+    start = time.time()
+    assert ffill_bfill(df, ["v"], "time").where("v is null").count() == 0
+    assert time.time() - start < 15
+    assert ffill_bfill(df, ["v"], "time").where("time = 3").first().v == 40005.0
 
 
 def test_feature_list(spark):
