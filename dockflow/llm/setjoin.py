@@ -28,7 +28,7 @@ WORDS, SIMILAR = 4, 85  # words of a shingle, percent of the union that must be
 GROUP_SETS = 32  # sets of a group; a larger one is dealt out by hash
 HOT_DOCS = 24  # a token of more prefixes than this comes last in the order
 HOT_BITS, SHARED_BITS, WANTED_BITS = 24, 26, 24  # sizes of the bitmaps (2, 8 and 2 MB), whatever the input
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 _A, _B, _C, _D, _M, _N = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -37,7 +37,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        v = xxhash.xxh64_intdigest(word)
+        v = xxhash.xxh64_intdigest(word) - (1 << 63)  # signed: numpy takes those faster
         if len(word) <= 64:
             self[word] = v
         return v
@@ -50,13 +50,18 @@ def shingle_set(text: bytes, words: WordHashes, size: int = WORDS) -> np.ndarray
         return np.zeros(0, np.uint64)
     if len(parts) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(parts), seed=len(parts))], np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts)).view(np.uint64)
     n, out = len(h) - size + 1, np.zeros(len(h) - size + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            out = (out ^ (out >> _SHIFT)) * _A + h[k:k + n] * _B
-        out = (out ^ (out >> _SHIFT)) * _M
-    return np.unique(out ^ (out >> _SHIFT))
+            out ^= out >> _SHIFT
+            out *= _A
+            out += h[k:k + n]
+        out ^= out >> _SHIFT
+        out *= _M
+    out ^= out >> _SHIFT
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 _SHIFT = np.uint64(31)
@@ -75,12 +80,12 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketches(docs: DataFrame, size: int, similar: int) -> DataFrame:
+def sketches(docs: DataFrame, similar: int) -> DataFrame:
     """(doc_id, n, cls, m1, m2, prefix) of each text: its set's size and digest, two minimum hashes, and its lowest tokens."""
     def run(batches: Iterator[pa.RecordBatch]):
         words = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, words, size) for t in bytes_of(b.column(1))]
+            sets = [shingle_set(t, words) for t in bytes_of(b.column(1))]
             with np.errstate(over="ignore"):
                 second = [int(_long((t * _D ^ (t >> _SHIFT) * _C)).min()) if len(t) else 0 for t in sets]
             yield pa.RecordBatch.from_pydict({
@@ -91,42 +96,72 @@ def sketches(docs: DataFrame, size: int, similar: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, cls binary, m1 long, m2 long, prefix array<long>")
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray, size: int, similar: int) -> DataFrame:
-    """(doc_id, cls, prefix): the first tokens in the common order, tokens marked as hot last."""
+def prefixes(docs: DataFrame, hot: np.ndarray, similar: int) -> DataFrame:
+    """(doc_id, cls, prefix): the first tokens in the common order, tokens marked as hot last; only of texts where that changes them."""
     share = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]):
         words = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, words, size) for t in bytes_of(b.column(1))]
-            out = []
-            for t in sets:
-                if len(t):
+            sets = [shingle_set(t, words) for t in bytes_of(b.column(1))]
+            at, out, cls = [], [], []
+            for i, t in enumerate(sets):
+                k = prefix_length(len(t), similar)
+                if len(t) and in_bitmap(share.value, t[:k], HOT_BITS).any():
                     late = in_bitmap(share.value, t, HOT_BITS)
-                    t = np.concatenate([t[~late], t[late]])[:prefix_length(len(t), similar)]
-                out.append(_long(t))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "cls": pa.array([class_of(t) for t in sets], pa.binary()), "prefix": pa.array(out, pa.list_(pa.int64()))})
+                    at.append(i)
+                    out.append(_long(np.concatenate([t[~late], t[late]])[:k]))
+                    cls.append(class_of(t))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(at, pa.int64())), "cls": pa.array(cls, pa.binary()), "prefix": pa.array(out, pa.list_(pa.int64()))})
 
     return docs.mapInArrow(run, "doc_id long, cls binary, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``wanted`` (rep, cls, ...) with the tokens of each. A bitmap of the wanted ids spares most other texts; the join decides."""
-    share = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("h")), "h", WANTED_BITS))
+def cold_prefixes(s: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Of the sketches: those whose lowest tokens have no hot one among them, which are their prefix already, and the ids of the others."""
+    share = s.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            late = in_bitmap(share.value, b.column("prefix").flatten().to_numpy(), HOT_BITS)
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column("prefix").offsets.to_numpy()))
+            some = np.bincount(row[late], minlength=b.num_rows) > 0
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "cls")), pa.array([None if x else p for x, p in zip(some, b.column("prefix"))], pa.list_(pa.int64()))], names=["doc_id", "cls", "prefix"])
+
+    out = stage(s.select("doc_id", "cls", "prefix").mapInArrow(run, "doc_id long, cls binary, prefix array<long>"), "setjoin-cold")
+    return out.where("prefix is not null"), out.where("prefix is null").select("doc_id")
+
+
+def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (doc_id, t) whose id is, by its bit in a bitmap, probably one of ``ids``."""
+    share = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h", WANTED_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        words = WordHashes()
         for b in batches:
-            b = b.filter(pa.array(in_bitmap(share.value, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), WANTED_BITS)))
-            sets = [shingle_set(t, words, size) for t in bytes_of(b.column(1))]
-            yield pa.RecordBatch.from_pydict({"rep": b.column(0), "cls": pa.array([class_of(t) for t in sets], pa.binary()), "tokens": pa.array([t.tobytes() for t in sets], pa.binary())})
+            yield b.filter(pa.array(in_bitmap(share.value, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), WANTED_BITS))).select([0, 1])
+
+    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, t binary")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep, cls, ...) with the text ``t`` of each; texts are smaller than sets of hashes, which tasks make again.
+
+    A bitmap of the wanted ids spares most other texts; the join decides.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            cls = pa.array([class_of(shingle_set(t, _words)) for t in bytes_of(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), cls, b.column(1)], names=["rep", "cls", "t"])
+
+    found = some_of(docs, wanted.select(F.col("rep").alias("doc_id"))).mapInArrow(run, "rep long, cls binary, t binary")
+    return found.groupBy("rep", "cls").agg(F.first("t").alias("t")).join(wanted, ["rep", "cls"])
+
 
-    found = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "rep long, cls binary, tokens binary")
-    return found.groupBy("rep", "cls").agg(F.first("tokens").alias("tokens")).join(wanted, ["rep", "cls"])
+_words = WordHashes()  # of a worker, for functions that see few texts at a time
 
 
-def _tokens(x) -> np.ndarray:
-    return np.frombuffer(x, np.uint64)
+def _tokens(text: bytes) -> np.ndarray:
+    return shingle_set(bytes(text), _words)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -147,7 +182,7 @@ def _similar(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
 def inside_links(sets: DataFrame, similar: int) -> DataFrame:
     """(a, b): links that connect what is connected inside each group; members in one component already aren't compared again."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids, sets, root, out = g["rep"].tolist(), [_tokens(x) for x in g["tokens"]], list(range(len(g))), []
+        ids, sets, root, out = g["rep"].tolist(), [_tokens(x) for x in g["t"]], list(range(len(g))), []
 
         def top(i):
             while root[i] != i:
@@ -166,9 +201,9 @@ def inside_links(sets: DataFrame, similar: int) -> DataFrame:
 
 def leader_links(sets: DataFrame, similar: int) -> DataFrame:
     """Links between the first members of the parts of one dealt-out group and that of its part 0."""
-    first = sets.groupBy("m1", "m2", "salt").agg(F.min_by(F.struct("rep", "tokens"), "rep").alias("x"))
+    first = sets.groupBy("m1", "m2", "salt").agg(F.min_by(F.struct("rep", "t"), "rep").alias("x"))
     base = first.where("salt = 0").select("m1", "m2", F.col("x").alias("y"))
-    pairs = first.where("salt > 0").join(base, ["m1", "m2"]).select(F.col("x.rep").alias("a"), F.col("x.tokens").alias("s"), F.col("y.rep").alias("b"), F.col("y.tokens").alias("t"))
+    pairs = first.where("salt > 0").join(base, ["m1", "m2"]).select(F.col("x.rep").alias("a"), F.col("x.t").alias("s"), F.col("y.rep").alias("b"), F.col("y.t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -180,7 +215,7 @@ def leader_links(sets: DataFrame, similar: int) -> DataFrame:
 def matrices(sets: DataFrame) -> DataFrame:
     """The matrix of each group: (gid, tokens of the union, members, their components, one row of bits for each member)."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        each = [_tokens(x) for x in g["tokens"]]
+        each = [_tokens(x) for x in g["t"]]
         union = np.unique(np.concatenate(each))
         bits = np.zeros((len(each), len(union)), bool)
         for k, s in enumerate(each):
@@ -196,7 +231,7 @@ def opened(candidates: DataFrame, similar: int) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                q, union, k = _tokens(r["query"]), _tokens(r["tokens"]), len(r["members"])
+                q, union, k = _tokens(r["query"]), np.frombuffer(r["tokens"], np.uint64), len(r["members"])
                 at = np.minimum(np.searchsorted(union, q), len(union) - 1)
                 hit = at[union[at] == q]
                 if 100 * len(hit) < similar * len(q):
@@ -213,7 +248,7 @@ def opened(candidates: DataFrame, similar: int) -> DataFrame:
     return candidates.mapInArrow(run, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: texts link if ``similar`` percent of the union of their sets are common.
 
     ``key`` is a whole number. Texts without words (null, empty, blanks) link with nothing; a row without a key isn't linked and has no
@@ -222,21 +257,23 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     known = rows.where("doc_id is not null")
-    s = stage(sketches(rows, size, similar), "setjoin-sketches")
+    s = stage(sketches(rows, similar), "setjoin-sketches")
     real = s.where("n > 0 and doc_id is not null")
     c = stage(real.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")), "setjoin-classes")
     # groups: classes that agree on both minimum hashes, dealt out by hash if there are many
     many = c.groupBy("m1", "m2").agg(F.count("*").alias("k")).where("k > 1")
     salt = F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("k", F.lit(1)) / GROUP_SETS)).cast("int")
     grouped = stage(c.join(many, ["m1", "m2"], "left").withColumn("salt", salt).withColumn("gid", F.xxhash64("m1", "m2", "salt")), "setjoin-groups")
-    inside = stage(sets_of(known, grouped.where("k > 1").select("rep", "cls", "gid", "m1", "m2", "salt", "k"), size), "setjoin-inside")
-    near = stage(inside_links(inside.select("gid", "rep", "tokens"), similar).unionByName(leader_links(inside.where(f"k > {GROUP_SETS}"), similar)), "setjoin-near")
+    inside = stage(texts_of(known, grouped.where("k > 1").select("rep", "cls", "gid", "m1", "m2", "salt", "k")), "setjoin-inside")
+    near = stage(inside_links(inside.select("gid", "rep", "t"), similar).unionByName(leader_links(inside.where(f"k > {GROUP_SETS}"), similar)), "setjoin-near")
     linked = components(near, "setjoin-first")
     info = grouped.join(linked.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("rep", "cls", "n", "gid", F.coalesce("component", "rep").alias("comp"))
     info = stage(info, "setjoin-info")
     # the matrix of prefix tokens and groups, without tokens of a single component
     hot = bitmap(real.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HOT_DOCS), "token", HOT_BITS)
-    first = stage(prefixes(known, hot, size, similar).join(info.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).drop("cls"), "setjoin-prefixes")
+    cold, warm = cold_prefixes(real, hot)
+    first = cold.unionByName(prefixes(some_of(known, warm), hot, similar)).dropDuplicates(["doc_id", "cls"])
+    first = stage(first.join(info.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).drop("cls"), "setjoin-prefixes")
     tokens = first.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     x = stage(explode_shared(first, bitmap(tokens, "token", SHARED_BITS)), "setjoin-shared")
     g = x.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).withColumnRenamed("gid", "other")
@@ -245,9 +282,9 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # exact comparison in the groups that open
     ids, groups = candidates.select(F.col("doc_id").alias("rep")).distinct(), candidates.select(F.col("other").alias("gid")).distinct()
     wanted = info.join(ids.withColumn("asks", F.lit(True)), "rep", "left").join(groups.withColumn("asked", F.lit(True)), "gid", "left").where("asks or asked")
-    sets = stage(sets_of(known, wanted, size), "setjoin-sets")
-    matrix = matrices(sets.where("asked").select("gid", "rep", "comp", "tokens"))
-    asking = candidates.join(sets.where("asks").select(F.col("rep").alias("doc_id"), "comp", F.col("tokens").alias("query")), "doc_id")
+    sets = stage(texts_of(known, wanted), "setjoin-texts")
+    matrix = matrices(sets.where("asked").select("gid", "rep", "comp", "t"))
+    asking = candidates.join(sets.where("asks").select(F.col("rep").alias("doc_id"), "comp", F.col("t").alias("query")), "doc_id")
     links = opened(asking.select(F.col("doc_id").alias("rep"), "comp", "query", F.col("other").alias("gid")).join(matrix, "gid"), similar)
     all_links = stage(links.unionByName(near), "setjoin-links")
     whole = stage(components(all_links, "setjoin-second").select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "setjoin-components")
