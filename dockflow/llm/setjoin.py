@@ -13,7 +13,7 @@ ruled out by a bound, or compared.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ WORDS, SIMILAR = 4, 85  # words of a shingle, percent of the union that must be
 GROUP_SETS = 32  # sets of a group; a larger one is dealt out by hash
 HOT_DOCS = 24  # a token of more prefixes than this comes last in the order
 HOT_BITS, SHARED_BITS, WANTED_BITS = 24, 26, 24  # sizes of the bitmaps (2, 8 and 2 MB), whatever the input
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000  # of a worker; about 35 MB
 
 _A, _B, _C, _D, _M, _N = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -96,11 +96,11 @@ def sketches(docs: DataFrame, similar: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, cls binary, m1 long, m2 long, prefix array<long>")
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray, similar: int) -> DataFrame:
-    """(doc_id, cls, prefix): the first tokens in the common order, tokens marked as hot last; only of texts where that changes them."""
+def prefixes(docs: DataFrame, ids: DataFrame, hot: np.ndarray, similar: int) -> DataFrame:
+    """(doc_id, cls, prefix) of ``ids``: the first tokens in the common order, tokens marked as hot last; only of texts where that changes them."""
     share = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def make(batches: Iterator[pa.RecordBatch]):
         words = WordHashes()
         for b in batches:
             sets = [shingle_set(t, words) for t in bytes_of(b.column(1))]
@@ -114,7 +114,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, similar: int) -> DataFrame:
                     cls.append(class_of(t))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(at, pa.int64())), "cls": pa.array(cls, pa.binary()), "prefix": pa.array(out, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, cls binary, prefix array<long>")
+    return of_some(docs, ids, make, "doc_id long, cls binary, prefix array<long>")
 
 
 def cold_prefixes(s: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -132,15 +132,15 @@ def cold_prefixes(s: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
     return out.where("prefix is not null"), out.where("prefix is null").select("doc_id")
 
 
-def some_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents (doc_id, t) whose id is, by its bit in a bitmap, probably one of ``ids``."""
+def of_some(docs: DataFrame, ids: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``make`` over the batches of documents (doc_id, t) whose id is, by its bit in a bitmap, probably one of ``ids``; in one Python worker."""
     share = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h", WANTED_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            yield b.filter(pa.array(in_bitmap(share.value, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), WANTED_BITS))).select([0, 1])
+        few = (b.filter(pa.array(in_bitmap(share.value, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), WANTED_BITS))) for b in batches)
+        yield from make(b for b in few if b.num_rows)
 
-    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, t binary")
+    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,12 +148,12 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bitmap of the wanted ids spares most other texts; the join decides.
     """
-    def run(batches: Iterator[pa.RecordBatch]):
+    def make(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             cls = pa.array([class_of(shingle_set(t, _words)) for t in bytes_of(b.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), cls, b.column(1)], names=["rep", "cls", "t"])
 
-    found = some_of(docs, wanted.select(F.col("rep").alias("doc_id"))).mapInArrow(run, "rep long, cls binary, t binary")
+    found = of_some(docs, wanted.select(F.col("rep").alias("doc_id")), make, "rep long, cls binary, t binary")
     return found.groupBy("rep", "cls").agg(F.first("t").alias("t")).join(wanted, ["rep", "cls"])
 
 
@@ -272,7 +272,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # the matrix of prefix tokens and groups, without tokens of a single component
     hot = bitmap(real.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HOT_DOCS), "token", HOT_BITS)
     cold, warm = cold_prefixes(real, hot)
-    first = cold.unionByName(prefixes(some_of(known, warm), hot, similar)).dropDuplicates(["doc_id", "cls"])
+    first = cold.unionByName(prefixes(known, warm, hot, similar)).dropDuplicates(["doc_id", "cls"])
     first = stage(first.join(info.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).drop("cls"), "setjoin-prefixes")
     tokens = first.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     x = stage(explode_shared(first, bitmap(tokens, "token", SHARED_BITS)), "setjoin-shared")
