@@ -6,7 +6,8 @@ union, so only groups that pass this bound are opened and their members compared
 
 Which groups are bounded at all is found through prefixes: in one common order of all tokens, frequent ones last, two similar sets
 share a token among the first few of each. Groups are linked inside before they meet others, and a set skips the groups of its own
-component, so many near copies of one text give few rows. Nothing is capped: every pair of classes is either in a component already,
+component, so many near copies of one text give few rows. One set of each component asks a group first; the others ask only if the
+two are still apart after that. Nothing is capped: every pair of classes is either in a component already,
 ruled out by a bound, or compared.
 """
 
@@ -248,6 +249,13 @@ def opened(candidates: DataFrame, similar: int) -> DataFrame:
     return candidates.mapInArrow(run, "a long, b long")
 
 
+def asked_links(candidates: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links of the candidates (doc_id, other) to members of the group ``other``, from the texts in ``sets``."""
+    groups = sets.where("asked").join(candidates.select(F.col("other").alias("gid")).distinct(), "gid", "left_semi")
+    asking = candidates.select("doc_id", "other").join(sets.where("asks").select(F.col("rep").alias("doc_id"), "comp", F.col("t").alias("query")), "doc_id")
+    return opened(asking.select(F.col("doc_id").alias("rep"), "comp", "query", F.col("other").alias("gid")).join(matrices(groups.select("gid", "rep", "comp", "t")), "gid"), similar)
+
+
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: texts link if ``similar`` percent of the union of their sets are common.
 
@@ -278,15 +286,18 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     x = stage(explode_shared(first, bitmap(tokens, "token", SHARED_BITS)), "setjoin-shared")
     g = x.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).withColumnRenamed("gid", "other")
     could = (F.col("gid") < F.col("other")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (100 * F.col("n_hi") >= similar * F.col("n")) & (similar * F.col("n_lo") <= 100 * F.col("n"))
-    candidates = stage(x.join(g, "token").where(could).select("doc_id", "other").distinct(), "setjoin-candidates")
-    # exact comparison in the groups that open
+    candidates = stage(x.join(g, "token").where(could).select("doc_id", "comp", "other").distinct(), "setjoin-candidates")
+    # exact comparison in the groups that open: first one set of each component asks a group, then those that are still apart from it
     ids, groups = candidates.select(F.col("doc_id").alias("rep")).distinct(), candidates.select(F.col("other").alias("gid")).distinct()
     wanted = info.join(ids.withColumn("asks", F.lit(True)), "rep", "left").join(groups.withColumn("asked", F.lit(True)), "gid", "left").where("asks or asked")
     sets = stage(texts_of(known, wanted), "setjoin-texts")
-    matrix = matrices(sets.where("asked").select("gid", "rep", "comp", "t"))
-    asking = candidates.join(sets.where("asks").select(F.col("rep").alias("doc_id"), "comp", F.col("t").alias("query")), "doc_id")
-    links = opened(asking.select(F.col("doc_id").alias("rep"), "comp", "query", F.col("other").alias("gid")).join(matrix, "gid"), similar)
-    all_links = stage(links.unionByName(near), "setjoin-links")
+    leaders = candidates.groupBy("comp", "other").agg(F.min("doc_id").alias("doc_id"))
+    early = stage(asked_links(leaders, sets, similar).unionByName(near), "setjoin-early")
+    joined = stage(components(early, "setjoin-third").select(F.col("node").alias("comp"), F.col("component").alias("now")), "setjoin-joined")
+    of_group = info.join(joined.withColumnRenamed("comp", "rep"), "rep", "left").groupBy("gid").agg(*(f(F.coalesce("now", "rep")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    now = candidates.join(leaders, ["comp", "other", "doc_id"], "left_anti").join(joined, "comp", "left").withColumn("now", F.coalesce("now", "comp"))
+    rest = now.join(of_group.withColumnRenamed("gid", "other"), "other").where("lo <> now or hi <> now").select("comp", "other", "doc_id")
+    all_links = stage(asked_links(stage(rest, "setjoin-rest"), sets, similar).unionByName(early), "setjoin-links")
     whole = stage(components(all_links, "setjoin-second").select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "setjoin-components")
     of_class = c.select("cls", "rep").join(whole, "rep", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     return (s.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(stage(of_class, "setjoin-result"), "cls", "left")
