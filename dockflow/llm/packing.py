@@ -25,7 +25,10 @@ def cost_of(length: int, fixed: float = 256.0, quadratic: float = 65536.0) -> fl
 
 
 def pack(lengths: np.ndarray, sizes: Sequence[int], costs: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best fit, longest first: (bin, offset) of each item, (size, fill) of each bin. No item is longer than the largest size."""
+    """Best fit, longest first: (bin, offset) of each item, (size, fill) of each bin. No item is longer than the largest size.
+
+    Of equally tight bins that takes the item which changed last; items of equal length keep their order.
+    """
     sizes, costs = np.asarray(sizes), np.asarray(costs, float)
     order = np.argsort(-lengths, kind="stable")
     per_place = costs / sizes
