@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import bytebpe, capdedup, langid, linecrf, ordinal, packing, secrets, setjoin, toxicity, warc
+from dockflow.llm import bytebpe, capdedup, langid, licences, linecrf, ordinal, packing, secrets, setjoin, spelling, toxicity, warc, whitening
 from dockflow.llm.shared import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,43 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = ordinal.train(docs, ratings.where(fold(5) != 0), 3)
     rated = ordinal.rate(docs, model)
     return rated.select("doc_id", (fold(5) == 0).alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_usable"), F.col("tails")[1].alias("p_best"), (F.col("tails")[0] >= 0.5).alias("kept"))
+
+
+@query
+def op11_spectrum_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
+def _templates() -> str:
+    every = (*licences.PHRASES, *licences.TEMPLATES)
+    return ", ".join(f"({i}, '{t}', '{label}', {str(i < len(licences.PHRASES)).lower()})" for i, (t, label) in enumerate(every))
+
+
+CHECKS["op12_license_scan"] = f"""
+    with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+    t(template, txt, label, base) as (values {_templates()}),
+    tg as (select template, label, base, len(tw) size, len(tw) - 2 grams, unnest(range(1, len(tw) - 1)) p, tw from (select *, string_split(txt, ' ') tw from t)),
+    hits as (select r, template, label, base, size, grams, tg.p - 1 tpos, x.p - tg.p diagonal from (select r, w, unnest(range(1, len(w) - 1)) p from d) x
+             join tg on w[x.p] = tw[tg.p] and w[x.p + 1] = tw[tg.p + 1] and w[x.p + 2] = tw[tg.p + 2]),
+    votes as (select r, template, diagonal, count(*) n, min(tpos) lo, max(tpos) hi, lag(diagonal) over (partition by r, template order by diagonal) prev from hits group by 1, 2, 3),
+    parts as (select *, sum(case when diagonal - prev <= {licences.NEAR} then 0 else 1 end) over (partition by r, template order by diagonal) part from votes),
+    spans as (select r, template, part, max(diagonal + hi) + 3 - min(diagonal + lo) length from parts group by 1, 2, 3),
+    merged as (select r, template, part, label, base, size, grams, count(distinct tpos) n from hits join parts using (r, template, diagonal) group by all),
+    copies as (select r, label, base, case when length <= {licences.LONGEST}e0 * size then n / grams::double else 0e0 end share from merged join spans using (r, template, part)),
+    places as (select r, label, diagonal from parts join t using (template) join (select distinct template, grams from tg) using (template) where base and n = grams),
+    of_base as (select r, count(*) n_base, min(diagonal) first_word, max(diagonal) last_word, string_agg(distinct label, ',' order by label) base_labels from places group by 1),
+    found as (select r, label from places union select r, label from copies where not base and share >= {licences.LEAST_SHARE}e0),
+    of_all as (select r, string_agg(distinct label, ',' order by label) labels from found group by 1),
+    best as (select r, max(share) score from copies group by 1)
+    select doc_id, len(w) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0e0) score
+    from d left join of_base using (r) left join of_all using (r) left join best using (r)"""
+
+
+@query
+def op13_pivotal_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
