@@ -20,10 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.shared import bitmap, bytes_of, components, in_bitmap, settled, stage
+from dockflow.llm.shared import bitmap, bytes_of, components, in_bitmap, stage
 
 WORDS, SIMILAR = 4, 85  # words of a shingle, percent of the union that must be common
 GROUP_SETS = 32  # sets of a group; a larger one is dealt out by hash
@@ -265,45 +265,57 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     known = rows.where("doc_id is not null")
-    s = settled(sketches(rows, similar), "setjoin-sketches")
+    s = stage(sketches(rows, similar), "setjoin-sketches")
     real = s.where("n > 0 and doc_id is not null")
-    c = settled(real.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")), "setjoin-classes")
+    c = stage(real.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")), "setjoin-classes")
     # groups: classes that agree on both minimum hashes, dealt out by hash if there are many
     many = c.groupBy("m1", "m2").agg(F.count("*").alias("k")).where("k > 1")
     salt = F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("k", F.lit(1)) / GROUP_SETS)).cast("int")
-    grouped = settled(c.join(many, ["m1", "m2"], "left").withColumn("salt", salt).withColumn("gid", F.xxhash64("m1", "m2", "salt")), "setjoin-groups")
-    inside = settled(texts_of(known, grouped.where("k > 1").select("rep", "cls", "gid", "m1", "m2", "salt", "k")), "setjoin-inside")
-    near = settled(inside_links(inside.select("gid", "rep", "t"), similar).unionByName(leader_links(inside.where(f"k > {GROUP_SETS}"), similar)), "setjoin-near")
+    grouped = stage(c.join(many, ["m1", "m2"], "left").withColumn("salt", salt).withColumn("gid", F.xxhash64("m1", "m2", "salt")), "setjoin-groups")
+    inside = stage(texts_of(known, grouped.where("k > 1").select("rep", "cls", "gid", "m1", "m2", "salt", "k")), "setjoin-inside")
+    near = stage(inside_links(inside.select("gid", "rep", "t"), similar).unionByName(leader_links(inside.where(f"k > {GROUP_SETS}"), similar)), "setjoin-near")
     linked = components(near, "setjoin-first")
     info = grouped.join(linked.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("rep", "cls", "n", "gid", F.coalesce("component", "rep").alias("comp"))
-    info = settled(info, "setjoin-info")
+    info = stage(info, "setjoin-info")
     # the matrix of prefix tokens and groups, without tokens of a single component
     hot = bitmap(real.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HOT_DOCS), "token", HOT_BITS)
     cold, warm = cold_prefixes(real, hot)
     first = cold.unionByName(prefixes(known, warm, hot, similar)).dropDuplicates(["doc_id", "cls"])
-    first = settled(first.join(info.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).drop("cls"), "setjoin-prefixes")
+    first = stage(first.join(info.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).drop("cls"), "setjoin-prefixes")
     tokens = first.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    x = settled(explode_shared(first, bitmap(tokens, "token", SHARED_BITS)), "setjoin-shared")
+    x = stage(explode_shared(first, bitmap(tokens, "token", SHARED_BITS)), "setjoin-shared")
     g = x.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).withColumnRenamed("gid", "other")
     could = (F.col("gid") < F.col("other")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (100 * F.col("n_hi") >= similar * F.col("n")) & (similar * F.col("n_lo") <= 100 * F.col("n"))
-    candidates = settled(x.join(g, "token").where(could).select("doc_id", "comp", "other").distinct(), "setjoin-candidates")
+    met = x.join(g, "token").where(could).groupBy("doc_id", "comp", "n", "other").agg(F.count("*").alias("shared"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
+    candidates = stage(met.where(within_bound(similar)).select("doc_id", "comp", "other"), "setjoin-candidates")
     # exact comparison in the groups that open: first one set of each component asks a group, then those that are still apart from it
     ids, groups = candidates.select(F.col("doc_id").alias("rep")).distinct(), candidates.select(F.col("other").alias("gid")).distinct()
     wanted = info.join(ids.withColumn("asks", F.lit(True)), "rep", "left").join(groups.withColumn("asked", F.lit(True)), "gid", "left").where("asks or asked")
-    sets = settled(texts_of(known, wanted), "setjoin-texts")
+    sets = stage(texts_of(known, wanted), "setjoin-texts")
     leaders = candidates.groupBy("comp", "other").agg(F.min("doc_id").alias("doc_id"))
-    early = settled(asked_links(leaders, sets, similar).unionByName(near), "setjoin-early")
-    joined = settled(components(early, "setjoin-third").select(F.col("node").alias("comp"), F.col("component").alias("now")), "setjoin-joined")
+    early = stage(asked_links(leaders, sets, similar).unionByName(near), "setjoin-early")
+    joined = stage(components(early, "setjoin-third").select(F.col("node").alias("comp"), F.col("component").alias("now")), "setjoin-joined")
     of_group = info.join(joined.withColumnRenamed("comp", "rep"), "rep", "left").groupBy("gid").agg(*(f(F.coalesce("now", "rep")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
     now = candidates.join(leaders, ["comp", "other", "doc_id"], "left_anti").join(joined, "comp", "left").withColumn("now", F.coalesce("now", "comp"))
     rest = now.join(of_group.withColumnRenamed("gid", "other"), "other").where("lo <> now or hi <> now").select("comp", "other", "doc_id")
-    all_links = settled(asked_links(stage(rest, "setjoin-rest"), sets, similar).unionByName(early), "setjoin-links")
-    whole = settled(components(all_links, "setjoin-second").select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "setjoin-components")
+    all_links = stage(asked_links(stage(rest, "setjoin-rest"), sets, similar).unionByName(early), "setjoin-links")
+    whole = stage(components(all_links, "setjoin-second").select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "setjoin-components")
     of_class = c.select("cls", "rep").join(whole, "rep", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     return (s.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(stage(of_class, "setjoin-result"), "cls", "left")
             .select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def within_bound(similar: int) -> Column:
+    """Whether a set of ``n`` tokens can be similar to a member of a group whose union has ``shared`` tokens of its prefix.
+
+    Of two sets' common tokens those up to the end of the prefix that ends first are in both prefixes, the others are among what that set
+    has behind it, less than ``similar`` percent of its size. The members' sizes lie between n_lo and n_hi; the bound is loosest at the
+    smallest or the largest size that can be similar at all.
+    """
+    n, low, high = F.col("n"), F.greatest("n_lo", F.ceil(similar * F.col("n") / 100)), F.least("n_hi", F.floor(100 * F.col("n") / similar))
+    return F.greatest(*[(F.col("shared") * 100 + similar * F.greatest(n, m)) * (100 + similar) - 100 * similar * (n + m) for m in (low, high)]) >= 0
+
+
 def explode_shared(first: DataFrame, shared: np.ndarray) -> DataFrame:
     """(token, doc_id, gid, comp, n) of the prefix tokens whose bit is set."""
     share = first.sparkSession.sparkContext.broadcast(shared)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,15 +28,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settled(frame: DataFrame, name: str) -> DataFrame:
-    """``stage``, after which Spark drops the shuffle files that made the table: its cleaner follows the driver's garbage collection,
-    which would come late in a job of many stages."""
-    out = stage(frame, name)
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def bytes_of(column: pa.Array) -> list[bytes]:
     """The texts of a binary column as bytes; null is empty."""
     return [b"" if x is None else x for x in column.to_pylist()]
