@@ -21,49 +21,78 @@ from pyspark.sql import functions as F
 from dockflow.llm.shared import components, stage
 
 LEAST = 0.93
-BLOCKS, CODE = 2, 1024  # blocks of coordinates and code vectors of each: CODE ** BLOCKS filters of a code
 ROTATIONS, FILTERS = 10, 8  # codes, each of rotated coordinates, and filters of each that a vector of random direction exceeds on average
+PER_ROW, LARGEST_CODE, LEAST_THIRD = 20, 4096, 48  # filters of a code for each vector; code vectors of a block before a third one is made, with so many coordinates
+WIDE = 0.75  # of the linking angle: the radius of a cap where so many coordinates are few that narrower ones would part near vectors
 MARGIN = 1e-6  # of angles; what is closer to a border is left to the exact comparison
 
 
-@lru_cache(maxsize=32)
-def code(dim: int, rotation: int) -> tuple[np.ndarray, list[np.ndarray], list[slice], float]:
-    """Rotation, code vectors of each block, the blocks' coordinates and the threshold, the same everywhere for a number of coordinates."""
+def cap_share(dim: int, radius: float) -> float:
+    """Share of the sphere's directions within an angle of a fixed one."""
+    if dim == 1:
+        return 0.5
+    x = (np.arange(20_000) + 0.5) / 20_000
+    return float((np.sin(radius * x) ** (dim - 2)).sum() * radius / ((np.sin(np.pi * x) ** (dim - 2)).sum() * np.pi))
+
+
+@lru_cache(maxsize=64)
+def shape(dim: int, rows: int, theta: float) -> tuple[int, int, float | None]:
+    """(blocks, code vectors of each, threshold) for vectors of ``dim`` coordinates.
+
+    The filters grow with the rows, so a filter has as many vectors in a large table as in a small one, from some million rows on by a
+    third block of coordinates; but caps never get so narrow that near vectors have none in common, which limits their number where coordinates are
+    few. If that is very few, one block of caps with their own threshold covers the sphere. Otherwise the threshold follows from the
+    average number of filters.
+    """
+    few = FILTERS / cap_share(dim, WIDE * theta)
+    if few <= LARGEST_CODE:
+        return 1, max(2 * dim, int(np.ceil(few))), float(np.cos(WIDE * theta))
+    total = min(rows * PER_ROW, FILTERS / cap_share(dim, theta))
+    blocks = 2 if total <= LARGEST_CODE**2 or dim < LEAST_THIRD else 3
+    return blocks, max(64, int(np.ceil(total ** (1 / blocks)))), None
+
+
+@lru_cache(maxsize=64)
+def code(dim: int, rotation: int, blocks: int, size: int, least: float | None) -> tuple[np.ndarray, list[np.ndarray], list[slice], float]:
+    """Rotation, code vectors of each block, the blocks' coordinates and the threshold, the same everywhere for one shape."""
     rng = np.random.default_rng([dim, rotation])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     at, parts, slices = 0, [], []
-    for size in [len(x) for x in np.array_split(np.arange(dim), min(BLOCKS, dim))]:
-        c = rng.standard_normal((CODE, size))
+    for n in [len(x) for x in np.array_split(np.arange(dim), min(blocks, dim))]:
+        c = rng.standard_normal((size, n))
         parts.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        slices.append(slice(at, at + size))
-        at += size
-    u = rng.standard_normal((24, dim))
-    best = []
-    for x in u / np.linalg.norm(u, axis=1, keepdims=True):
-        total = np.zeros(1)
-        for c, s in zip(parts, slices):
-            total = (total[:, None] + (c @ x[s])[None, :]).ravel()
-        k = min(FILTERS * len(u), len(total))
-        best.append(np.partition(total, len(total) - k)[-k:])
-    every = np.sort(np.concatenate(best))[::-1]
-    return turn, parts, slices, float(every[min(FILTERS * len(u), len(every)) - 1])
-
-
-def decode(x: np.ndarray) -> np.ndarray:
-    """All filters that a unit vector exceeds; partial sums that can't reach the threshold any more are left early."""
+        slices.append(slice(at, at + n))
+        at += n
+    if least is None:
+        u = rng.standard_normal((24, dim))
+        best = []
+        for x in u / np.linalg.norm(u, axis=1, keepdims=True):
+            # the largest sums of one score of each block; smaller scores than the first FILTERS * 24 of a block aren't among them
+            total = np.zeros(1)
+            for c, s in zip(parts, slices):
+                scores = np.sort(c @ x[s])[::-1][:FILTERS * len(u)]
+                total = np.sort((total[:, None] + scores[None, :]).ravel())[::-1][:FILTERS * len(u)]
+            best.append(total)
+        every = np.sort(np.concatenate(best))[::-1]
+        least = float(every[min(FILTERS * len(u), len(every)) - 1])
+    return turn, parts, slices, least
+
+
+def decode(x: np.ndarray, blocks: int, size: int, threshold: float | None) -> np.ndarray:
+    """All filters that a unit vector exceeds, and the best one of each rotation; partial sums that can't reach the threshold any more are left early."""
     out = []
     for rotation in range(ROTATIONS):
-        turn, parts, slices, least = code(len(x), rotation)
+        turn, parts, slices, least = code(len(x), rotation, blocks, size, threshold)
         y = turn @ x
         scores = [c @ y[s] for c, s in zip(parts, slices)]
         rest = np.cumsum([0.0] + [s.max() for s in scores[:0:-1]])[::-1]
-        ids, sums = np.full(1, rotation, np.int64), np.zeros(1)
+        ids, sums, best = np.full(1, rotation, np.int64), np.zeros(1), rotation
         for s, r in zip(scores, rest):
             near = np.flatnonzero(s >= least - r - sums.max(initial=0.0))
             total = sums[:, None] + s[None, near]
             a, b = np.nonzero(total >= least - r)
-            ids, sums = ids[a] * CODE + near[b], total[a, b]
-        out.append(ids)
+            ids, sums, best = ids[a] * size + near[b], total[a, b], best * size + int(s.argmax())
+        out.append(ids if best in ids else np.append(ids, best))
     return np.concatenate(out)
 
 
@@ -85,13 +114,13 @@ def _units(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def filters(vecs: DataFrame) -> DataFrame:
-    """(label, dim, filter, vec_id): the filters of every vector."""
+def filters(vecs: DataFrame, rows: int, theta: float) -> DataFrame:
+    """(label, dim, filter, vec_id): the filters of every vector; ``rows`` is about the number of vectors."""
     kind = vecs.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            found = [decode(u) for u in _units(b.column("v"))]
+            found = [decode(u, *shape(len(u), rows, theta)) for u in _units(b.column("v"))]
             at = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
             dims = pa.array([len(x) for x in b.column("v")], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("label").take(at), dims.take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), b.column("vec_id").take(at)], names=["label", "dim", "filter", "vec_id"])
@@ -123,11 +152,13 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     """(key, n_links, component_id, kept) of each vector: links to others of the same label with a cosine of at least ``least``.
 
     Vectors without a label, null, zero, or with null or non-finite components link with nothing, nor do vectors of different lengths.
-    Rows with one id are one vector; a row without an id links with nothing and has no component. Other columns are left out.
+    Rows with one id are one vector; a row without an id links with nothing and has no component. Other columns are left out; an empty
+    table gives no rows. Equal vectors of a label are folded into one with their number first, so copies cost nothing.
     """
     theta = float(np.arccos(least))
-    v = stage(vectors(table, key, vector, label), "caps-vectors")
-    f = stage(filters(v), "caps-filters")
+    each = stage(vectors(table, key, vector, label), "caps-each")
+    v = stage(each.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "caps-vectors")
+    f = stage(filters(v, 1 << max(9, v.count()).bit_length(), theta), "caps-filters")
     # the first vector of each filter, offered as centre to the others
     first = f.groupBy("label", "dim", "filter").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     f = stage(f.join(first, ["label", "dim", "filter"]), "caps-shared")
@@ -135,8 +166,8 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     offers = with_cosine(offers.join(v.select("vec_id", "v"), "vec_id").join(v.select(F.col("vec_id").alias("first"), F.col("v").alias("w")), "first"))
     offers = offers.withColumn("angle", angle("cosine")).where(F.col("angle") <= theta / 2 - MARGIN)
     chosen = offers.groupBy("vec_id").agg(F.min(F.struct("first", "angle")).alias("o")).select("vec_id", F.col("o.first").alias("ball"), F.col("o.angle").alias("angle"))
-    member = stage(v.select("vec_id", "v").join(chosen, "vec_id", "left").select("vec_id", "v", F.coalesce("ball", "vec_id").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("angle")), "caps-members")
-    ball = stage(member.groupBy("ball").agg(F.count("*").alias("size"), F.max("angle").alias("radius")).join(v.select(F.col("vec_id").alias("ball"), F.col("v").alias("centre")), "ball"), "caps-balls")
+    member = stage(v.select("vec_id", "v", "copies").join(chosen, "vec_id", "left").select("vec_id", "v", "copies", F.coalesce("ball", "vec_id").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("angle")), "caps-members")
+    ball = stage(member.groupBy("ball").agg(F.sum("copies").alias("size"), F.max("angle").alias("radius")).join(v.select(F.col("vec_id").alias("ball"), F.col("v").alias("centre")), "ball"), "caps-balls")
     # pairs of balls that share a filter
     seen = f.join(member.select("vec_id", "ball"), "vec_id").select("label", "dim", "filter", "ball").distinct()
     seen = stage(seen, "caps-matrix")
@@ -153,8 +184,8 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     left = stage(with_cosine(left).withColumn("angle", angle("cosine")), "caps-left")
     inside = left.where(F.col("angle") + F.col("r") <= theta - MARGIN).select("vec_id", "ball", "other", "n")
     open_ = left.where((F.col("angle") + F.col("r") > theta - MARGIN) & (F.col("angle") - F.col("r") <= theta + MARGIN)).select("vec_id", "ball", "other")
-    open_ = open_.join(v.select("vec_id", "v"), "vec_id").join(member.select(F.col("ball").alias("other"), F.col("v").alias("w")), "other")
-    exact = with_cosine(open_).where(F.col("cosine") >= least).groupBy("vec_id", "ball", "other").agg(F.count("*").alias("n"))
+    open_ = open_.join(v.select("vec_id", "v"), "vec_id").join(member.select(F.col("ball").alias("other"), F.col("v").alias("w"), F.col("copies").alias("m")), "other")
+    exact = with_cosine(open_).where(F.col("cosine") >= least).groupBy("vec_id", "ball", "other").agg(F.sum("m").alias("n"))
     single = stage(inside.unionByName(exact), "caps-single")
     own = single.groupBy("vec_id").agg(F.sum("n").alias("own"))
     edges = pairs.where("all").select(F.col("ball").alias("a"), F.col("other").alias("b")).unionByName(single.select(F.col("ball").alias("a"), F.col("other").alias("b")))
@@ -165,6 +196,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     of_ball = least_of.join(of_low, "low", "left").select("ball", F.coalesce("component", "low").alias("component"))
     done = (member.select("vec_id", "ball").join(ball.select("ball", "size"), "ball").join(whole, "ball", "left").join(of_ball, "ball").join(own, "vec_id", "left")
             .select("vec_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n_links"), "component"))
+    done = each.join(v.select("label", "v", F.col("vec_id").alias("first")), ["label", "v"]).select("vec_id", "first").join(done.withColumnRenamed("vec_id", "first"), "first").drop("first")
     ids = table.select(F.col(key).cast("long").alias("vec_id"))
     every = ids.where("vec_id is not null").distinct().unionByName(ids.where("vec_id is null"))
     return every.join(done, "vec_id", "left").select(
