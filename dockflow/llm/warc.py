@@ -2,7 +2,8 @@
 
 The reader checks every record (gzip checksum, version line, length, end mark, payload digest). After a failed check it searches for the
 next gzip member or version line that passes, goes on from there, and logs the bytes between as a quarantined gap.
-Archives are read as streams; memory holds one record and the bytes it came from.
+Archives are read as streams; memory holds one record and the bytes it came from. A plain record's end mark is looked up before its block
+is loaded, so a damaged length costs one read of four bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r?\n")
 MAGIC, MARK = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK, HEAD_BYTES, FILE_BYTES, LEVEL = 1 << 16, 1 << 16, 64 << 20, 3
+CHUNK, FILE_BYTES, LEVEL = 1 << 16, 64 << 20, 3
+HEAD_BYTES = 64 << 20  # of a plain record's header; one in a gzip member ends within the member
 DATE = "2020-01-01T00:00:00Z"  # the given pages have no fetch time
 
 
@@ -61,14 +63,18 @@ class Bad(Exception):
     """A record that fails a check."""
 
 
-def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
-    """The record that begins at ``start`` and where it ends."""
+class Cut(Bad):
+    """A header that has no end in the bytes at hand."""
+
+
+def header(data: bytes, start: int = 0) -> tuple[dict, int, int]:
+    """The header fields of the record that begins at ``start``, where its block begins, and the block's size."""
     m = VERSION_LINE.match(data, start)
     if not m:
         raise Bad("no version line")
-    stop = data.find(b"\r\n\r\n", m.end() - 2, start + HEAD_BYTES)
+    stop = data.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
-        raise Bad("header without end")
+        raise Cut("header without end")
     head = {}
     for line in data[m.end():stop].split(b"\r\n"):
         name, sep, value = line.partition(b":")
@@ -77,7 +83,12 @@ def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not head.get("content-length", "").isdigit() or "warc-type" not in head or "warc-record-id" not in head:
         raise Bad("header lacks a field")
-    begin, size = stop + 4, int(head["content-length"])
+    return head, stop + 4, int(head["content-length"])
+
+
+def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
+    """The record that begins at ``start`` and where it ends."""
+    head, begin, size = header(data, start)
     if data[begin + size:begin + size + 4] != b"\r\n\r\n":
         raise Bad("truncated" if begin + size + 4 > len(data) else "no end mark after the block")
     block = data[begin:begin + size]
@@ -109,6 +120,16 @@ class Source:
                 self.end = self.base + len(self.data)
             self.data += more
 
+    def peek(self, start: int, size: int) -> bytes:
+        """Bytes further on, without loading those before them; the file can be read at any place."""
+        if self.end is None and start + size > self.base + len(self.data):
+            here = self.file.tell()
+            self.file.seek(start)
+            out = self.file.read(size)
+            self.file.seek(here)
+            return out
+        return self.get(start, start + size)
+
     def get(self, start: int, stop: int) -> bytes:
         self.upto(stop)
         return bytes(self.data[start - self.base:stop - self.base])
@@ -142,19 +163,21 @@ def records_at(src: Source, at: int) -> tuple[list[dict], int]:
         return found, pos - len(z.unused_data)
     if not start.startswith(MARK):
         raise Bad("neither member nor version line")
-    size = HEAD_BYTES
+    size = CHUNK
     while True:
         data = src.get(at, at + size)
         try:
-            r, p = parse(data)
-            return [r], at + p
-        except Bad as e:
-            if str(e) != "truncated" or src.end is not None and at + size >= src.end:
+            _, begin, length = header(data)
+        except Cut:
+            if size >= HEAD_BYTES or src.end is not None and at + size >= src.end:
                 raise
-            # the header is whole: load as much as it asks for
-            stop = data.find(b"\r\n\r\n")
-            asked = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[:stop + 2])
-            size = max(size + CHUNK, stop + 8 + int(asked[1]))
+            size *= 4
+            continue
+        mark = src.peek(at + begin + length, 4)
+        if mark != b"\r\n\r\n":
+            raise Bad("truncated" if len(mark) < 4 else "no end mark after the block")
+        r, p = parse(src.get(at, at + begin + length + 4))
+        return [r], at + p
 
 
 def next_start(src: Source, at: int) -> int | None:
@@ -202,7 +225,11 @@ def salvage(file) -> Iterator[tuple[int, int, dict | None, str | None]]:
 
 def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """(page_id, url, html, sha1, size, refers_to): of records with equal payloads of at least ``least`` bytes, that with the largest key
-    is kept, the others refer to it. Only payloads that occur more than once are joined; equal keys of the kept payload are all kept."""
+    is kept, the others refer to it. Only payloads that occur more than once are joined; equal keys of the kept payload are all kept.
+
+    A null html is an empty payload; a null url stays null and its record has no target; a row without a key is a record without a
+    number that refers to nothing, nor is it referred to. Other columns are left out; an empty table gives no rows.
+    """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("html"))
     rows = rows.withColumns({"sha1": F.sha1("html"), "size": F.octet_length("html").cast("long")})
     again = stage(rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
@@ -212,7 +239,7 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "
 def write(planned: DataFrame, folder: str) -> DataFrame:
     """Write the planned records, one gzip member each, into archives under a shared folder: (path, records, bytes) of each file.
 
-    A file gets its name when it is whole, and only files of tasks that succeeded are in the returned list, so a task that runs again
+    URLs may have any length; a null one is left out. A file gets its name when it is whole, and only files of tasks that succeeded are in the returned list, so a task that runs again
     does no harm.
     """
     def run(batches: Iterator[pa.RecordBatch]):
@@ -260,7 +287,7 @@ def read(files: DataFrame, payload: bool = True) -> DataFrame:
             for path in b.column(0).to_pylist():
                 store, at = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with store.open_input_stream(at, compression=None) as f:
+                with store.open_input_file(at) as f:
                     for offset, length, r, gap in salvage(f):
                         row = {"path": path, "offset": offset, "length": length, "gap": gap, **(r or {})}
                         if not payload:
