@@ -7,7 +7,7 @@ a border between words. The score is the posterior of the best language.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +19,20 @@ from pyspark.sql import functions as F
 from dockflow.llm.shared import bytes_of, labelled_sample, stage, summed
 
 WORD_START = "▁"
-# Bounds of the labelled sample and of the pieces' lengths; the floor is what an unseen piece or an unknown character gets.
-SAMPLE_DOCS, MAX_PIECE, FLOOR, ROUNDS = 2_000, 8, 1e-7, 3
+# Bound of the labelled sample (so there are at most as many languages); the floor is what an unseen piece or an unknown character gets.
+SAMPLE_DOCS, FLOOR, ROUNDS = 2_000, 1e-7, 3
 # Every character counts this much more, in all languages alike, so that long words stay within the range of doubles.
 PER_CHAR = 12.0
-LONG_WORD, CACHE_WORDS = 48, 800_000
+LONG_WORD, CACHE_WORDS, CACHE_BYTES = 48, 600_000, 32 << 20  # characters; words that a worker remembers, and bytes of their scores
 # Languages in order, pieces and their probabilities (piece, language); the last row is that of unknown characters.
 Model = tuple[list[str], list[str], np.ndarray]
 
 
 def pieces_of(vocabulary: str) -> list[str]:
-    """The ordinary pieces of a sentencepiece model file, longest MAX_PIECE characters."""
+    """All ordinary pieces of a sentencepiece model file, of any length, in lower case like the words."""
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-    n = sp.get_piece_size()
-    return sorted({sp.id_to_piece(i) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and 0 < len(sp.id_to_piece(i)) <= MAX_PIECE})
+    ordinary = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
+    return sorted({sp.id_to_piece(i).lower() for i in ordinary} - {""})
 
 
 class Pieces:
@@ -41,7 +41,7 @@ class Pieces:
     BASE, MIX, BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), 20
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         self.sizes = np.array([len(p) for p in pieces] + [1, 1])
         size = 1 << self.BITS
         self.keys, self.ids, self.probes = np.zeros(size, np.uint64), np.full(size, self.n + 1, np.int32), 1
@@ -77,7 +77,7 @@ class Pieces:
         codes, h, out = self.codes(words), None, []
         mask = np.uint64((1 << self.BITS) - 1)
         with np.errstate(over="ignore"):
-            for size in range(1, min(MAX_PIECE, codes.shape[1]) + 1):
+            for size in range(1, min(self.longest, codes.shape[1]) + 1):
                 h = self._hash(codes, size, h)
                 key = self._finish(h, size)
                 at, ids = key >> np.uint64(64 - self.BITS), np.full(h.shape, self.n + 1, np.int32)
@@ -160,8 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: str, key: str = "doc_i
     """
     names = pieces_of(vocabulary)
     few = labelled_sample(docs.select(key, F.col(text).alias("t")), labels.where(F.col(lang).isNotNull()).select(key, F.col(lang).alias("l")), key, bound)
-    words = few.select("l", F.explode(F.split(F.lower("t"), r"\s+")).alias("w")).where(f"length(w) between 1 and {LONG_WORD - 1}")
-    counts = stage(words.groupBy("l", "w").agg(F.count("*").cast("double").alias("c")), "langid-words")
+    kind = few.schema["l"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            found = Counter((x, w) for x, t in zip(b.column(0).to_pylist(), bytes_of(b.column(1))) for w in words_of(t) if len(w) <= LONG_WORD)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], b.column(0).type), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.float64())], names=["l", "w", "c"])
+
+    words = few.select("l", F.col("t").cast("binary")).mapInArrow(cut, f"l {kind}, w string, c double")
+    counts = stage(words.groupBy("l", "w").agg(F.sum("c").alias("c")), "langid-words")
     languages = sorted(r.l for r in counts.select("l").distinct().collect())
     k, n, at = len(languages), len(names) + 1, {x: i for i, x in enumerate(languages)}
     probabilities = np.full((n, k), 1.0 / n)
@@ -172,15 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: str, key: str = "doc_i
             table = scaled(probabilities, pieces.sizes)
             out = np.zeros(table.shape)
             for b in batches:
-                words = [WORD_START + w for w in b.column("w").to_pylist()]
+                words = b.column("w").to_pylist()
                 lang = np.array([at[x] for x in b.column("l").to_pylist()], int)
                 out += expected_counts(words, lang, b.column("c").to_numpy(zero_copy_only=False), pieces, table)
             return out[:-1].ravel()
 
         used = summed(counts, expected).reshape(n, k)
         probabilities = np.maximum(used / np.maximum(used.sum(axis=0), 1e-300), FLOOR)
-    seen = (probabilities[:-1] > FLOOR).any(axis=1) if k else np.zeros(n - 1, bool)  # a piece that no language uses adds the floor only
-    return languages, [p for p, x in zip(names, seen) if x], probabilities[np.append(seen, True)]
+    return languages, names, probabilities
 
 
 class Scorer:
@@ -191,7 +197,7 @@ class Scorer:
         self.pieces = Pieces(names)
         self.table = scaled(table, self.pieces.sizes)
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((CACHE_WORDS, len(self.languages)))
+        self.rows = np.zeros((min(CACHE_WORDS, CACHE_BYTES // 8 // max(1, len(self.languages))), len(self.languages)))
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         cut = [words_of(t) for t in texts]
