@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-SHARD_ROWS = 4096
+SHARD_ROWS, COPIES = 4096, 256  # rows of a shard on average; equal rows that go to a shard together at most
 
 
 def cost_of(length: int, fixed: float = 256.0, quadratic: float = 65536.0) -> float:
@@ -83,10 +83,13 @@ def best_fit(items: DataFrame, key: str = "doc_id", length: str = "length", leng
     pieces = pieces.select("k", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("n"))
     shards = max(1, -(-rows.count() // shard_rows))
     kind = items.schema[key].dataType.simpleString()
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("k", "piece", "n"), F.lit(shards)).cast("int"))
+    # equal rows are counted first and dealt out COPIES at a time, so a row that a third of the table repeats fills many shards
+    equal = pieces.groupBy("k", "piece", "start", "n").agg(F.count("*").alias("c"))
+    dealt = equal.withColumn("part", F.explode(F.expr(f"sequence(0L, (c - 1) div {COPIES})")))
+    dealt = dealt.select("k", "piece", "start", "n", F.least(F.lit(COPIES), F.col("c") - F.col("part") * COPIES).alias("copies"), F.pmod(F.xxhash64("k", "piece", "n", "part"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["n", "k", "piece"], ascending=[False, True, True], kind="stable")
+        g = g.loc[g.index.repeat(g["copies"])].sort_values(["n", "k", "piece"], ascending=[False, True, True], kind="stable")
         b, off, size, fill = pack(g["n"].to_numpy(np.int64), sizes, price)
         return pd.DataFrame({key: g["k"], "piece": g["piece"], "start": g["start"], "length": g["n"], "bin_id": (g["shard"].to_numpy(np.int64) << 32) + b,
                              "bin_offset": off, "bin_size": size[b], "bin_fill": fill[b]})
