@@ -60,12 +60,12 @@ def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...])
 
     One more row, without template, has the hash of a text's end, so that every text has a row in the join.
     """
-    rows: list[tuple] = [([END], None, None, None, None)]
-    for t, (text, _) in enumerate(templates):
-        w = text.split(" ")
-        rows += [(w[i:i + GRAM], t, i, len(w) - GRAM + 1, len(w)) for i in range(len(w) - GRAM + 1)]
-    grams = spark.createDataFrame(rows, "gram array<string>, template int, tpos int, grams int, size int")
-    return grams.withColumn("h", F.xxhash64(*(F.get("gram", F.lit(i)) for i in range(GRAM))))
+    texts = spark.range(1).select(F.posexplode(F.lit([t for t, _ in templates])).alias("template", "text")).select("template", F.split("text", " ").alias("w"))
+    size = F.size("w")
+    grams = texts.select("template", "w", F.explode(F.sequence(F.lit(1), size - GRAM + 1)).alias("i")).select(
+        F.slice("w", F.col("i"), F.lit(GRAM)).alias("gram"), "template", (F.col("i") - 1).alias("tpos"), (size - GRAM + 1).alias("grams"), size.alias("size"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("template", "tpos", "grams", "size")]
+    return grams.unionByName(spark.range(1).select(F.array(F.lit(END)).alias("gram"), *none)).withColumn("h", F.xxhash64(*(F.get("gram", F.lit(i)) for i in range(GRAM))))
 
 
 def hits(docs: DataFrame, templates: tuple[tuple[str, str], ...], key: str, text: str) -> DataFrame:

@@ -9,6 +9,9 @@ Position limits make the lookups selective. The edit lies behind the first pivot
 are unchanged; or it lies before the second, then what follows and its place from the end are. Where that fixes only few letters the
 edit lies in one half of the rest and the other half is unchanged too. The unchanged parts are the key of the index, so an entry is
 compared with the few words that agree in all of it. No pair is lost by this: each near pair agrees in one of these keys.
+
+Words of more than LONGEST code points, in which bigrams are repeated so often that prefixes aren't short, are found by their halves: the
+edit lies in one, the other is the key.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ LEAST_LENGTH, LEAST_COUNT, LEAST_TIMES = 7, 2, 10
 ERASED = 31  # of so many pairs of document and run, one loses a code point
 GRAM, EDITS = 2, 1
 LONG = 6  # an unchanged part of so many code points is a key of its own
+LONGEST = 64  # code points of a word that is found by its pivots
 FLUSH_WORDS = 200_000  # distinct words that a task holds before it hands on partial counts
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -132,6 +136,26 @@ def keys(word: str, i: int, behind: bool, own: bool) -> Iterator[str]:
         yield f"{side}{fixed}>{b}{rest[m - b:]}"
 
 
+def half_keys(word: str, own: bool) -> Iterator[str]:
+    """The halves of a long word, or what may be the halves of a near word."""
+    for a, b in {(len(word) // 2, len(word) - len(word) // 2)} if own else _halves(len(word)):
+        yield f"[{a} {word[:a]}"
+        yield f"]{b} {word[len(word) - b:]}"
+
+
+def index_rows(word: str, order: dict[str, int]) -> list[tuple[bool, int, set[str]]]:
+    """(asks, end of the prefix in the order, keys) of a word. Words next to the longest length are in both indexes."""
+    out = []
+    if len(word) <= LONGEST:
+        p = prefix(word, order)
+        first, second = pivots(p)
+        out.append((True, p[-1][0], {*keys(word, first, True, True), *keys(word, second, False, True)}))
+        out.append((False, p[-1][0], {x for _, i in p for side in (True, False) for x in keys(word, i, side, False)}))
+    if len(word) >= LONGEST:
+        out += [(own, 0, set(half_keys(word, own))) for own in (True, False)]
+    return out
+
+
 def index(words: DataFrame, order: dict[str, int]) -> DataFrame:
     """(key, asks, last, word, n): the pivots' keys (asks) and the prefixes' keys of every word, as 64-bit hashes."""
     share = words.sparkSession.sparkContext.broadcast(order)
@@ -141,15 +165,11 @@ def index(words: DataFrame, order: dict[str, int]) -> DataFrame:
         for b in batches:
             at, asks, last, hashes = [], [], [], []
             for k, w in enumerate(b.column(0).to_pylist()):
-                p = prefix(w, order)
-                first, second = pivots(p)
-                own = {*keys(w, first, True, True), *keys(w, second, False, True)}
-                others = {x for _, i in p for side in (True, False) for x in keys(w, i, side, False)}
-                for is_own, found in ((True, own), (False, others)):
+                for own, end, found in index_rows(w, order):
                     hashes += [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
-                    asks += [is_own] * len(found)
+                    asks += [own] * len(found)
                     at += [k] * len(found)
-                    last += [p[-1][0]] * len(found)
+                    last += [end] * len(found)
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(asks, pa.bool_()), pa.array(last, pa.int32()), b.column(0).take(rows), b.column(1).take(rows)],
                                              names=["key", "asks", "last", "word", "n"])

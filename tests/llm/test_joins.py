@@ -154,16 +154,39 @@ def test_vectors_by_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and max(links.values()) > 20
 
 
-def test_recall_of_the_filters():
-    """Pairs at the limit itself; nearer ones share more filters."""
-    rng, missed = np.random.default_rng(1), 0
-    for _ in range(300):
-        u, w = rng.standard_normal((2, 64))
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 16, 64])
+@pytest.mark.parametrize("rows", [1 << 10, 1 << 16, 1 << 24])
+def test_recall_of_the_filters(dim, rows):
+    """Pairs at the limit itself, in tables of several sizes; nearer ones share more filters. No vector is without a filter."""
+    rng, missed, theta = np.random.default_rng(1), 0, float(np.arccos(0.93))
+    form = capdedup.shape(dim, rows, theta)
+    for _ in range(100):
+        u, w = rng.standard_normal((2, dim))
         u /= np.linalg.norm(u)
         w -= w @ u * u
         v = 0.93 * u + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w)
-        missed += not set(capdedup.decode(u).tolist()) & set(capdedup.decode(v).tolist())
-    assert missed <= 3
+        a, b = set(capdedup.decode(u, *form).tolist()), set(capdedup.decode(v, *form).tolist())
+        assert len(a) >= capdedup.ROTATIONS and len(b) >= capdedup.ROTATIONS
+        missed += not a & b
+    assert missed <= 10
+
+
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 16])
+def test_vectors_by_force(spark, dim):
+    """All links and components of random vectors with copies and multiples, but for those that share no filter (one in ten at most)."""
+    rng = np.random.default_rng(dim)
+    base = rng.standard_normal((120, dim))
+    rows = [*base, *base[:30], *(3.0 * base[10:40]), *(base[:60] + 0.15 * rng.standard_normal((60, dim)))]
+    data = [(i, v.tolist(), i % 2) for i, v in enumerate(rows)]
+    got = {r.vec_id: r for r in capdedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (np.arange(len(rows))[:, None] % 2 == np.arange(len(rows))[None, :] % 2) & ~np.eye(len(rows), dtype=bool)
+    links = np.array([got[i].n_links for i in range(len(rows))])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.9 * near.sum()
+    for i in range(30):
+        assert got[i].component_id == got[i + 120].component_id  # a copy with the same label
+    for i in range(30):
+        assert got[150 + i].component_id == got[10 + i].component_id
 
 
 def test_vector_cases(spark):
