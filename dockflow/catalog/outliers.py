@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dockflow.catalog.base import Data, VIEWS, query, rounded
 from dockflow.catalog.timeline import grid
 from dockflow.operators import anomalies, quantiles, rollups, series
+from dockflow.plans import feature_table as ft
 from dockflow.session import stage
 
 VIEWS["prices"] = ((), "select o_orderkey, o_totalprice * case when o_orderkey % 97 = 0 then 9 else 1 end v from orders")
@@ -20,8 +21,7 @@ def prices(d: Data):
 
 
 def flagged(d: Data):
-    o = prices(d)
-    out = anomalies.mad_flag(anomalies.zscore_flag(anomalies.iqr_flag(o, "v", source=o), "v", source=o), "v", source=o)
+    out = anomalies.rule_flags(prices(d), "v")
     return anomalies.consensus(out, ["iqr_outlier", "z_outlier", "mad_outlier"])
 
 
@@ -47,11 +47,12 @@ def _(d: Data):
 
 
 @query("net_demand_outliers", """
-    with q as (select quantile_cont(n,0.25) q1, quantile_cont(n,0.75) q3, avg(n) a, stddev_pop(n) s from (select abs(net_demand) n from hourly))
-    select station_name, time, (abs(net_demand) < q1-4*(q3-q1) or abs(net_demand) > q3+4*(q3-q1))::int iqr_outlier, (abs((abs(net_demand)-a)/s) > 4)::int z_outlier from hourly, q""", "hourly")
+    with h as materialized (select station_name, time, abs(net_demand) n from hourly),
+    q as materialized (select quantile_cont(n,0.25) q1, quantile_cont(n,0.75) q3, avg(n) a, stddev_pop(n) s from h)
+    select station_name, time, (n < q1-4*(q3-q1) or n > q3+4*(q3-q1))::int iqr_outlier, (abs((n-a)/s) > 4)::int z_outlier from h, q""", "hourly")
 def _(d: Data):
     s = stage(rollups.station_hourly(d.trips()), "station-hourly").select("station_name", "time", F.abs("net_demand").cast("double").alias("n"))
-    return anomalies.zscore_flag(anomalies.iqr_flag(s, "n", source=s), "n", source=s).drop("n")
+    return anomalies.rule_flags(s, "n", mad=None).drop("n")
 
 
 @query("isolation_forest")
@@ -60,10 +61,30 @@ def _(d: Data):
     return anomalies.isolation_forest(x, ["station_name", "time"], ["pickups", "lag_24h", "roll_mean_24h"])
 
 
-@query("local_outlier_factor")
+@query("local_outlier_factor", """
+    with h as (select station_name, hourly.time, pickups::double a, dropoffs::double b, temp c, prcp d, wspd e from hourly left join weather on weather.time = hourly.time),
+    sh as (select * from h where substr(md5('42|' || station_name || '|' || time::varchar), 1, 8) < '0ccccccd'),
+    s as (select row_number() over () id, station_name, time, a, b, coalesce(c, (select quantile_cont(c,0.5) from sh)) c, coalesce(d, (select quantile_cont(d,0.5) from sh)) d, coalesce(e, (select quantile_cont(e,0.5) from sh)) e from sh),
+    pairs as (select x.id x, y.id y, sqrt((x.a-y.a)*(x.a-y.a) + (x.b-y.b)*(x.b-y.b) + (x.c-y.c)*(x.c-y.c) + (x.d-y.d)*(x.d-y.d) + (x.e-y.e)*(x.e-y.e)) dist from s x join s y on x.id <> y.id),
+    reach as (select x, max(dist) kd from (select x, dist, row_number() over (partition by x order by dist) rn from pairs) where rn <= 20 group by 1),
+    near as (select pairs.* from pairs join reach on reach.x = pairs.x where dist <= kd),
+    dense as (select near.x, 1/(avg(greatest(dist, kd)) + 1E-10) density from near join reach on reach.x = y group by 1),
+    score as (select near.x, round(avg(o.density)/any_value(own.density), 9) lof from near join dense o on o.x = near.y join dense own on own.x = near.x group by 1),
+    edge as (select quantile_cont(lof, 0.95) edge from score)
+    select h.station_name, h.time, round(lof, 6) lof, (coalesce(lof, 0) > edge)::int lof_outlier from h left join s on s.station_name = h.station_name and s.time = h.time left join score on x = id, edge""", "hourly", "weather")
 def _(d: Data):
-    s = rollups.station_hourly(d.trips())
-    return anomalies.local_outlier_factor(s, ["station_name", "time"], ["pickups", "dropoffs"], k=20)
+    s = stage(rollups.station_hourly(d.trips()).join(d.weather(), "time", "left"), "lof-hours")
+    return rounded(anomalies.local_outlier_factor(s, ["station_name", "time"], ["pickups", "dropoffs", "temp", "prcp", "wspd"], k=20, share=0.05), 6)
+
+
+VOTED = ["pickups", "temp", "prcp", "roll_mean_24h", "lag_24h"]
+
+
+@query("outlier_votes")
+def _(d: Data):
+    """Four methods on five columns of the complete grid: two rules, the forest, and the factors of a share."""
+    rows = ft.feature_table(d.trips(), d.weather()).select("station_name", "time", *VOTED)
+    return anomalies.four_votes(stage(rows, "voted"), "pickups", ["station_name", "time"], VOTED).drop(*VOTED[1:])
 
 
 PERIODS = [24.0, 12.0, 8.0, 6.0, 168.0, 84.0]

@@ -418,16 +418,18 @@ def _(d: Data):
         t.select(F.col("end_station_name").alias("station_name")).distinct(), "station_name", "left_anti")
 
 
-@query("sampled_trips")
+@query("sampled_trips", "select * from trips where substr(md5('42|' || trip_id), 1, 8) < '1999999a'", "trips")
 def _(d: Data):
     return ranking.sample_fraction(d.trips(), ["trip_id"], 0.1)
 
 
-@query("sampled_trip_rows")
+@query("sampled_trip_rows", "select * from trips order by md5('42|' || trip_id), trip_id limit 5000", "trips")
 def _(d: Data):
     return ranking.sample_rows(d.trips(), ["trip_id"], 5000)
 
 
-@query("sampled_station_dates")
+@query("sampled_station_dates", """
+    select station_name, unnest([date '2024-01-10', date '2024-04-10', date '2024-07-10', date '2024-10-10']) date
+    from (select distinct station_name from hourly order by md5('42|' || station_name), station_name limit 20)""", "hourly")
 def _(d: Data):
     return ranking.sample_station_dates(rollups.station_hourly(d.trips()), 20, ["2024-01-10", "2024-04-10", "2024-07-10", "2024-10-10"])

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockflow.operators.nearest import build, neighbourhoods
 from dockflow.operators.quantiles import attach, exact_quantiles, fill_median, scalar_struct
+from dockflow.operators.ranking import in_share, sample_fraction
 from dockflow.session import stage
-from dockflow.operators.ranking import sample_fraction, sample_rows
 
 
 def daily_anomalies(daily: DataFrame, k: float = 2.0, value: str = "trip_count") -> DataFrame:
@@ -54,6 +55,36 @@ def mad_flag(df: DataFrame, col: str, k: float = 6.0, name: str = "mad_outlier",
     return attach(df, stats).withColumn(name, F.when(out, 1).otherwise(0)).drop("_s")
 
 
+def rule_flags(df: DataFrame, col: str, iqr: float = 4.0, z: float = 4.0, mad: float | None = 6.0) -> DataFrame:
+    """The flags of ``iqr_flag``, ``zscore_flag`` and, unless ``mad`` is None, ``mad_flag`` together: quartiles and median come from one call."""
+    base = df.select(F.col(col).cast("double").alias("v"))
+    q = exact_quantiles(base, {"q1": ("v", 0.25), "med": ("v", 0.5), "q3": ("v", 0.75)})
+    med = F.col("_s.med")
+    filled = attach(base, q).select(F.coalesce("v", med).alias("f"))
+    stats = attach(filled.agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("std")), q, "_q").select("mean", "std", "_q.*")
+    if mad is not None:
+        away = exact_quantiles(attach(base, q).select(F.abs(F.col("v") - med).alias("d")), {"mad": ("d", 0.5)})
+        stats = attach(stats, away, "_a").select("mean", "std", "q1", "med", "q3", "_a.mad")
+    v, s = F.col(col).cast("double"), lambda name: F.col(f"_s.{name}")
+    spread = s("q3") - s("q1")
+    flags = {"iqr_outlier": (v < s("q1") - iqr * spread) | (v > s("q3") + iqr * spread),
+             "z_outlier": F.abs((F.coalesce(v, s("med")) - s("mean")) / F.nullif(s("std"), F.lit(0.0))) > z}
+    if mad is not None:
+        flags["mad_outlier"] = F.abs(v - s("med")) > F.lit(mad * 1.4826) * s("mad")
+    return attach(df, stats).withColumns({n: F.when(f, 1).otherwise(0) for n, f in flags.items()}).drop("_s")
+
+
+def four_votes(df: DataFrame, col: str, key: list[str], cols: list[str], share: float = 0.05, least: int = 2, trees: int = 50) -> DataFrame:
+    """The rows with the flags of quartiles, z-score, isolation forest and local outlier factor, and whether ``least`` of them agree.
+
+    Rules and forest score the table as it is carried along, in one staged pass; the factors of the share are joined by key.
+    """
+    scored = isolation_forest(rule_flags(df, col, mad=None), key, cols, trees=trees, carry=[*df.columns, "iqr_outlier", "z_outlier"])
+    local = local_outlier_factor(df, key, cols, share=share).where("lof_outlier = 1").select(*key, "lof_outlier")
+    flagged = scored.join(local, key, "left").withColumn("lof_outlier", F.coalesce("lof_outlier", F.lit(0))).drop("iso_score")
+    return consensus(flagged.select(*df.columns, "iqr_outlier", "z_outlier", "iso_outlier", "lof_outlier"), ["iqr_outlier", "z_outlier", "iso_outlier", "lof_outlier"], least)
+
+
 def consensus(df: DataFrame, flags: list[str], least: int = 2) -> DataFrame:
     """Outlier when at least ``least`` of the methods agree."""
     votes = sum((F.col(f) for f in flags[1:]), F.col(flags[0]))
@@ -101,20 +132,21 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 
 def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int = 50, subsample: int = 256,
-                     contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Isolation score and flag of every row; trees are grown on small samples, one group per tree.
+                     contamination: float = 0.05, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
+    """Isolation score and flag of every row, with its key and the columns in ``carry``; trees are grown on small samples, one group per tree.
 
     Group size is a parameter of the method (``subsample``), the tree table has at most trees x 2 x subsample rows and is
     shipped to the scoring tasks as a broadcast variable. The threshold is the score quantile of the contamination.
     """
     spark = df.sparkSession
-    x = fill_median(df, cols)
+    filled = [f"_{c}" for c in cols]
+    x = fill_median(df.select(*dict.fromkeys([*key, *(carry or [])]), *[F.col(c).cast("double").alias(f) for c, f in zip(cols, filled)]), filled)
     n = x.count()
     # a pool of about trees * subsample rows by hash, from which every tree draws its own share
     pool = trees * subsample
     rows = sample_fraction(x, key, pool / max(n, 1), seed).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     rows = sample_fraction(rows, ["tree", *key], 1.5 * subsample / max(min(n, pool), 1), seed + 1)
-    picked = rows.select("tree", F.xxhash64(F.lit(seed + 2), "tree", *key).alias("order"), *[F.col(c).cast("double").alias(c) for c in cols])
+    picked = rows.select("tree", F.xxhash64(F.lit(seed + 2), "tree", *key).alias("order"), *filled)
     w = Window.partitionBy("tree").orderBy("order")
     picked = picked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= subsample).drop("rn", "order")
     limit = math.ceil(math.log2(max(subsample, 2)))
@@ -122,7 +154,7 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         nodes: list = []
-        _grow(pdf[cols].to_numpy(float), np.random.default_rng(seed + tree), 0, limit, nodes)
+        _grow(pdf[filled].to_numpy(float), np.random.default_rng(seed + tree), 0, limit, nodes)
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "size", "depth"])
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)
@@ -153,7 +185,7 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
             total += length[at]
         return pd.Series(np.power(2.0, -total / max(len(packed.value), 1) / norm))
 
-    scored = x.select(*key, score(*[F.col(c).cast("double") for c in cols]).alias("iso_score"))
+    scored = stage(x.select(*[c for c in x.columns if c not in filled], score(*filled).alias("iso_score")), "isolation-scores")
     edge = scored.agg(F.percentile_approx("iso_score", 1 - contamination, 10_000)).scalar()
     return scored.withColumn("iso_outlier", F.when(F.col("iso_score") > edge, 1).otherwise(0))
 
@@ -161,62 +193,26 @@ def isolation_forest(df: DataFrame, key: list[str], cols: list[str], trees: int
 # ---------------------------------------------------------------------------------------------------------------------
 # local outlier factor
 
-def local_outlier_factor(df: DataFrame, key: list[str], cols: list[str], k: int = 20, sample: int = 20_000, contamination: float = 0.05,
-                         seed: int = 42) -> DataFrame:
-    """Local outlier factor of every row against a reference sample of at most ``sample`` rows; flags the highest scores.
+def local_outlier_factor(df: DataFrame, key: list[str], cols: list[str], k: int = 20, share: float = 0.05, contamination: float = 0.05) -> DataFrame:
+    """Local outlier factor among a share of the rows, chosen by a digest of the key; of these the highest scores are flagged, the rest is normal.
 
-    The sample (a bound of the method, chosen by hash) is what neighbours are searched in; its rows, distances and densities
-    are broadcast, and each task scores its share of all rows with array arithmetic. A row isn't its own neighbour.
+    Neighbours are the other rows of the share within the distance of the k-th nearest one, ties included, so the factor doesn't depend
+    on any order. They are found by a join through an adaptive tree: rows at one place are folded into one with their number as weight,
+    and each place is compared with the few boxes around it. ``share`` 1 scores every row. Nulls count as the median of the share.
+    (key, lof, lof_outlier); lof is null outside the share and where there is no other row.
     """
-    spark = df.sparkSession
-    vec = F.array(*[F.col(c).cast("double") for c in cols])
-    every = stage(fill_median(df, cols).select(F.struct(*key).alias("_key"), F.xxhash64(*key).alias("_hash"), vec.alias("_x")), "lof-rows")
-    kind = every.schema["_key"].dataType.simpleString()
-    rows = sample_rows(every.dropDuplicates(["_key"]), ["_hash", "_key"], sample, seed).toPandas()  # bounded by ``sample``
-    hashes, mat = rows["_hash"].to_numpy(), np.array(rows["_x"].tolist(), dtype=float).reshape(len(rows), -1)
-    near = min(k, len(rows) - 1)
-    if near < 1:
-        return df.select(*key, F.lit(1.0).alias("lof"), F.lit(0).alias("lof_outlier"))
-
-    def nearest(x: np.ndarray, own: np.ndarray, mat: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Reference rows nearest to each row, and their distances."""
-        d = np.zeros((len(x), len(mat)))
-        for j in range(mat.shape[1]):
-            d += (x[:, j, None] - mat[None, :, j]) ** 2
-        d[own[:, None] == hashes[None, :]] = np.inf
-        idx = np.argpartition(d, near - 1, axis=1)[:, :near]
-        return idx, np.sqrt(np.take_along_axis(d, idx, axis=1))
-
-    def density(idx: np.ndarray, dist: np.ndarray, k_dist: np.ndarray) -> np.ndarray:
-        return 1.0 / (np.maximum(dist, k_dist[idx]).mean(axis=1) + 1e-10)
-
-    shared = spark.sparkContext.broadcast((hashes, mat))
-
-    def neighbours(batches):
-        hashes, mat = shared.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
-                idx, dist = nearest(np.array(part["_x"].tolist(), dtype=float), part["_hash"].to_numpy(), mat, hashes)
-                yield pd.DataFrame({"at": part["at"].to_numpy(), "nb": list(idx), "dist": list(dist)})
-
-    numbered = spark.createDataFrame(rows.assign(at=range(len(rows)))[["at", "_hash", "_x"]]).repartition(spark.sparkContext.defaultParallelism)
-    own = numbered.mapInPandas(neighbours, "at long, nb array<long>, dist array<double>").toPandas().sort_values("at")  # k numbers for each sampled row
-    idx, dist = np.array(own["nb"].tolist()), np.array(own["dist"].tolist())
-    k_dist = dist.max(axis=1)
-    fitted = spark.sparkContext.broadcast((hashes, mat, k_dist, density(idx, dist, k_dist)))
-
-    def score(batches):
-        hashes, mat, k_dist, lrd = fitted.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
-                idx, dist = nearest(np.array(part["_x"].tolist(), dtype=float), part["_hash"].to_numpy(), mat, hashes)
-                yield pd.DataFrame({"_key": part["_key"].tolist(), "lof": lrd[idx].mean(axis=1) / density(idx, dist, k_dist)})
-
-    scored = stage(every.mapInPandas(score, f"_key {kind}, lof double"), "lof-scores")
-    edge = scored.agg(F.percentile_approx("lof", 1 - contamination, 10_000)).scalar()
-    return scored.select(*[F.col(f"_key.`{c}`").alias(c) for c in key], "lof", F.when(F.col("lof") > edge, 1).otherwise(0).alias("lof_outlier"))
+    chosen = fill_median(stage(df.where(in_share(key, share)).select(*key, *[F.col(c).cast("double").alias(c) for c in cols]), "lof-share"), cols)
+    places = stage(chosen.groupBy(F.array(*cols).alias("x")).agg(F.count("*").alias("w")).withColumn("p", F.monotonically_increasing_id()), "lof-places")
+    near = stage(neighbourhoods(places.select(F.col("p").alias("q"), "x"), build(places, len(cols)), k + 1), "lof-near")
+    others = near.withColumn("w", F.when(F.col("q") == F.col("p"), F.col("w") - 1).otherwise(F.col("w")))  # a row isn't its own neighbour
+    reach = near.groupBy(F.col("q").alias("p")).agg(F.sqrt(F.max("d2")).alias("reach"))
+    mean = F.sum(F.col("w") * F.greatest(F.sqrt("d2"), F.col("reach"))) / F.nullif(F.sum("w"), F.lit(0))
+    dense = stage(others.join(reach, "p").groupBy("q").agg((1 / (mean + 1e-10)).alias("density")), "lof-density")
+    around = others.join(dense.withColumnRenamed("q", "p"), "p").groupBy("q").agg((F.sum(F.col("w") * F.col("density")) / F.nullif(F.sum("w"), F.lit(0))).alias("around"))
+    score = around.join(dense, "q").select(F.col("q").alias("p"), F.round(F.col("around") / F.col("density"), 9).alias("lof"))
+    scored = stage(chosen.withColumn("x", F.array(*cols)).join(places.select("x", "p"), "x").join(score, "p", "left").select(*key, "lof"), "lof-scores")
+    flagged = attach(scored, exact_quantiles(scored, {"edge": ("lof", 1 - contamination)})).withColumn("lof_outlier", F.when(F.col("lof") > F.col("_s.edge"), 1).otherwise(0)).drop("_s")
+    return df.select(*key).join(flagged, key, "left").select(*key, "lof", F.coalesce("lof_outlier", F.lit(0)).alias("lof_outlier"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------

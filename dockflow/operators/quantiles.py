@@ -1,11 +1,18 @@
-"""Exact quantiles without collecting the values of a column in one task, and one-row aggregates used as scalars."""
+"""Exact quantiles by merged sketches and narrowed brackets, and one-row aggregates used as scalars."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+from dockflow.session import stage
+
+SKETCH, ERROR = 4096, 0.002  # size of a sketch, and the rank error that it keeps nearly always
+STEPS, SALTS = 512, 64  # steps that a sketch is read at; groups of tasks whose sketches are merged first
+MOST_ROWS = 20_000  # rows of a bracket that is ordered
 
 
 def scalar_struct(one_row: DataFrame) -> Column:
@@ -21,42 +28,102 @@ def attach(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame:
     return df.withColumn(name, scalar_struct(one_row))
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], accuracy: int = ACCURACY) -> DataFrame:
+@dataclass
+class Target:
+    """A wanted quantile: its column, its position in order (from 0, with a fraction), and the values it lies between."""
+
+    column: str
+    q: float
+    position: float = 0.0
+    low: float = -math.inf
+    high: float = math.inf
+    rows: float = math.inf  # that the bracket holds, as far as the sketch tells
+    margin: float = ERROR
+
+    @property
+    def bracket(self) -> tuple[str, float, float]:
+        return self.column, self.low, self.high
+
+    def narrow(self, r: Row, whole: bool) -> None:
+        """A narrower bracket by the sketch of this one. If exact counts show that the position lies outside, all values are open again."""
+        if whole:
+            self.position = (r["n"] - 1) * self.q
+        below, last = math.floor(self.position) - r["less"], math.ceil(self.position) - r["less"]
+        if not r["n"]:
+            self.rows = 0
+        elif below < 0 or last >= r["n"]:
+            self.reopen()
+        else:
+            old, at, top = self.bracket, r["at"], len(r["at"]) - 1
+            i, j = math.floor((below / r["n"] - self.margin) * top), math.ceil(((last + 1) / r["n"] + self.margin) * top)
+            self.low, self.high = at[i] if i > 0 else self.low, at[j] if j < top else self.high
+            self.rows = 1 if self.low == self.high or self.bracket == old else (min(j, top) - max(i, 0)) / top * r["n"]
+
+    def reopen(self) -> None:
+        """All values again, with a wider margin: a sketch was off by more than the last one."""
+        self.low, self.high, self.rows, self.margin = -math.inf, math.inf, math.inf, 4 * self.margin
+
+
+def _long(base: DataFrame, sides: list[Column]) -> DataFrame:
+    """A row for each value and bracket; values above the bracket are left out."""
+    return base.select(F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.explode(F.array(*sides)).alias("v")).select("salt", "v.*")
+
+
+def _sketched(base: DataFrame, brackets: list[tuple[str, float, float]]) -> list[Row]:
+    """For each bracket: how many values lie below and inside, and a sketch of those inside, read at STEPS even steps. In one pass.
+
+    Sketches have a fixed size and are merged by salted group before one task merges the groups', so it sees SALTS of them."""
+    x = lambda c, low, high: F.when((F.col(c) >= low) & (F.col(c) <= high), F.col(c))
+    sides = [F.struct(F.lit(i).alias("i"), x(c, low, high).alias("x"), (F.col(c) < low).alias("below")) for i, (c, low, high) in enumerate(brackets)]
+    parts = _long(base, sides).groupBy("i", "salt").agg(F.count("x").alias("n"), F.count_if("below").alias("less"), F.kll_sketch_agg_double("x", F.lit(SKETCH)).alias("s"))
+    merged = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("less").alias("less"), F.kll_merge_agg_double("s", F.lit(SKETCH)).alias("s"))
+    steps = F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)])
+    found = merged.select("i", "n", "less", F.when(F.kll_sketch_get_n_double("s") > 0, F.kll_sketch_get_quantile_double("s", steps)).alias("at")).collect()
+    by = {r["i"]: r for r in found}
+    return [by.get(i, {"n": 0, "less": 0, "at": None}) for i in range(len(brackets))]
+
+
+def _ordered(base: DataFrame, targets: dict[str, Target]) -> dict[str, float | None]:
+    """The values at the targets' positions: those inside the brackets are folded into counts and ordered, the others counted."""
+    x = lambda t: F.col(t.column)
+    sides = [F.struct(F.lit(name).alias("name"), F.lit(t.position).alias("position"), x(t).alias("x"), F.when(x(t) < t.low, 0).when(x(t) > t.high, 2).otherwise(1).alias("side"))
+             for name, t in targets.items()]
+    rows = _long(base, sides).where("x is not null").withColumn("v", F.when(F.col("side") == 1, F.col("x")))
+    counts = rows.groupBy("name", "position", "side", "v").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    w = Window.partitionBy("name").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
+    # values beside the bracket are known where they border on it
+    value = lambda at: F.max(F.when((at >= F.col("start")) & (at < F.col("end")), F.when(F.col("side") == 1, F.col("v"))
+                                    .when((F.col("side") == 0) & (at == F.col("end") - 1), F.col("most")).when((F.col("side") == 2) & (at == F.col("start")), F.col("least"))))
+    found = upto.groupBy("name").agg(value(F.floor("position")).alias("a"), value(F.ceil("position")).alias("b")).collect()
+    ends = {r["name"]: (r["a"], r["b"]) for r in found if r["a"] is not None and r["b"] is not None}
+    return {name: a + (b - a) * (targets[name].position % 1) if a != b else a for name, (a, b) in ends.items()}
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], most: int = MOST_ROWS) -> DataFrame:
     """One row with exact, linearly interpolated quantiles; ``wanted`` maps output name to (column, quantile).
 
-    A first pass takes a mergeable sketch whose rank error is bounded (n / accuracy), which brackets every wanted rank.
-    A second pass counts the values below each bracket and keeps only those inside it: about 4n / accuracy rows plus
-    copies, which are folded into counts before they are ordered. The result does not depend on the sketch.
+    One pass takes mergeable sketches of the columns, which bracket all wanted positions. A bracket with more than ``most`` rows is
+    sketched again by itself, all such brackets in one pass, until it holds fewer; then only its values, folded into counts, are
+    ordered. Exact counts check the positions, so the result does not depend on the sketches: a bracket that missed is opened again.
+    The columns are staged once, as they are read two or more times. Nulls and NaN are left out; a column
+    without values has null.
     """
-    eps = 2.0 / accuracy
     columns = sorted({c for c, _ in wanted.values()})
-    marks = []
-    for name, (col, q) in wanted.items():
-        lo = F.min(col) if q - eps <= 0 else F.percentile_approx(col, q - eps, accuracy)
-        hi = F.max(col) if q + eps >= 1 else F.percentile_approx(col, q + eps, accuracy)
-        marks.append(F.struct(F.lit(name).alias("name"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"),
-                              ((F.count(col) - 1) * F.lit(float(q))).alias("rank"), F.lit(columns.index(col) + 1).alias("at_col")))
-    brackets = df.agg(F.array(*marks).alias("m")).scalar()
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    side = F.when(F.col("x") < F.col("lo"), 0).when(F.col("x") > F.col("hi"), 2).otherwise(1)
-    long = (df.select(values.alias("values"), F.explode(brackets).alias("m"))
-            .select("m.name", "m.lo", "m.hi", "m.rank", F.element_at("values", F.col("m.at_col")).alias("x"))
-            .where("x is not null").withColumn("side", side).withColumn("v", F.when(F.col("side") == 1, F.col("x"))))
-    counts = long.groupBy("name", "side", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"), F.min("x").alias("least"), F.max("x").alias("most"))
-    w = Window.partitionBy("name").orderBy("side", "v")
-    upto = counts.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first, last = F.col("end") - F.col("n"), F.col("end") - 1
-    inside = (F.col("side") == 1) & F.col("wanted").between(first, last)
-    # in few rows the bracket may miss the rank by one: then it is the greatest value below or the least above
-    edge = F.when((F.col("side") == 0) & (F.col("wanted") == last), F.col("most")).when((F.col("side") == 2) & (F.col("wanted") == first), F.col("least"))
-    low, high = F.floor("rank"), F.ceil("rank")
-    both = F.explode(F.array(F.struct(low.alias("wanted"), F.lit(0).alias("is_high")), F.struct(high.alias("wanted"), F.lit(1).alias("is_high"))))
-    hit = upto.select("*", both.alias("r")).select("*", "r.*").withColumn("value", F.when(inside, F.col("v")).otherwise(edge))
-    found = hit.groupBy("name").agg(F.max(F.when(F.col("is_high") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("is_high") == 1, F.col("value"))).alias("b"),
-                                    F.max(F.col("rank") - low).alias("f"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
-    return found.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted])
+    base = stage(df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]), "quantile-columns")
+    targets, values = {name: Target(c, float(q)) for name, (c, q) in wanted.items()}, {}
+    while left := {name: t for name, t in targets.items() if name not in values and t.rows > 0}:
+        while crowded := [t for t in left.values() if t.rows > most]:
+            brackets = sorted({t.bracket for t in crowded})
+            rows = dict(zip(brackets, _sketched(base, brackets)))
+            for t in crowded:
+                t.narrow(rows[t.bracket], math.isinf(t.low) and math.isinf(t.high))
+        left = {name: t for name, t in left.items() if t.rows > 0}
+        if left:
+            values |= _ordered(base, left)
+            for name in left.keys() - values.keys():
+                targets[name].reopen()
+    return df.sparkSession.range(1).select(*[F.lit(values.get(name)).cast("double").alias(name) for name in wanted])
 
 
 def bounded_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +62,24 @@ def recent(df: DataFrame, time: str, days: int) -> DataFrame:
     return df.where(F.col(time) >= end - F.make_dt_interval(F.lit(days)))
 
 
+def digest(key: list[str], seed: int = 42) -> Column:
+    """Hexadecimal digest of seed and key; a plain function of the text, so any engine draws the same rows."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+
+
+def in_share(key: list[str], share: float, seed: int = 42) -> Column:
+    """Whether the first eight digits of the key's digest fall into the share."""
+    return F.lit(True) if share >= 1 else F.substring(digest(key, seed), 1, 8) < F.lit(f"{math.ceil(share * 2**32):08x}")
+
+
 def sample_fraction(df: DataFrame, key: list[str], fraction: float, seed: int = 42) -> DataFrame:
-    """Share of the rows chosen by a hash of their key: repeatable whatever the partitioning, and without a shuffle."""
-    if fraction >= 1:
-        return df
-    return df.where(F.xxhash64(F.lit(seed), *key).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(fraction * (1 << 63))))
+    """Share of the rows chosen by a digest of their key: repeatable whatever the partitioning, and without a shuffle."""
+    return df.where(in_share(key, fraction, seed))
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """At most n rows in hash order of their key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """At most n rows in the order of their key's digest; every task keeps its first n only."""
+    return df.orderBy(digest(key, seed), *key).limit(n)
 
 
 def sample_station_dates(series: DataFrame, n_stations: int, dates: list[str], seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.session import stage
+from dockflow.operators.nearest import build, candidates
 
 
 def cell(col: Column, size: float) -> Column:
@@ -35,62 +35,25 @@ def stations_near(centres: DataFrame, stations: DataFrame, radius: float) -> Dat
     return c.join(s, ["_cx", "_cy"]).where(near).select("centre_id", "station_name")
 
 
-SPLIT = 4
+STATIONS_LEAF = 16  # places of a box of the tree that isn't split
 
 
-def _cell_candidates(cells: DataFrame, stations: DataFrame, box, steps: int) -> DataFrame:
-    """Stations that may be nearest to some position in a cell, from coarse cells to fine ones.
-
-    A station stays a candidate of a cell if its least distance to the cell does not exceed the smallest greatest distance
-    of any station; finer cells only look at the candidates of the cell around them. Each step joins by the coarse cell,
-    and its table is staged because two parts of the step read it.
-    """
-    side = box["side"]
-    cand = stations.select("station_name", "s_lat", "s_lon", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
-    for step in range(1, steps + 1):
-        size = side / SPLIT ** step
-        up = SPLIT ** (steps - step)
-        level = cells.select(F.floor(F.col("cx") / up).alias("x"), F.floor(F.col("cy") / up).alias("y")).distinct()
-        level = level.withColumn("px", F.floor(F.col("x") / SPLIT)).withColumn("py", F.floor(F.col("y") / SPLIT))
-        if step <= 3:
-            level = F.broadcast(level)  # at most 4096 cells
-        x0, y0 = F.lit(box["c"]) + F.col("x") * size, F.lit(box["a"]) + F.col("y") * size
-        dx, dy = F.col("s_lon") - x0, F.col("s_lat") - y0
-        zero = F.lit(0.0)
-        near = F.pow(F.greatest(-dx, zero, dx - size), F.lit(2)) + F.pow(F.greatest(-dy, zero, dy - size), F.lit(2))
-        far = F.pow(F.greatest(F.abs(dx), F.abs(dx - size)), F.lit(2)) + F.pow(F.greatest(F.abs(dy), F.abs(dy - size)), F.lit(2))
-        pairs = stage(cand.join(level, ["px", "py"]).select("x", "y", "station_name", "s_lat", "s_lon", near.alias("near"), far.alias("far")), "near-cells")
-        bound = pairs.groupBy("x", "y").agg(F.min("far").alias("bound"))
-        slack = F.lit((size * 1e-6) ** 2)  # positions on a cell border
-        cand = (pairs.join(bound, ["x", "y"]).where(F.col("near") <= F.col("bound") * (1 + 1e-9) + slack)
-                .select(F.col("x").alias("px"), F.col("y").alias("py"), "station_name", "s_lat", "s_lon"))
-    return cand.withColumnsRenamed({"px": "cx", "py": "cy"})
-
-
-def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
+def nearest_station(points: DataFrame, stations: DataFrame, leaf: int = STATIONS_LEAF) -> DataFrame:
     """Nearest station of each point (``point_id``, lat, lon) by planar distance in degrees, ties by name; exact.
 
-    The area is cut into cells, about as many as there are stations. Candidates are found per occupied cell, so that work
-    does not grow with the points; then every point meets the few candidates of its cell by equality and the minimum is
-    taken before anything is shuffled. Stations at the same position are folded to the first name.
+    Stations are kept in an adaptive tree of boxes. A point goes down the boxes that can hold its nearest station and is compared with the
+    places of the last ones, ``leaf`` each at most, so stations or points far away from all others cost nothing extra; candidates are
+    reduced to the nearest in the task that found them. Stations at the same position are folded to the first name. A point
+    without a position, or any point if there is no station, has no nearest one.
     """
-    places = (stations.where("lat is not null and lon is not null").groupBy(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-              .agg(F.min("station_name").alias("station_name")))
-    known = points.where("lat is not null and lon is not null")
-    both = known.select("lat", "lon", F.lit(0).alias("s")).unionByName(places.select(F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.lit(1).alias("s")))
-    box = both.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"), F.sum("s").alias("n")).first()
-    if not box["n"]:
-        return points.select("point_id", F.lit(None).cast("string").alias("station_name"), F.lit(None).cast("double").alias("dist"))
-    side = max(box["b"] - box["a"], box["d"] - box["c"], 1e-9)
-    steps = max(1, math.ceil(math.log(box["n"], SPLIT) / 2))
-    cells = SPLIT ** steps
-    at = lambda c, low: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.lit(low)) / F.lit(side / cells)))
-    placed = points.select("point_id", "lat", "lon", at("lon", box["c"]).alias("cx"), at("lat", box["a"]).alias("cy"))
-    occupied = stage(placed.where("cx is not null and cy is not null").select("cx", "cy").distinct(), "near-occupied")
-    cand = _cell_candidates(occupied, places, {"a": box["a"], "c": box["c"], "side": side}, steps)
-    d2 = F.pow(F.col("s_lon") - F.col("lon"), F.lit(2)) + F.pow(F.col("s_lat") - F.col("lat"), F.lit(2))
-    best = placed.join(cand, ["cx", "cy"], "left").groupBy("point_id").agg(F.min(F.when(d2.isNotNull(), F.struct(d2.alias("d2"), "station_name"))).alias("m"))
-    return best.select("point_id", "m.station_name", F.sqrt("m.d2").alias("dist"))
+    places = (stations.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("station_name").alias("p"))
+              .select("p", F.array(F.col("lon").cast("double"), F.col("lat").cast("double")).alias("x"), F.lit(1).cast("long").alias("w")))
+    known = points.where("lat is not null and lon is not null").select(F.col("point_id").alias("q"), F.array(F.col("lon").cast("double"), F.col("lat").cast("double")).alias("x"))
+    tree = build(places, 2, leaf)
+    found = candidates(known, tree).select(F.col("q").alias("point_id"), F.struct("d2", "p").alias("m"))
+    none = points.select("point_id", F.lit(None).cast(found.schema["m"].dataType).alias("m"))
+    best = found.unionByName(none).groupBy("point_id").agg(F.min("m").alias("m"))
+    return best.select("point_id", F.col("m.p").alias("station_name"), F.sqrt("m.d2").alias("dist"))
 
 
 def match_by_volume(targets: DataFrame, stations: DataFrame, share: float = 0.1) -> DataFrame:
