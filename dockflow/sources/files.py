@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +13,14 @@ NTZ_FORMAT = "yyyy-MM-dd[ ]['T']HH:mm[:ss][.SSSSSS][.SSS]"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path or glob matches anything on its file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    """Whether a path or glob matches anything on its file system; nothing is read."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:

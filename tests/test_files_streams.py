@@ -119,3 +119,76 @@ def test_one_shuffle_for_all_history_windows(spark):
     text = add_history(densify(s, ["pickups"]))._jdf.queryExecution().executedPlan().toString()
     assert plan is not None and text.count("hashpartitioning(station_name") == 1 and "CartesianProduct" not in text and "NestedLoop" not in text
     assert F is not None
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """Late rows are dropped by the mark of the batches before them, state is kept between runs, and closed windows leave it."""
+    schema = "trip_id long, started_at timestamp_ntz, start_station_name string"
+    t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [[(1, t(1), "a"), (2, t(1, 30), "a")], [(3, t(5), "a"), (1, t(1), "a")], [(4, t(1, 45), "a"), (5, t(4, 30), "a")], [(6, t(9), "a"), (7, t(4, 50), "a")]]
+    trips = lambda rows: spark.createDataFrame(rows, schema)
+    src, out, once = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "once")
+    types = trips([]).schema
+
+    def run(upto):
+        for i, rows in enumerate(batches[:upto]):
+            if not files.exists(spark, f"{src}/{i}"):
+                trips(rows).coalesce(1).write.parquet(f"{src}/{i}")
+        live.run_to_table(live.hourly_pickups(live.read_stream(spark, f"{src}/*", types, 1)), "hours", path=out)
+        live.run_to_table(live.distinct_trips(live.read_stream(spark, f"{src}/*", types, 1)), "once", path=once)
+
+    run(2)
+    assert spark.read.parquet(out).count() == 1  # 1:00 closed at 4:00
+    run(4)  # after the restart the mark is 4:00: trip 4 is too late, trip 5 isn't
+    got = {(r.time.hour, r.pickups) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 3), (4, 2), (5, 1)}
+    assert sorted(r.trip_id for r in spark.read.parquet(once).collect()) == [1, 2, 3, 5, 6, 7]
+
+
+def test_status_folds_and_writes_changes_only(spark, tmp_path):
+    schema = "station_id long, last_reported long, bikes long, ebikes long, docks long, is_renting int"
+    info = spark.createDataFrame([(i, "s", 20) for i in range(50)], "station_id long, name string, capacity long")
+    src = str(tmp_path / "in")
+    state = live.LatestStatus(spark, info, ORDER, str(tmp_path / "state"), fold=2)
+    for i in range(5):
+        rows = [(k, 0, 10, 0, 10, 1) for k in range(50)] if i == 0 else [(i, i, i, 0, 20 - i, 1), (40, -i, 0, 0, 20, 1)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{i}")
+    state.run(live.read_stream(spark, f"{src}/*", spark.createDataFrame([], schema).schema, 1))
+    table = {r.station_id: r.bikes for r in state.table(spark).collect()}
+    assert len(table) == 50 and [table[i] for i in range(1, 5)] == [1, 2, 3, 4] and table[40] == 10
+    assert state.changes.numbers(spark) == [0, 1, 2, 3, 4] and state.folded.numbers(spark) == [1, 3]
+    assert state.changes.read(spark, [3]).count() <= 2  # not the whole table
+
+
+def test_last_good_feed_is_served(spark, tmp_path):
+    schema = schemas.T.StructType([schemas.T.StructField("station_id", schemas.T.StringType()), schemas.T.StructField("bikes", schemas.T.LongType())])
+    feed_table = live.FeedTable(spark, schema, "station_id", str(tmp_path / "feed"))
+    assert feed_table.served(spark) is None
+    land = tmp_path / "land"
+    land.mkdir()
+    lines = [['{"station_id":"x","bikes":1}', '{"station_id":"y","bikes":2}'], ['{"station_id":"x","bikes":5}', '{"station_id":"y","bik'], [], ['{"station_id":"x","bikes":7}', '{"station_id":"x","bikes":8}'], ['{"bikes":3}']]
+    served = []
+    for i, text in enumerate(lines):
+        (land / f"{i}.json").write_text("\n".join(text))
+        feed_table.run(spark, str(land))
+        served.append(sorted((r.station_id, r.bikes, r.version) for r in feed_table.served(spark).collect()))
+    assert served == [[("x", 1, 0), ("y", 2, 0)]] * 5
+    (land / "9.json").write_text('{"station_id":"z","bikes":4}')
+    feed_table.run(spark, str(land))
+    assert [(r.station_id, r.bikes) for r in feed_table.served(spark).collect()] == [("z", 4)]
+    notes = {r.note for r in feed_table.versions.listed(spark).where("not good").collect()}
+    assert {"1 broken lines", "a key twice", "rows without a key"} <= notes
+
+
+def test_buckets_are_pruned(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit("station "), F.col("id") % 40).alias("station_name"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("time"), F.col("id").alias("pickups"))
+    path = str(tmp_path / "history")
+    sinks.write_buckets(rows, path, buckets=8)
+    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # else the plan doesn't tell the buckets of a scan that needs no exchange
+    spark.conf.set(auto, "false")
+    try:
+        table = sinks.open_buckets(spark, path).where("station_name = 'station 7'")
+        plan = table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(auto)
+    assert table.count() == 125 and "SelectedBucketsCount: 1 out of 8" in plan and "EqualTo(station_name,station 7)" in plan
