@@ -6,6 +6,8 @@ from dockflow.catalog.base import Data, STATUS_ORDER, VIEWS, query, rounded
 from dockflow.operators import joins, ranking, rollups, spatial
 from dockflow.plans import dashboards, operations
 from dockflow.plans import feature_table as ft
+from dockflow.session import stage_path
+from dockflow.sources import sinks
 
 START, END, DAYS = "1996-01-01", "1999-06-30", "Monday,Tuesday,Wednesday,Saturday,Sunday"
 
@@ -129,9 +131,12 @@ def _(d: Data):
     select strftime(time, '%Y-%m-%dT%H:%M:%S') || '+00:00' date, pickups::double demand from hourly
     where station_name = (select station_name from hourly group by 1 order by count(*) desc, 1 limit 1) and time >= timestamp '2024-01-03' and time <= timestamp '2024-01-28'""", "hourly")
 def _(d: Data):
-    series = rollups.station_hourly(d.trips())
-    busiest = ranking.top_by_rows(series, "station_name", 1).first()["station_name"]
-    return dashboards.historical_demand(series, busiest, "2024-01-03", "2024-01-28")
+    """Served from the published history: one bucket is read and no trip."""
+    path = stage_path(d.spark, "history")
+    sinks.write_buckets(rollups.station_hourly(d.trips()), path)
+    history = sinks.open_buckets(d.spark, path)
+    busiest = ranking.top_by_rows(history, "station_name", 1).first()["station_name"]
+    return dashboards.historical_demand(history, busiest, "2024-01-03", "2024-01-28")
 
 
 VIEWS["boroughs"] = ((), """
@@ -198,6 +203,16 @@ def _(d: Data):
     return operations.rebalancing_actions(live(d), "ceil")
 
 
+@query("rebalancing_actions_uncut", board_sql("trunc").replace("least(q,15) quantity", "q quantity") + "select *, false cut from a", "live")
+def _(d: Data):
+    return operations.rebalancing_actions(live(d), per_trip=None, mark="cut")
+
+
+@query("rebalancing_actions_marked", board_sql("trunc").replace("least(q,15) quantity", "least(q,15) quantity, q > 15 cut") + "select * from a", "live")
+def _(d: Data):
+    return operations.rebalancing_actions(live(d), mark="cut")
+
+
 @query("rebalancing_board", board_sql("trunc") + "select * from a order by case priority when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, station_id limit 50", "live")
 def _(d: Data):
     return operations.action_board(operations.rebalancing_actions(live(d)))

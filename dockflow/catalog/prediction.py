@@ -3,14 +3,16 @@
 from pyspark.sql import functions as F
 
 from dockflow.catalog.base import Data, VIEWS, query, rounded, station_name
-from dockflow.catalog.timeline import grid
+from dockflow.catalog.timeline import FEATURE_SQL, grid
 from dockflow.operators import evaluation, forecasting, models, preparation, rollups
 from dockflow.operators.joins import pred_vs_actual
 from dockflow.plans import feature_table as ft
 from dockflow.plans import forecast as fc
-from dockflow.plans.publish import publish, published_sizes
+from dockflow.plans import training
+from dockflow.plans.publish import HISTORY_COLUMNS, RECENT_COLUMNS, RECENT_DAYS, publish, published_sizes
 from dockflow.schemas import FEATURES
 from dockflow.session import stage, stage_path
+from dockflow.sources.sinks import open_buckets
 
 VIEWS["requests"] = ((), """
     select 'station ' || user_id station_name, date_trunc('hour', max(ts)) start, date_trunc('hour', max(ts)) + to_hours(cast(user_id % 60 - 2 as int)) + interval 30 minute as stop from events group by user_id""")
@@ -67,6 +69,17 @@ def _(d: Data):
     return forecasting.horizon(requests(d)).select("station_name", "time", "step")
 
 
+@query("forecast_horizon_limits", """
+    with r as (select station_name, start, cast(floor(epoch(stop - start)/3600) as bigint) asked from requests)
+    select station_name, start + to_hours(cast(step as int)) time, step::int step, cut, "limit" from (
+      select station_name, start, unnest(range(0, greatest(1, least(24, asked)))) step, asked > 24 cut, 24 "limit" from r
+      union all select station_name, start, unnest(range(0, greatest(1, asked))), false, null from r)""", "requests")
+def _(d: Data):
+    """The horizon cut at a day, with the cut shown, and without any limit."""
+    parts = [forecasting.horizon(requests(d), most=n, mark="cut").select("station_name", "time", "step", "cut", F.lit(n).cast("int").alias("limit")) for n in (24, None)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("statistical_forecast", "select station_name, time, step, round(predicted,9) predicted from forecasts", "forecasts")
 def _(d: Data):
     return rounded(fc.forecast(requests(d), known_history(d))["predictions"], 9)
@@ -189,60 +202,93 @@ def _(d: Data):
 
 # ------------------------------------------------------------------------------------------------------ models
 
-def training(d: Data, names: list[str]):
-    rows = ft.training_rows(ft.feature_table(d.trips(), d.weather())).select("station_name", "time", F.col("pickups").cast("double").alias("pickups"), *names)
-    return stage(rows, "training")
+# Sizes of a trial of the whole job; those of the full one are the defaults of ``Sizes``.
+TRIAL = training.Sizes(boosted={"boosted_deep": {"maxDepth": 4, "stepSize": 0.3}, "boosted_even": {"maxDepth": 3, "stepSize": 0.3}, "boosted_slow": {"maxDepth": 3, "stepSize": 0.2}},
+                       rounds=5, forest={"numTrees": 8, "maxDepth": 6}, isolation_trees=50)
+_trained: dict[tuple[str, str], str] = {}
 
 
-def fitted(d: Data, names: list[str]):
-    rows = stage(preparation.time_split(training(d, names)), "training-split")
-    train = rows.where("is_train = 1")
-    pipes = {"boosted": models.boosted(names, rounds=5, maxDepth=4, stepSize=0.3), "forest": models.forest(names, numTrees=8, maxDepth=6)}
-    return rows, {name: p.fit(train) for name, p in pipes.items()}
+def trained(d: Data) -> str:
+    """Where the job saved its artefacts for these tables; it runs once a session."""
+    at = (d.spark.sparkContext.applicationId, d.folder)
+    if at not in _trained:
+        root = stage_path(d.spark, "trained")
+        training.train(ft.feature_table(d.trips(), d.weather()), root, TRIAL)
+        _trained[at] = root
+    return _trained[at]
 
 
 @query("tree_model_metrics")
 def _(d: Data):
-    """Boosted trees and a forest on the training rows, compared on the last fifth in time."""
-    rows, fit = fitted(d, FEATURES)
-    out = None
-    for name, m in fit.items():
-        p = m.transform(rows.where("is_train = 0")).select(F.lit(name).alias("model"), F.col("pickups").alias("actual"), "predicted")
-        out = p if out is None else out.unionByName(p)
-    return evaluation.compare_models(out, "forest")
+    """Three boosted sets, a forest and their ensemble on the last fifth in time, as saved by the training job."""
+    return d.spark.read.parquet(f"{trained(d)}/metrics")
 
 
 @query("tree_feature_importance")
 def _(d: Data):
-    rows, fit = fitted(d, FEATURES)
-    return models.importance_by_category(models.importances(rows, fit["forest"], FEATURES))
+    """All features by their importance in the saved forest."""
+    return models.importances(d.table("events"), training.load(d.spark, trained(d)).models["forest"], FEATURES)
 
 
 @query("parameter_search")
 def _(d: Data):
-    names = FEATURES
-    rows = stage(preparation.time_folds(training(d, names), 2), "training-folds")
-    found = models.search(rows, lambda **p: models.forest(names, numTrees=4, **p), models.grid(maxDepth=[2, 4]), folds=2)
-    return d.spark.createDataFrame([(i + 1, str(p), float(e)) for i, (p, e) in enumerate(found)], "rank int, params string, mae double")
+    rows = stage(ft.training_rows(ft.feature_table(d.trips(), d.weather())).select("station_name", "time", F.col("pickups").cast("double").alias("pickups"), *FEATURES), "search-rows")
+    folds = stage(preparation.time_folds(rows, 3), "search-folds")
+    candidates = models.grid(maxDepth=[2, 3, 4, 5], numTrees=[3, 6])
+    return models.halving(folds, lambda **p: models.forest(FEATURES, **p), candidates, ["station_name", "time"], folds=3)
 
 
 @query("model_forecast")
 def _(d: Data):
-    """Ensemble forecast for every station from its last hour on, calibrated and blended."""
-    rows, fit = fitted(d, FEATURES)
-    errors = None
-    for name, m in fit.items():
-        p = m.transform(rows.where("is_train = 0")).select(F.lit(name).alias("model"), F.col("pickups").alias("actual"), "predicted")
-        errors = p if errors is None else errors.unionByName(p)
-    weights = stage(forecasting.inverse_mae_weights(evaluation.metrics(errors, ["model"])), "weights")
+    """Ensemble forecast for every station from its last hour on, by the saved models, calibrated and blended."""
+    saved = training.load(d.spark, trained(d))
     history = stage(grid(d).join(d.weather(), "time", "left"), "history")
-    return fc.forecast_models(requests(d), history, fit, weights)
+    return fc.forecast_models(requests(d), history, saved.models, saved.weights, saved.scaler_x, saved.scaler_y)
+
+
+_published: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def published(d: Data) -> dict[str, str]:
+    """Places of the published tables; they are written once a session."""
+    at = (d.spark.sparkContext.applicationId, d.folder)
+    if at not in _published:
+        series = ft.kept_series(d.trips())
+        features = stage(ft.feature_table(d.trips(), d.weather(), series=series), "features")
+        _published[at] = publish(features, rollups.station_quality(series), evaluation.metrics(backcast(d)), stage_path(d.spark, "published"))
+    return _published[at]
+
+
+VIEWS["features"] = (("grid_numbered", "hour_weather", "holidays"), FEATURE_SQL)
+
+
+@query("published_tables", f"""
+    select * from (values ('history', (select count(*) from features)), ('recent', (select count(*) from features where time >= (select max(time) from features) - interval {RECENT_DAYS} day)),
+      ('station_metadata', (select count(distinct station_name) from features)), ('top_stations', (select count(*) from quality)), ('model_summary', 1)) t(name, n_rows)""", "features", "quality")
+def _(d: Data):
+    return published_sizes(d.spark, published(d))
+
+
+@query("published_history", f"select {', '.join(HISTORY_COLUMNS)} from features", "features")
+def _(d: Data):
+    return rounded(open_buckets(d.spark, published(d)["history"]))
+
+
+@query("published_recent", f"select {', '.join(RECENT_COLUMNS)} from features where time >= (select max(time) from features) - interval {RECENT_DAYS} day", "features")
+def _(d: Data):
+    return rounded(d.spark.read.parquet(published(d)["recent"]))
+
+
+@query("published_metadata", "select station_name, round(avg(pickups),6) mean_demand, round(coalesce(stddev_samp(pickups),1.0),6) std_demand, max(pickups) max_demand from grid group by 1", "grid")
+def _(d: Data):
+    return rounded(d.spark.read.parquet(published(d)["station_metadata"]))
+
+
+@query("published_stations", "select station_name, round(score,6) score from quality", "quality")
+def _(d: Data):
+    return rounded(d.spark.read.parquet(published(d)["top_stations"]))
 
 
-@query("published_tables")
+@query("published_summary", f"select {METRICS} from backcast", "backcast")
 def _(d: Data):
-    series = ft.kept_series(d.trips())
-    features = stage(ft.feature_table(d.trips(), d.weather(), series=series), "features")
-    quality = rollups.station_quality(series)
-    metrics = evaluation.metrics(backcast(d))
-    return published_sizes(d.spark, publish(features, quality, metrics, stage_path(d.spark, "published")))
+    return rounded(d.spark.read.json(published(d)["model_summary"]))

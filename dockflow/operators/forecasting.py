@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_HOURS = 168
-
-
-def horizon(requests: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """One row per forecast hour; the horizon is limited to 1..168 hours."""
-    hours = F.floor(F.timestamp_diff("SECOND", F.col(start), F.col(end)) / 3600)
-    hours = F.greatest(F.lit(1), F.least(F.lit(MAX_HOURS), hours)).cast("int")
-    steps = F.sequence(F.lit(0), hours - 1)
-    return (requests.withColumn("step", F.explode(steps))
+def horizon(requests: DataFrame, start: str = "start", end: str = "end", most: int | None = 168, mark: str | None = None) -> DataFrame:
+    """One row per forecast hour, one hour at least and ``most`` hours at most; None for no limit. ``mark`` names a column that tells
+    requests that were cut."""
+    asked = F.floor(F.timestamp_diff("SECOND", F.col(start), F.col(end)) / 3600)
+    hours = F.greatest(F.lit(1), asked if most is None else F.least(F.lit(most), asked)).cast("int")
+    rows = requests if mark is None else requests.withColumn(mark, F.lit(False) if most is None else F.coalesce(asked > most, F.lit(False)))
+    return (rows.withColumn("step", F.explode(F.sequence(F.lit(0), hours - 1)))
             .withColumn("time", F.col(start) + F.make_dt_interval(F.lit(0), F.col("step"))))
 
 

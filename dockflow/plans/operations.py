@@ -10,7 +10,6 @@ from dockflow.operators.joins import live_stations
 from dockflow.operators.ranking import PRIORITY_ORDER, mapped_rank
 
 DEFAULT_CAPACITY = 30
-MAX_PER_TRIP = 15
 
 
 def station_state(info: DataFrame, status: DataFrame, status_order: list[str]) -> DataFrame:
@@ -28,8 +27,11 @@ def station_state(info: DataFrame, status: DataFrame, status_order: list[str]) -
                     "last_reported", rate(bikes + ebikes).alias("fill_rate_sum"), rate(bikes).alias("fill_rate"))
 
 
-def rebalancing_actions(stations: DataFrame, rounding: str = "trunc") -> DataFrame:
-    """Action, quantity and priority of every station that needs one; ``rounding`` is ``trunc`` or ``ceil``."""
+def rebalancing_actions(stations: DataFrame, rounding: str = "trunc", per_trip: int | None = 15, mark: str | None = None) -> DataFrame:
+    """Action, quantity and priority of every station that needs one; ``rounding`` is ``trunc`` or ``ceil``.
+
+    A trip moves ``per_trip`` bikes at most; None for no limit. ``mark`` names a column that tells quantities that were cut.
+    """
     whole = truncate if rounding == "trunc" else F.ceil
     cap = F.when(F.col("capacity") > 0, F.col("capacity")).when(F.col("bikes") + F.col("docks") > 0, F.col("bikes") + F.col("docks")).otherwise(DEFAULT_CAPACITY)
     base = stations.withColumn("capacity", cap).withColumn("fill", F.col("bikes") / F.col("capacity"))
@@ -39,10 +41,13 @@ def rebalancing_actions(stations: DataFrame, rounding: str = "trunc") -> DataFra
                 .when(fill < 0.25, whole(capacity * 0.35 - bikes)).when(fill > 0.75, whole(bikes - capacity * 0.65)).otherwise(0))
     priority = (F.when((fill < 0.05) | (fill > 0.95), "CRITICAL").when((fill < 0.15) | (fill > 0.85), "HIGH")
                 .when((fill < 0.25) | (fill > 0.75), "MEDIUM").otherwise("LOW"))
-    return (base.select("station_id", "name", action.alias("action"), quantity.cast("long").alias("quantity"), priority.alias("priority"),
+    found = (base.select("station_id", "name", action.alias("action"), quantity.cast("long").alias("quantity"), priority.alias("priority"),
                         bikes.alias("current_bikes"), F.col("docks").alias("current_docks"), capacity.alias("capacity"),
                         F.rint(fill * 100).cast("long").alias("fill_pct"))
-            .where("action <> 'HOLD' and quantity > 0").withColumn("quantity", F.least("quantity", F.lit(MAX_PER_TRIP))))
+             .where("action <> 'HOLD' and quantity > 0"))
+    if mark is not None:
+        found = found.withColumn(mark, F.lit(False) if per_trip is None else F.col("quantity") > per_trip)
+    return found if per_trip is None else found.withColumn("quantity", F.least("quantity", F.lit(per_trip)))
 
 
 def action_board(actions: DataFrame, n: int = 50) -> DataFrame:

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from dockflow.operators.ranking import recent
 from dockflow.operators.rollups import station_metadata
-from dockflow.sources.sinks import write_by_station, write_json
+from dockflow.sources.sinks import open_buckets, write_buckets, write_by_station, write_json
 
 HISTORY_COLUMNS = ["station_name", "time", "pickups", "dropoffs", "net_demand", "temp", "prcp", "wspd", "is_holiday", "is_weekend",
                    "hour_sin", "hour_cos", "month_sin", "month_cos"]
+RECENT_DAYS = 60
 RECENT_COLUMNS = ["station_name", "time", "pickups", "temp", "prcp", "wspd"]
 
 
-def publish(features: DataFrame, quality: DataFrame, metrics: DataFrame, path: str, recent_days: int = 60) -> dict[str, str]:
+def publish(features: DataFrame, quality: DataFrame, metrics: DataFrame, path: str, recent_days: int = RECENT_DAYS) -> dict[str, str]:
     """Write all published tables below ``path`` and return their places."""
     places = {n: f"{path}/{n}" for n in ("history", "recent", "station_metadata", "top_stations", "model_summary")}
-    write_by_station(features.select(*HISTORY_COLUMNS), places["history"])
-    history = features.sparkSession.read.parquet(places["history"])
+    write_buckets(features.select(*HISTORY_COLUMNS), places["history"])
+    history = open_buckets(features.sparkSession, places["history"])
     write_by_station(recent(history, "time", recent_days).select(*RECENT_COLUMNS), places["recent"])
     station_metadata(history).write.parquet(places["station_metadata"])
     quality.select("station_name", "score").write.parquet(places["top_stations"])
