@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dockflow.operators.quantiles import scalar_struct
+
 
 def horizon(requests: DataFrame, start: str = "start", end: str = "end", most: int | None = 168, mark: str | None = None) -> DataFrame:
     """One row per forecast hour, one hour at least and ``most`` hours at most; None for no limit. ``mark`` names a column that tells
@@ -55,9 +57,12 @@ def statistical_forecast(requests: DataFrame, history: DataFrame, value: str = "
 
 
 def inverse_mae_weights(metrics: DataFrame) -> DataFrame:
-    """Weight of each model: inverse error, normalised; one row per model."""
-    total = metrics.agg(F.sum(1.0 / F.col("mae"))).scalar()
-    return metrics.select("model", "mae", ((1.0 / F.col("mae")) / total).alias("weight"))
+    """Weight of each model: inverse error, normalised; one row per model. Models without any error share all the weight."""
+    inverse = 1.0 / F.nullif(F.col("mae").cast("double"), F.lit(0.0))
+    one = metrics.agg(F.sum(inverse).alias("total"), F.count_if(F.col("mae") == 0).alias("exact"))
+    s = scalar_struct(one)
+    share = F.when(s.getField("exact") > 0, F.when(F.col("mae") == 0, 1.0 / F.nullif(s.getField("exact"), F.lit(0))).otherwise(0.0)).otherwise(inverse / s.getField("total"))
+    return metrics.select("model", "mae", share.alias("weight"))
 
 
 def ensemble(predictions: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

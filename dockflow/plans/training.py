@@ -32,15 +32,16 @@ class Sizes:
     forest: dict | None = None
     isolation_trees: int = 100
     lof_share: float = 0.05
+    votes: int = 2  # methods that must agree on an outlier
 
 
 def prepared(features: DataFrame, sizes: Sizes) -> DataFrame:
-    """Rows with a week of history and without outliers, in whole numbers of the scale of the features, marked as training or test rows by time.
+    """Rows with a week of history and without outliers, marked as training or test rows by time.
 
     Missing values become the median of the column over all rows that are left, as far as there are any.
     """
     rows = stage(training_rows(features).select(*KEY, F.col(LABEL).cast("double").alias(LABEL), *[F.col(c).cast("double").alias(c) for c in FEATURES]), "training-rows")
-    clean = stage(remove_outliers(four_votes(rows, LABEL, KEY, VOTED, sizes.lof_share, trees=sizes.isolation_trees)).select(*rows.columns), "training-clean")
+    clean = stage(remove_outliers(four_votes(rows, LABEL, KEY, VOTED, sizes.lof_share, sizes.votes, sizes.isolation_trees)).select(*rows.columns), "training-clean")
     gaps = clean.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in FEATURES]).first().asDict()
     return stage(time_split(fill_median(clean, [c for c, n in gaps.items() if n]) if any(gaps.values()) else clean), "training-split")
 
