@@ -1,14 +1,14 @@
 """Exact Jaccard self-join of texts' word shingles with a token-group matrix.
 
-Equal sets are folded into classes first. Classes are partitioned into small groups of similar sets by two minimum hashes. A matrix of
+Equal sets are folded into classes first. Classes are partitioned into small groups of similar sets by minimum hashes. A matrix of
 tokens and groups keeps each group's token union; a set can only be similar to a member of a group if it shares enough tokens with the
 union, so only groups that pass this bound are opened and their members compared exactly.
 
 Which groups are bounded at all is found through prefixes: in one common order of all tokens, frequent ones last, two similar sets
-share a token among the first few of each. Groups are linked inside before they meet others, and a set skips the groups of its own
-component, so many near copies of one text give few rows. One set of each component asks a group first; the others ask only if the
-two are still apart after that. Nothing is capped: every pair of classes is either in a component already,
-ruled out by a bound, or compared.
+share a token among the first few of each. Groups are linked inside before they meet others, and groups of one component don't meet, so
+many near copies of one text give few rows. Groups that met are bounded by the tokens that both unions have, first those of the
+prefixes, then all; a pair that passes is opened, and all members of both are compared by one product of their matrices. Nothing
+is capped: every pair of classes is either in a component already, ruled out by a bound, or compared.
 """
 
 from __future__ import annotations
@@ -180,6 +180,24 @@ def _similar(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
     return 100 * common >= similar * (len(a) + len(b) - common)
 
 
+def groups_of(classes: DataFrame) -> DataFrame:
+    """(rep, cls, n, kind, k, salt, gid): the group of each class. Classes that agree on both minimum hashes are of one kind; of those that
+    don't share both with any, those with the same first hash, then those with the same second; the others are of a kind of their own.
+
+    Kinds of more than GROUP_SETS classes are dealt out by hash. Few groups for many near copies keep the matrix of tokens and groups small.
+    """
+    left, out = classes.select("rep", "cls", "n", "m1", "m2"), None
+    for i, key in enumerate((["m1", "m2"], ["m1"], ["m2"])):
+        many = left.groupBy(*key).agg(F.count("*").alias("k"))
+        counted = stage(left.join(many, key), "setjoin-kinds")
+        found = counted.where("k > 1").select("rep", "cls", "n", F.xxhash64(F.lit(i), *key).alias("kind"), "k")
+        out = found if out is None else out.unionByName(found)
+        left = counted.where("k = 1").drop("k")
+    out = out.unionByName(left.select("rep", "cls", "n", F.xxhash64(F.lit(3), "rep").alias("kind"), F.lit(1).cast("long").alias("k")))
+    salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / GROUP_SETS)).cast("int")
+    return out.withColumn("salt", salt).withColumn("gid", F.xxhash64("kind", "salt"))
+
+
 def inside_links(sets: DataFrame, similar: int) -> DataFrame:
     """(a, b): links that connect what is connected inside each group; members in one component already aren't compared again."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -200,12 +218,8 @@ def inside_links(sets: DataFrame, similar: int) -> DataFrame:
     return sets.groupBy("gid").applyInPandas(run, "a long, b long")
 
 
-def leader_links(sets: DataFrame, similar: int) -> DataFrame:
-    """Links between the first members of the parts of one dealt-out group and that of its part 0."""
-    first = sets.groupBy("m1", "m2", "salt").agg(F.min_by(F.struct("rep", "t"), "rep").alias("x"))
-    base = first.where("salt = 0").select("m1", "m2", F.col("x").alias("y"))
-    pairs = first.where("salt > 0").join(base, ["m1", "m2"]).select(F.col("x.rep").alias("a"), F.col("x.t").alias("s"), F.col("y.rep").alias("b"), F.col("y.t").alias("t"))
-
+def similar_pairs(pairs: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) whose texts s and t are similar."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             yield b.select(["a", "b"]).filter(pa.array([_similar(_tokens(s), _tokens(t), similar) for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist())], pa.bool_()))
@@ -213,6 +227,15 @@ def leader_links(sets: DataFrame, similar: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def leader_links(sets: DataFrame, similar: int) -> DataFrame:
+    """Links between the first members of the parts of one dealt-out group and that of its part 0."""
+    first = sets.groupBy("kind", "salt").agg(F.min_by(F.struct("rep", "t"), "rep").alias("x"))
+    base = first.where("salt = 0").select("kind", F.col("x").alias("y"))
+    pairs = first.where("salt > 0").join(base, "kind").select(F.col("x.rep").alias("a"), F.col("x.t").alias("s"), F.col("y.rep").alias("b"), F.col("y.t").alias("t"))
+
+    return similar_pairs(pairs, similar)
+
+
 def matrices(sets: DataFrame) -> DataFrame:
     """The matrix of each group: (gid, tokens of the union, members, their components, one row of bits for each member)."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -226,34 +249,41 @@ def matrices(sets: DataFrame) -> DataFrame:
     return sets.groupBy("gid").applyInPandas(run, "gid long, tokens binary, members array<long>, comps array<long>, bits binary")
 
 
-def opened(candidates: DataFrame, similar: int) -> DataFrame:
-    """(a, b): links of candidate sets (rep, comp, query tokens) to members of their group; a group opens only if its union passes the bound."""
+def opened(pairs: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links between members of two groups with their matrices; a pair opens only if the unions have enough tokens in common.
+
+    All members of both are compared by one product of the matrices' common columns. One link between two components is enough.
+    """
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                q, union, k = _tokens(r["query"]), np.frombuffer(r["tokens"], np.uint64), len(r["members"])
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                hit = at[union[at] == q]
-                if 100 * len(hit) < similar * len(q):
-                    continue  # the bound: no member can be similar
-                bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8).reshape(k, -1), axis=1, count=len(union)).astype(bool)
-                common, sizes = bits[:, hit].sum(axis=1), bits.sum(axis=1)
-                linked = {r["comp"]}
-                for m in np.flatnonzero(100 * common >= similar * (len(q) + sizes - common)):
-                    if r["comps"][m] not in linked:  # one link to a component is enough
-                        linked.add(r["comps"][m])
-                        out.append((r["rep"], r["members"][m]))
+                own, union = np.frombuffer(r["own_tokens"], np.uint64), np.frombuffer(r["tokens"], np.uint64)
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                hit = np.flatnonzero(union[at] == own)
+                p, q = (np.unpackbits(np.frombuffer(r[f"{side}bits"], np.uint8).reshape(len(r[f"{side}members"]), -1), axis=1, count=len(t)) for side, t in (("own_", own), ("", union)))
+                p_size, q_size = p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64)
+                if (100 + similar) * len(hit) < similar * (p_size.min() + q_size.min()):
+                    continue  # the bound: no two members can be similar
+                common = np.rint(p[:, hit].astype(np.float32) @ q[:, at[hit]].astype(np.float32).T).astype(np.int64)
+                linked = set()
+                for i, j in np.argwhere((100 + similar) * common >= similar * (p_size[:, None] + q_size[None])).tolist():
+                    ends = r["own_comps"][i], r["comps"][j]
+                    if ends[0] != ends[1] and ends not in linked:
+                        linked.add(ends)
+                        out.append((r["own_members"][i], r["members"][j]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return candidates.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def asked_links(candidates: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(a, b): links of the candidates (doc_id, other) to members of the group ``other``, from the texts in ``sets``."""
-    groups = sets.where("asked").join(candidates.select(F.col("other").alias("gid")).distinct(), "gid", "left_semi")
-    asking = candidates.select("doc_id", "other").join(sets.where("asks").select(F.col("rep").alias("doc_id"), "comp", F.col("t").alias("query")), "doc_id")
-    return opened(asking.select(F.col("doc_id").alias("rep"), "comp", "query", F.col("other").alias("gid")).join(matrices(groups.select("gid", "rep", "comp", "t")), "gid"), similar)
+def opened_links(docs: DataFrame, pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links between the members of the groups ``gid`` and ``other``. Only the texts of these groups are read again, each once."""
+    groups = pairs.select("gid").unionByName(pairs.select(F.col("other").alias("gid"))).distinct()
+    sets = texts_of(docs, info.join(groups, "gid", "left_semi").select("rep", "cls", "gid", "comp")).select("gid", "rep", "comp", "t")
+    matrix = stage(matrices(sets), "setjoin-matrices")
+    own = matrix.toDF("gid", *(f"own_{c}" for c in matrix.columns[1:]))
+    return opened(pairs.join(own, "gid").join(matrix.withColumnRenamed("gid", "other"), "other").drop("gid", "other"), similar)
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -268,11 +298,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     s = stage(sketches(rows, similar), "setjoin-sketches")
     real = s.where("n > 0 and doc_id is not null")
     c = stage(real.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")), "setjoin-classes")
-    # groups: classes that agree on both minimum hashes, dealt out by hash if there are many
-    many = c.groupBy("m1", "m2").agg(F.count("*").alias("k")).where("k > 1")
-    salt = F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("k", F.lit(1)) / GROUP_SETS)).cast("int")
-    grouped = stage(c.join(many, ["m1", "m2"], "left").withColumn("salt", salt).withColumn("gid", F.xxhash64("m1", "m2", "salt")), "setjoin-groups")
-    inside = stage(texts_of(known, grouped.where("k > 1").select("rep", "cls", "gid", "m1", "m2", "salt", "k")), "setjoin-inside")
+    grouped = stage(groups_of(c), "setjoin-groups")
+    inside = stage(texts_of(known, grouped.where("k > 1").select("rep", "cls", "gid", "kind", "salt", "k")), "setjoin-inside")
     near = stage(inside_links(inside.select("gid", "rep", "t"), similar).unionByName(leader_links(inside.where(f"k > {GROUP_SETS}"), similar)), "setjoin-near")
     linked = components(near, "setjoin-first")
     info = grouped.join(linked.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("rep", "cls", "n", "gid", F.coalesce("component", "rep").alias("comp"))
@@ -284,49 +311,64 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = stage(first.join(info.withColumnRenamed("rep", "doc_id"), ["doc_id", "cls"]).drop("cls"), "setjoin-prefixes")
     tokens = first.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     x = stage(explode_shared(first, bitmap(tokens, "token", SHARED_BITS)), "setjoin-shared")
-    g = x.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).withColumnRenamed("gid", "other")
-    could = (F.col("gid") < F.col("other")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (100 * F.col("n_hi") >= similar * F.col("n")) & (similar * F.col("n_lo") <= 100 * F.col("n"))
-    met = x.join(g, "token").where(could).groupBy("doc_id", "comp", "n", "other").agg(F.count("*").alias("shared"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
-    candidates = stage(met.where(within_bound(similar)).select("doc_id", "comp", "other"), "setjoin-candidates")
-    # exact comparison in the groups that open: first one set of each component asks a group, then those that are still apart from it
-    ids, groups = candidates.select(F.col("doc_id").alias("rep")).distinct(), candidates.select(F.col("other").alias("gid")).distinct()
-    wanted = info.join(ids.withColumn("asks", F.lit(True)), "rep", "left").join(groups.withColumn("asked", F.lit(True)), "gid", "left").where("asks or asked")
-    sets = stage(texts_of(known, wanted), "setjoin-texts")
-    leaders = candidates.groupBy("comp", "other").agg(F.min("doc_id").alias("doc_id"))
-    early = stage(asked_links(leaders, sets, similar).unionByName(near), "setjoin-early")
-    joined = stage(components(early, "setjoin-third").select(F.col("node").alias("comp"), F.col("component").alias("now")), "setjoin-joined")
-    of_group = info.join(joined.withColumnRenamed("comp", "rep"), "rep", "left").groupBy("gid").agg(*(f(F.coalesce("now", "rep")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
-    now = candidates.join(leaders, ["comp", "other", "doc_id"], "left_anti").join(joined, "comp", "left").withColumn("now", F.coalesce("now", "comp"))
-    rest = now.join(of_group.withColumnRenamed("gid", "other"), "other").where("lo <> now or hi <> now").select("comp", "other", "doc_id")
-    all_links = stage(asked_links(stage(rest, "setjoin-rest"), sets, similar).unionByName(early), "setjoin-links")
+    g = stage(x.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
+                                           F.max((100 * F.col("n") - (100 + similar) * F.col("pos"))).alias("room")), "setjoin-unions")
+    pairs = stage(group_pairs(g, similar), "setjoin-pairs")
+    all_links = stage(opened_links(known, pairs.select("gid", "other"), info, similar).unionByName(near), "setjoin-links")
     whole = stage(components(all_links, "setjoin-second").select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "setjoin-components")
     of_class = c.select("cls", "rep").join(whole, "rep", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     return (s.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(stage(of_class, "setjoin-result"), "cls", "left")
             .select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def group_pairs(unions: DataFrame, similar: int) -> DataFrame:
+    """(gid, other, lo, hi, n_lo, n_hi): pairs of groups that may have similar members of different components; the last four are of ``other``.
+
+    ``unions`` has a row for each token of a group's prefixes. Two similar sets have similar / (100 + similar) of their sizes' sum in common, so
+    they already share one of the tokens before which each has no more than it may have for itself: its place is at most its size
+    less that. ``room`` is the largest size times 100 less place times 100 + similar of a group's members with the token. Groups meet by
+    such tokens only, which spares the frequent ones at the prefixes' ends; those that met stay if the tokens that both unions have
+    reach the bound.
+    """
+    columns = ["lo", "hi", "n_lo", "n_hi", "room"]
+    own, other = unions.toDF("token", "gid", *(f"own_{c}" for c in columns)), unions.withColumnRenamed("gid", "other")
+    apart = (F.col("lo") != F.col("own_lo")) | (F.col("hi") != F.col("own_hi")) | (F.col("lo") != F.col("hi"))
+    could = (F.col("gid") < F.col("other")) & apart & (100 * F.col("n_hi") >= similar * F.col("own_n_lo")) & (similar * F.col("n_lo") <= 100 * F.col("own_n_hi"))
+    early = (F.col("own_room") >= similar * F.col("n_lo")) & (F.col("room") >= similar * F.col("own_n_lo"))
+    met = own.join(other, "token").where(could & early).select("gid", "other").distinct()
+    of = stage(unions.groupBy("gid").agg(F.collect_set("token").alias("tokens"), *[f(c).alias(c) for f, c in zip((F.min, F.max, F.min, F.max), columns)]), "setjoin-group-unions")
+    both = met.join(of.toDF("gid", "own_tokens", *(f"own_{c}" for c in columns[:4])), "gid").join(of.withColumnRenamed("gid", "other"), "other")
+    bound = both.withColumn("shared", F.size(F.array_intersect("own_tokens", "tokens"))).where(within_bound(similar))
+    return bound.select("gid", "other", "lo", "hi", "n_lo", "n_hi")
+
+
 def within_bound(similar: int) -> Column:
-    """Whether a set of ``n`` tokens can be similar to a member of a group whose union has ``shared`` tokens of its prefix.
+    """Whether members of two groups can be similar whose unions of prefixes have ``shared`` tokens in common.
 
     Of two sets' common tokens those up to the end of the prefix that ends first are in both prefixes, the others are among what that set
-    has behind it, less than ``similar`` percent of its size. The members' sizes lie between n_lo and n_hi; the bound is loosest at the
-    smallest or the largest size that can be similar at all.
+    has behind it, less than ``similar`` percent of its size. So the common tokens are fewer than shared + similar% of the larger size,
+    and they have to be similar / (100 + similar) of both sizes' sum. This is loosest for the largest size on one side and the
+    smallest on the other that can be similar to it at all.
     """
-    n, low, high = F.col("n"), F.greatest("n_lo", F.ceil(similar * F.col("n") / 100)), F.least("n_hi", F.floor(100 * F.col("n") / similar))
-    return F.greatest(*[(F.col("shared") * 100 + similar * F.greatest(n, m)) * (100 + similar) - 100 * similar * (n + m) for m in (low, high)]) >= 0
+    def loosest(most: str, least: str) -> Column:
+        larger, smaller = F.least(F.col(most), 100 * F.col(least) / similar), F.col(least)
+        return (larger >= smaller) & ((F.col("shared") * 100 + similar * larger) * (100 + similar) >= 100 * similar * (larger + smaller))
+
+    return loosest("own_n_hi", "n_lo") | loosest("n_hi", "own_n_lo")
 
 
 def explode_shared(first: DataFrame, shared: np.ndarray) -> DataFrame:
-    """(token, doc_id, gid, comp, n) of the prefix tokens whose bit is set."""
+    """(token, doc_id, gid, comp, n, pos) of the prefix tokens whose bit is set; ``pos`` is the token's place in the prefix."""
     share = first.sparkSession.sparkContext.broadcast(shared)
     cols = ["doc_id", "gid", "comp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            token = b.column("prefix").flatten()
-            row = np.repeat(np.arange(b.num_rows), np.diff(b.column("prefix").offsets.to_numpy()))
+            token, sizes = b.column("prefix").flatten(), np.diff(b.column("prefix").offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = in_bitmap(share.value, token.to_numpy(), SHARED_BITS)
             at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([token.filter(pa.array(keep))] + [b.column(c).take(at) for c in cols], names=["token", *cols])
+            yield pa.RecordBatch.from_arrays([token.filter(pa.array(keep))] + [b.column(c).take(at) for c in cols] + [pa.array(pos[keep])], names=["token", *cols, "pos"])
 
-    return first.select("prefix", *cols).mapInArrow(run, "token long, doc_id long, gid long, comp long, n long")
+    return first.select("prefix", *cols).mapInArrow(run, "token long, doc_id long, gid long, comp long, n long, pos long")

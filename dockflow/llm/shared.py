@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from dockflow.session import stage, stage_path  # noqa: F401  (the operators take both from here)
 
-# Rows of a batch that a Python task holds at once; texts can be long, so few rows.
-BATCH_ROWS = 256
+# Rows and bytes of a batch that a Python task holds at once; texts can be long, so few rows.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 # The tasks that a bounded training sample is spread over, each of which sends one vector of statistics.
 TRAIN_TASKS = 8
 
@@ -24,6 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     return spark
 
