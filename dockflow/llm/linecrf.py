@@ -1,8 +1,10 @@
 """Quality rules with line sequence labelling: a linear-chain conditional random field marks lines as content or boilerplate.
 
-The Viterbi path of a text's lines gives the share of word characters that is content, which decides retention. The field is trained
-on documents rated for quality, each line taking its document's rating as a noisy label: single clean lines of poor documents are
-outvoted by the same kind of lines in good ones.
+The Viterbi path of a text's lines gives the share of word characters that is content, which decides retention. Only documents are rated,
+so the lines' labels are latent: a rating bounds the expected share of boilerplate among the document's lines, from above in a good
+document and from below in a poor one. Training alternates between the label distribution nearest to the field that keeps the bounds and
+the field nearest to that distribution, so which lines of a document are boilerplate is found by what they look like and by their neighbours, and
+a document may have both kinds.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from dockflow.llm.shared import bytes_of, descend, labelled_sample, stage
 
 SAMPLE_DOCS, STEPS, RATE, L2 = 4_000, 40, 0.25, 1e-3
 LEAST_CONTENT = 0.5
+MOST_IN_GOOD, LEAST_IN_POOR = 0.15, 0.7  # expected share of boilerplate among the lines of a good and of a poor document
+HALVINGS, WIDEST = 9, 16.0  # steps and range of the search for a document's shift that keeps its bound
 # Fixed values of the contract.
 BLANKS, SYMBOLS, LEAST_WORDS, WINDOW, MOST_REPEATED = b" \t\n\x0b\x0c\r", b"#*$%&|<>", 10, 5, 20
 
@@ -115,49 +119,76 @@ def judge(text: bytes, weights: list[float]) -> tuple:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), dup, repeat, failed, share, not failed and share >= LEAST_CONTENT
 
 
+class Chains:
+    """The lines of several texts as chains, the longest first: at each position the texts that have a line there are the first ones."""
+
+    def __init__(self, n: np.ndarray):
+        self.order = np.argsort(-n, kind="stable")
+        self.first = np.concatenate([[0], np.cumsum(n)])[:-1][self.order]
+        self.n = n[self.order]
+        self.alive = [int(x) for x in len(n) - np.searchsorted(np.sort(n), np.arange(int(n.max(initial=0))), side="right")]
+
+    def marginals(self, score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of boilerplate of every line, and expected numbers of the transitions to, from and within boilerplate, by forward and
+        backward sums. ``score``: a line's score for boilerplate against content."""
+        alpha, log_z, p, pairs = [], np.zeros(len(self.n)), np.zeros(len(score)), np.zeros(3)
+        for i, k in enumerate(self.alive):
+            now = np.stack([np.zeros(k), score[self.first[:k] + i]], axis=1)
+            if i:
+                now = now + np.logaddexp(alpha[-1][:k, 0, None] + move[0], alpha[-1][:k, 1, None] + move[1])
+            alpha.append(now)
+        beta = np.zeros((0, 2))
+        for i in range(len(self.alive) - 1, -1, -1):
+            k, m, cur = self.alive[i], len(beta), np.zeros((self.alive[i], 2))
+            log_z[m:k] = np.logaddexp(alpha[i][m:, 0], alpha[i][m:, 1])  # texts that end here
+            if m:
+                after = beta + np.stack([np.zeros(m), score[self.first[:m] + i + 1]], axis=1)
+                cur[:m] = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
+                both = np.exp(alpha[i][:m, :, None] + move[None] + after[:, None, :] - log_z[:m, None, None])
+                pairs += [both[:, 0, 1].sum(), both[:, 1, 0].sum(), both[:, 1, 1].sum()]
+            p[self.first[:k] + i] = np.exp(alpha[i][:, 1] + cur[:, 1] - log_z[:k])
+            beta = cur
+        return p, pairs
+
+
 def gradient(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """Summed gradient of the negative log likelihood of the label sequences, by forward and backward sums; last the number of lines."""
+    """Summed gradient of the divergence of the field from the nearest label distributions that keep the ratings' bounds; last the number of lines.
+
+    That distribution is the field with one shift of all line scores of a document, found by halving; it is zero where the bound holds.
+    The gradient is what the field expects of each feature less what the bounded distribution expects.
+    """
     w, (enter, leave, stay) = weights[:N_FEATURES], weights[N_FEATURES:]
     move = np.array([[0.0, enter], [leave, stay]])
     g = np.zeros(N_WEIGHTS + 1)
     for b in batches:
-        y, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "n"))
+        y, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "n"))
         ids = b.column("ids").flatten().to_numpy().reshape(-1, 8)
-        order = np.argsort(-n, kind="stable")  # longest first: at each position the texts that have one are a prefix
-        first = np.concatenate([[0], np.cumsum(n)])[:-1][order]
-        n, y = n[order], y[order]
-        score = w[ids].sum(axis=1)
-        alive = [int((n > i).sum()) for i in range(int(n.max(initial=0)))]
-        alpha, log_z = [], np.zeros(len(n))
-        for i, k in enumerate(alive):
-            now = np.stack([np.zeros(k), score[first[:k] + i]], axis=1)
-            if i:
-                now = now + np.logaddexp(alpha[-1][:k, 0, None] + move[0], alpha[-1][:k, 1, None] + move[1])
-            alpha.append(now)
-        beta = None
-        for i in range(len(alive) - 1, -1, -1):
-            k = alive[i]
-            cur = np.zeros((k, 2))
-            if beta is not None:
-                m = len(beta)
-                nxt = beta + np.stack([np.zeros(m), score[first[:m] + i + 1]], axis=1)
-                cur[:m] = np.logaddexp(move[:, 0] + nxt[:, :1], move[:, 1] + nxt[:, 1:])
-                pair = np.exp(alpha[i][:m, :, None] + move[None] + nxt[:, None, :] - log_z[:m, None, None]) if i < len(alive) - 1 else None
-            else:
-                m, pair = 0, None
-            ended = slice(m, k)
-            log_z[ended] = np.logaddexp(alpha[i][ended, 0], alpha[i][ended, 1])
-            p = np.exp(alpha[i][:, 1] + cur[:, 1] - log_z[:k])
-            np.add.at(g, ids[first[:k] + i].ravel(), np.repeat(p - y[:k], 8))
-            if pair is not None:
-                g[N_FEATURES:N_FEATURES + 3] += [pair[:, 0, 1].sum(), pair[:, 1, 0].sum(), pair[:, 1, 1].sum() - (y[:m] == 1).sum()]
-            beta = cur
         g[-1] += len(ids)
+        y, n = y[n > 0], n[n > 0]
+        if not len(n):
+            continue
+        score, doc = w[ids].sum(axis=1), np.repeat(np.arange(len(n)), n)
+        share = np.bincount(doc, Chains(n).marginals(score, move)[0]) / n
+        off = np.where(y == 1, share < LEAST_IN_POOR, share > MOST_IN_GOOD)
+        if not off.any():
+            continue
+        lines, y, n = off[doc], y[off], n[off]
+        score, ids, doc = score[lines], ids[lines], np.repeat(np.arange(len(n)), n)
+        chains, bound = Chains(n), np.where(y == 1, LEAST_IN_POOR, MOST_IN_GOOD)
+        low, high = np.where(y == 1, 0.0, -WIDEST), np.where(y == 1, WIDEST, 0.0)
+        for _ in range(HALVINGS):
+            middle = (low + high) / 2
+            below = np.bincount(doc, chains.marginals(score + middle[doc], move)[0]) / n < bound
+            low, high = np.where(below, middle, low), np.where(below, high, middle)
+        p, moves = chains.marginals(score, move)
+        q, wanted = chains.marginals(score + ((low + high) / 2)[doc], move)
+        np.add.at(g, ids.ravel(), np.repeat(p - q, 8))
+        g[N_FEATURES:N_FEATURES + 3] += moves - wanted
     return g
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", bound: int = SAMPLE_DOCS) -> list[float]:
-    """Weights of the field from at most ``bound`` rated documents (quality 1 content, 0 boilerplate); without ratings all lines are content."""
+    """Weights of the field from at most ``bound`` rated documents (quality 1 good, 0 poor); without ratings all lines are content."""
     few = labelled_sample(docs.select(key, F.col(text).cast("binary").alias("t")), labels.where(F.col(quality).isin(0, 1)).select(key, (1 - F.col(quality)).cast("int").alias("y")), key, bound)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -175,7 +206,8 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def rules(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, counts, base_failed, content_share, kept) of whole texts; null is a text without words, which fails.
 
-    Repeated rows stay; other columns are left out. A tie between labels is content.
+    Repeated rows stay; other columns are left out; an empty table gives no rows. A tie between labels is content. A text of any length is
+    judged as a whole.
     """
     kind, names = docs.schema[key].dataType.simpleString(), [c.split()[0] for c in COLUMNS.split(", ")]
 
@@ -189,7 +221,7 @@ def rules(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep."""
+    """The rows of ``docs``, all columns, that the rules keep; null texts go, repeated rows stay or go together."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]):
