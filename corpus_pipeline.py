@@ -25,11 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: that with the smallest id, once. Documents without an id all stay."""
+    """One document of each group of similar ones stays: that with the smallest id, once. Documents without an id all stay.
+
+    Of several rows with that id the smallest by content stays, whatever their order: the least of all columns, from left to right.
+    """
     prepared(spark)
-    kept = setjoin.similar_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = stage(setjoin.similar_classes(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")), "pipeline-kept")
+    once = docs.join(kept.where("k = 1"), "doc_id", "left_semi").select(*docs.columns)
+    several = docs.join(kept.where("k > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
