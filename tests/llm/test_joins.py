@@ -172,7 +172,7 @@ def test_recall_of_the_filters(dim, rows):
 
 
 @pytest.mark.parametrize("dim", [2, 3, 4, 8, 16])
-def test_vectors_by_force(spark, dim):
+def test_vectors_by_force_in_few_dimensions(spark, dim):
     """All links and components of random vectors with copies and multiples, but for those that share no filter (one in ten at most)."""
     rng = np.random.default_rng(dim)
     base = rng.standard_normal((120, dim))
@@ -366,3 +366,24 @@ def test_pipeline_cases(spark):
         for _, step in corpus_pipeline.STAGES:
             out = shared.stage(step(spark, out, SMALL), "t")
         assert out.count() == 0 if start is not docs else {r.doc_id for r in out.collect()} >= {None}
+
+
+def test_long_addresses(spark, tmp_path):
+    """Headers of any length come back, plain or packed; a damaged plain length costs its record only."""
+    urls = ["http://x/" + "a" * 100_000, "http://x/" + "é" * 12_000, "http://x/", None]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = warc.read(warc.write(warc.plan(pages), f"file://{tmp_path}/w")).collect()
+    assert sorted(int(r.record_id.removeprefix("<urn:x-page:").removesuffix(">")) for r in rows if r.gap is None) == [0, 1, 2, 3] and len(rows) == 4
+    plain = [warc.record(i, u, b"<p>", warc.digest_of(b"<p>"), 3, None) for i, u in enumerate(urls)]
+    plain[2] = plain[2].replace(b"\r\nContent-Length: 9", b"\r\nContent-Length: 9999999999999", 1) if b"\r\nContent-Length: 9" in plain[2] else re.sub(rb"\r\nContent-Length: \d+\r\n\r\nHTTP", b"\r\nContent-Length: 9999999999\r\n\r\nHTTP", plain[2])
+    found = list(warc.salvage(io.BytesIO(b"".join(plain))))
+    assert [r["record_id"] for _, _, r, _ in found if r] == ["<urn:x-page:0>", "<urn:x-page:1>", "<urn:x-page:3>"] and sum(r is None for _, _, r, _ in found) == 1
+
+
+def test_rows_with_one_id(spark):
+    """Of rows with equal ids and different texts the same one stays, whatever their order."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = "one two three four five six seven eight nine ten", "completely different words that nobody else in here has ever used"
+    rows = [(1, b, None, None, 1), (1, a, None, None, 1), (2, a, "x", None, 1), (3, "something else entirely again and again", None, None, 1), (None, a, None, None, 1), (None, a, None, None, 1)]
+    got = [sorted((str(r.doc_id), r.text) for r in corpus_pipeline.ngram_join(spark, spark.createDataFrame(x, schema), "").collect()) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] == sorted([("1", b), ("3", rows[3][1]), ("None", a), ("None", a)])

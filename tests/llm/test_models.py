@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -367,3 +368,74 @@ def test_ratings(spark):
     got = QUERIES["op10_quality_classifier"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     shares = {r.quality: r.s for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
     assert shares[1] > 0.97 and shares[0] < 0.5
+
+
+def plain_features(word):
+    """Hashes of a word and of its beginnings."""
+    mask = (1 << hashing.BITS) - 1
+    return [zlib.crc32(b"w" + word) & mask] + [zlib.crc32(b"p" + word[:n]) & mask for n in (4, 5, 6) if len(word) >= n]
+
+
+def plain_sentences(text):
+    """Words of each sentence, other signs being blanks."""
+    out = [""]
+    for c in text:
+        if c in ".!?\n\r":
+            out.append("")
+        else:
+            out[-1] += c.lower() if c < "\x80" and c.isalnum() else c if c >= "\x80" else " "
+    return [{w.encode() for w in s.split(" ") if w} for s in out if s.strip(" ")]
+
+
+def test_toxicity_query_by_force(spark):
+    """All scores of the query from the learned weights, sentence by sentence."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias = toxicity.train(docs, labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = QUERIES["op5_toxicity"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        clean = 1.0
+        for words in plain_sentences(texts[r.doc_id]):
+            z = bias + sum(weights.get(f, 0.0) for w in words for f in plain_features(w))
+            clean *= 1 / (1 + np.exp(z))
+        assert np.isclose(r.score, 1 - clean, rtol=1e-6, atol=1e-9) and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_quality_query_by_force(spark):
+    """All chances and expected grades of the query from the learned weights and thresholds."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    rated = labels.select("doc_id", grade.alias("grade")).where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+    weights, forms, cuts = ordinal.train(docs, rated, 3)
+    assert (np.diff(cuts) > 0).all()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = QUERIES["op10_quality_classifier"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        words = [w for s in plain_sentences(t.decode()) for w in s]
+        distinct = set(words)
+        every, _ = ordinal.split(t)
+        value = sum(weights.get(f, 0.0) for w in distinct for f in plain_features(w)) / max(len(distinct), 1) ** 0.5 + sum(forms[i] for i in ordinal.shape(t, every, len(distinct)))
+        tails = [1 / (1 + np.exp(c - value)) for c in cuts]
+        assert np.allclose([r.p_usable, r.p_best, r.expected_grade], [*tails, sum(tails)], rtol=1e-6, atol=1e-9) and r.kept == (r.p_usable >= 0.5)
+
+
+def test_equal_items_fill_many_shards(spark):
+    """40,000 equal rows, of a null key at that, are dealt out and none is lost."""
+    items = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(100).alias("length"))
+    out = packing.best_fit(items, shard_rows=4000)
+    got = out.groupBy(F.shiftright("bin_id", 32).alias("shard")).agg(F.count("*").alias("n"), F.sum("length").alias("s")).collect()
+    assert sum(r.n for r in got) == 40_000 and sum(r.s for r in got) == 4_000_000 and len(got) >= 8 and max(r.n for r in got) < 8000
+
+
+def test_pieces_of_all_lengths():
+    names = langid.pieces_of(P.path("piece_bpe_32k.model"))
+    assert max(map(len, names)) >= 16 and all(n == n.lower() for n in names)
+    pieces = langid.Pieces(names)
+    long = max(names, key=len)
+    found = pieces.found([long])
+    assert len(found) == len(long) and names[found[-1][0, 0]] == long
