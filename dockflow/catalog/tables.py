@@ -418,6 +418,17 @@ def _(d: Data):
         t.select(F.col("end_station_name").alias("station_name")).distinct(), "station_name", "left_anti")
 
 
+@query("csv_lines_with_faults", """
+    select case when trip_id % 50 = 0 then null else trip_id end trip_id, start_station_name, case when trip_id % 50 = 0 then 'x' || trip_id || ',' || start_station_name end bad_line from trips""", "trips")
+def _(d: Data):
+    """Trips as CSV with a number that is none in one line of fifty: such lines are kept as text."""
+    path = stage_path(d.spark, "faulty-csv")
+    number = F.when(F.col("trip_id") % 50 == 0, F.concat(F.lit("x"), F.col("trip_id").cast("string"))).otherwise(F.col("trip_id").cast("string"))
+    sinks.write_csv(d.trips().select(number.alias("trip_id"), "start_station_name"), path)
+    schema = schemas.T.StructType([f for f in schemas.TRIPS.fields if f.name in ("trip_id", "start_station_name")])
+    return files.read_csv(d.spark, [path], schema, corrupt="bad_line")
+
+
 @query("sampled_trips", "select * from trips where substr(md5('42|' || trip_id), 1, 8) < '1999999a'", "trips")
 def _(d: Data):
     return ranking.sample_fraction(d.trips(), ["trip_id"], 0.1)

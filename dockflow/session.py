@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _local_stage: str | None = None
+_run: str | None = None
 
 
 def get_spark(app: str = "dockflow", master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
@@ -46,9 +51,30 @@ def stage_root(spark: SparkSession) -> str:
     return _local_stage
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own below the staging folder for all tables that are staged inside the block; it is removed at its end.
+
+    Results that read staged tables have to be written or collected before that. Files of a store that only Spark reaches stay, with a warning.
+    """
+    global _run
+    outer, _run = _run, f"run-{uuid.uuid4().hex}"
+    folder = f"{stage_root(spark)}/{_run}"
+    try:
+        yield folder
+    finally:
+        _run = outer
+        try:
+            store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+            if store.get_file_info(path).type == fs.FileType.Directory:
+                store.delete_dir(path)
+        except (OSError, ValueError) as e:
+            warnings.warn(f"{folder} stays: {e}", stacklevel=2)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the staging folder; nothing is ever overwritten."""
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the staging folder, or the folder of the ``staging`` block; nothing is ever overwritten."""
+    return "/".join([stage_root(spark), *([_run] if _run else []), f"{name}-{uuid.uuid4().hex}"])
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -28,10 +28,16 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
 
-def read_csv(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame | None:
-    """CSV with header from the first existing path; malformed lines give nulls. None if no path exists."""
+def read_csv(spark: SparkSession, paths: list[str], schema: T.StructType, corrupt: str | None = None) -> DataFrame | None:
+    """CSV with header from the first existing path; None if no path exists. Values that can't be read are null; with ``corrupt`` that column
+    has the text of each line that holds some, so that nothing is lost silently."""
     path = first_existing(spark, paths)
-    return None if path is None else spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("timestampNTZFormat", NTZ_FORMAT).csv(path)
+    if path is None:
+        return None
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("timestampNTZFormat", NTZ_FORMAT)
+    if corrupt is None:
+        return reader.schema(schema).csv(path)
+    return reader.option("columnNameOfCorruptRecord", corrupt).schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dockflow import schemas
 from dockflow.functions.cleaning import align_features, missing_features
-from dockflow.session import stage
+from dockflow.session import stage, stage_path, staging
 from dockflow.sources import files, sinks
 from dockflow.streaming import live
 
@@ -74,6 +74,14 @@ def test_stage(spark):
     assert stage(spark.range(10), "t").count() == 10
 
 
+def test_staged_tables_are_removed(spark):
+    with staging(spark) as folder:
+        t = stage(spark.range(10), "t")
+        assert t.count() == 10 and t.inputFiles()[0].removeprefix("file://").startswith(folder.removeprefix("file://"))
+    assert not files.exists(spark, folder)
+    assert not stage_path(spark, "x").startswith(folder)
+
+
 def test_mixed_headers_in_one_glob(spark, tmp_path):
     (tmp_path / "b1.csv").write_text("trip_id,member_casual,rideable_type\n1,member,classic\n")
     (tmp_path / "b2.csv").write_text("rideable_type,member_casual,trip_id\nelectric,casual,2\nelectric,casual,3,4,5\n")
