@@ -1,5 +1,6 @@
 """Queries on dashboards, operations and spatial summaries."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.catalog.base import Data, STATUS_ORDER, VIEWS, query, rounded
@@ -93,6 +94,49 @@ def _(d: Data):
     return dashboards.station_kpis(rollups.station_hourly_demand(d.trips()))
 
 
+def long_form(parts: dict[str, tuple[DataFrame, str | None, list[str]]]) -> DataFrame:
+    """Several small tables as (part, item, name, value): one row for each of the named columns of each row; ``item`` is the row's key."""
+    out = None
+    for part, (df, key, columns) in parts.items():
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+        rows = df.select(F.lit(part).alias("part"), (F.col(key).cast("string") if key else F.lit("")).alias("item"), cells.alias("c")).select("part", "item", "c.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("station_detail", """
+    with b as (select start_station_name s from trips group by 1 order by count(*) desc, 1 limit 1), p as (select profile.* from profile, b where start_station_name = s),
+    h as (select hour, sum(trip_count) n from p group by 1),
+    t as (select sum(n)::double total, floor(sum(n)/7)::double a, arg_max(hour, (n, -hour))::double peak from h),
+    d as (select unnest(['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']) wd)
+    select 'kpis' part, '' item, unnest(['total_trips','avg_trips_day','peak_hour']) "name", unnest([total, a, peak]) "value" from t
+    union all select 'hourly_profile', hour::varchar, 'trip_count', round(avg(trip_count),6) from p group by hour
+    union all select 'daily_profile', wd, 'trip_count', (select sum(trip_count)::double from p where day_of_week = wd) from d
+    union all select 'location', '', unnest(['lat','lon']), unnest([lat, lon]) from stations, b where station_name = s""", "trips", "profile", "stations")
+def _(d: Data):
+    """All parts of the busiest station's page."""
+    trips = d.trips()
+    busiest = ranking.top_by_rows(trips, "start_station_name", 1).first()["start_station_name"]
+    x = dashboards.station_detail(rollups.station_hourly_demand(trips), d.stations(), busiest)
+    return rounded(long_form({"kpis": (x["kpis"], None, ["total_trips", "avg_trips_day", "peak_hour"]), "hourly_profile": (x["hourly_profile"], "hour", ["trip_count"]),
+                              "daily_profile": (x["daily_profile"], "day_of_week", ["trip_count"]), "location": (x["location"], None, ["lat", "lon"])}))
+
+
+@query("system_overview", """
+    with z as (select date, trip_count, (trip_count - avg(trip_count) over ()) / nullif(stddev_samp(trip_count) over (), 0) z from overview_daily)
+    select 'kpis' part, '' item, 'total_trips' "name", (select sum(trip_count)::double from overview_base) "value"
+    union all select 'kpis', '', 'peak_hour', (select hour(hour)::double from overview_base group by hour(hour) order by sum(trip_count) desc, hour(hour) limit 1)
+    union all select 'time_series', date::varchar, 'trip_count', trip_count::double from overview_daily
+    union all select 'anomalies', date::varchar, 'z_score', round_even(z, 2) from z where abs(z) > 2
+    union all select 'heatmap', dayname(started_at), case member_casual when 'casual' then 'casual' else 'member' end, count(*)::double from trips group by 1, 2, 3""", "overview_base", "overview_daily", "trips")
+def _(d: Data):
+    """The parts of the overview page, from one call."""
+    x = dashboards.system_overview(d.order_days(), rollups.daily_demand(d.trips()), d.day_weather(), START, END, DAYS)
+    parts = {"kpis": (x["kpis"], None, ["total_trips", "peak_hour"]), "time_series": (x["time_series"], "date", ["trip_count"]), "anomalies": (x["anomalies"], "date", ["z_score"]),
+             "heatmap": (x["heatmap"], "day_of_week", ["casual", "member"])}
+    return rounded(long_form(parts).where("part <> 'heatmap' or value is not null"))
+
+
 @query("station_hour_profile", "select start_station_name, hour, round(avg(trip_count),6) trip_count from profile group by 1,2", "profile")
 def _(d: Data):
     return rounded(dashboards.station_hour_profile(rollups.station_hourly_demand(d.trips())))

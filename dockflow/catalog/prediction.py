@@ -246,6 +246,14 @@ def _(d: Data):
     return fc.forecast_models(requests(d), history, saved.models, saved.weights, saved.scaler_x, saved.scaler_y)
 
 
+@query("model_forecast_keys", """select station_name, start at_time, start + to_hours(cast(step as int)) time, step::int step from horizon""", "horizon")
+def _(d: Data):
+    """Which hours are forecast: every one of every request, once, whatever the models say."""
+    saved = training.load(d.spark, trained(d))
+    history = stage(grid(d).join(d.weather(), "time", "left"), "history")
+    return fc.forecast_models(requests(d), history, saved.models, saved.weights, saved.scaler_x, saved.scaler_y).where("predicted >= 0").select("station_name", "at_time", "time", "step")
+
+
 _published: dict[tuple[str, str], dict[str, str]] = {}
 
 
