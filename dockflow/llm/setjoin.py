@@ -66,6 +66,7 @@ def shingle_set(text: bytes, words: WordHashes, size: int = WORDS) -> np.ndarray
 
 
 _SHIFT = np.uint64(31)
+LOW = np.uint64(int(0.25 * 2**64))  # a quarter of all tokens is compared before matrices are sent
 
 
 def class_of(tokens: np.ndarray) -> bytes:
@@ -182,7 +183,7 @@ def _similar(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
 
 def groups_of(classes: DataFrame) -> DataFrame:
     """(rep, cls, n, kind, k, salt, gid): the group of each class. Classes that agree on both minimum hashes are of one kind; of those that
-    don't share both with any, those with the same first hash, then those with the same second; the others are of a kind of their own.
+    don't share both with any, many with the same first hash, then many with the same second; the others are of a kind of their own.
 
     Kinds of more than GROUP_SETS classes are dealt out by hash. Few groups for many near copies keep the matrix of tokens and groups small.
     """
@@ -190,9 +191,10 @@ def groups_of(classes: DataFrame) -> DataFrame:
     for i, key in enumerate((["m1", "m2"], ["m1"], ["m2"])):
         many = left.groupBy(*key).agg(F.count("*").alias("k"))
         counted = stage(left.join(many, key), "setjoin-kinds")
-        found = counted.where("k > 1").select("rep", "cls", "n", F.xxhash64(F.lit(i), *key).alias("kind"), "k")
+        least = GROUP_SETS if i else 1  # sets that share one hash only are less alike: it takes many of them to be worth a looser union
+        found = counted.where(F.col("k") > least).select("rep", "cls", "n", F.xxhash64(F.lit(i), *key).alias("kind"), "k")
         out = found if out is None else out.unionByName(found)
-        left = counted.where("k = 1").drop("k")
+        left = counted.where(F.col("k") <= least).drop("k")
     out = out.unionByName(left.select("rep", "cls", "n", F.xxhash64(F.lit(3), "rep").alias("kind"), F.lit(1).cast("long").alias("k")))
     salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / GROUP_SETS)).cast("int")
     return out.withColumn("salt", salt).withColumn("gid", F.xxhash64("kind", "salt"))
@@ -278,12 +280,46 @@ def opened(pairs: DataFrame, similar: int) -> DataFrame:
 
 
 def opened_links(docs: DataFrame, pairs: DataFrame, info: DataFrame, similar: int) -> DataFrame:
-    """(a, b): links between the members of the groups ``gid`` and ``other``. Only the texts of these groups are read again, each once."""
+    """(a, b): links between the members of the groups ``gid`` and ``other``. Only the texts of these groups are read again, each once, and
+    of a pair the smaller matrix goes to the larger one."""
     groups = pairs.select("gid").unionByName(pairs.select(F.col("other").alias("gid"))).distinct()
     sets = texts_of(docs, info.join(groups, "gid", "left_semi").select("rep", "cls", "gid", "comp")).select("gid", "rep", "comp", "t")
     matrix = stage(matrices(sets), "setjoin-matrices")
+    sized = plausible(pairs, matrix, similar)
+    small, large = (F.when(F.col("own_size") <= F.col("size"), F.col(x)).otherwise(F.col(y)) for x, y in (("gid", "other"), ("other", "gid")))
     own = matrix.toDF("gid", *(f"own_{c}" for c in matrix.columns[1:]))
-    return opened(pairs.join(own, "gid").join(matrix.withColumnRenamed("gid", "other"), "other").drop("gid", "other"), similar)
+    return opened(sized.select(small.alias("gid"), large.alias("other")).join(own, "gid").join(matrix.withColumnRenamed("gid", "other"), "other").drop("gid", "other"), similar)
+
+
+def plausible(pairs: DataFrame, matrix: DataFrame, similar: int) -> DataFrame:
+    """(gid, other, own_size, size): the pairs whose unions have enough tokens in common among those with the lowest hashes, a fixed share of all.
+
+    Two members have no more in common than the unions have there and the smaller member has elsewhere, so no similar pair is lost; the
+    matrices of the others needn't be sent.
+    """
+    def light(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            out = {"low": [], "least": [], "rest": [], "size": []}
+            for tokens, bits, members in zip(b.column("tokens").to_pylist(), b.column("bits").to_pylist(), b.column("members").to_pylist()):
+                t = np.frombuffer(tokens, np.uint64)
+                rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(members), -1), axis=1, count=len(t))
+                k = int(np.searchsorted(t, LOW))
+                out["low"].append(tokens[:8 * k])
+                out["least"].append(int(rows.sum(axis=1, dtype=np.int64).min()))
+                out["rest"].append(int(rows[:, k:].sum(axis=1, dtype=np.int64).max()))
+                out["size"].append(len(tokens) + len(bits))
+            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array(out["low"], pa.binary()), *(pa.array(out[c], pa.int64()) for c in ("least", "rest", "size"))], names=["gid", "low", "least", "rest", "size"])
+
+    def bound(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("own_low").to_pylist(), b.column("low").to_pylist())]
+            own_rest, rest, own_least, least = (b.column(c).to_numpy() for c in ("own_rest", "rest", "own_least", "least"))
+            keep = (100 + similar) * (np.array(common, np.int64) + np.minimum(own_rest, rest)) >= similar * (own_least + least)
+            yield b.select(["gid", "other", "own_size", "size"]).filter(pa.array(keep))
+
+    lights = stage(matrix.select("gid", "tokens", "bits", "members").mapInArrow(light, "gid long, low binary, least long, rest long, size long"), "setjoin-lights")
+    both = pairs.join(lights.toDF("gid", "own_low", "own_least", "own_rest", "own_size"), "gid").join(lights.withColumnRenamed("gid", "other"), "other")
+    return stage(both.select("gid", "other", "own_low", "own_least", "own_rest", "own_size", "low", "least", "rest", "size").mapInArrow(bound, "gid long, other long, own_size long, size long"), "setjoin-plausible")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
