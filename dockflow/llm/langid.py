@@ -237,7 +237,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is found with a posterior of at least ``least``."""
+    """The rows of ``docs``, all columns, whose language is found with a posterior of at least ``least``.
+
+    Null texts and texts without a letter go; repeated rows stay or go together; an empty table gives no rows.
+    """
     at, share = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):

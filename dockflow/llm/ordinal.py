@@ -104,7 +104,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, key: str = "doc_id",
 def rate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, value, expected_grade, tails array<double>): tails[k - 1] is the chance of grade k or better, k from 1.
 
-    Null and empty texts are rated by their shape alone. Repeated rows stay; other columns are left out.
+    Null and empty texts are rated by their shape alone; a text of any length is rated as a whole. Repeated rows stay; other columns are
+    left out, whatever their names; an empty table gives no rows. Equal texts have equal values.
     """
     kind, share = docs.schema[key].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 

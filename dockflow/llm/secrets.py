@@ -123,7 +123,8 @@ def scan(docs: DataFrame, table: list[float], key: str = "doc_id", text: str = "
 
 
 def redact(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
-    """The same rows and columns with every span replaced by a mark; null texts stay null."""
+    """The same rows and columns with every span replaced by a mark; null texts stay null, repeated rows stay, overlapping spans get one mark
+    each where they begin, an empty table gives no rows."""
     d = with_spans(docs.select(F.struct(*docs.columns).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t")), table)
 
     def step(acc: Column, x: Column) -> Column:

@@ -88,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, n_sentences, worst): noisy-or of the whole text's sentences, their number and the largest sentence score.
 
-    Null and empty texts score 0. Repeated rows stay; other columns are left out.
+    Null and empty texts score 0; a text of any length is scored as a whole. Repeated rows stay; other columns are left out, whatever their
+    names; an empty table gives no rows. Equally bad sentences are told by their score only.
     """
     kind, share = docs.schema[key].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 
