@@ -65,6 +65,23 @@ def test_far_places_leave_boxes_small(spark):
     assert max(per.values()) <= 16 * 30 and per[0] <= 16 * 8
 
 
+@pytest.mark.parametrize("need", [1, 12])
+def test_queries_beside_a_long_strip_of_places(spark, need):
+    """Corners of long boxes say little about queries far from them; the rows of a query's own box do."""
+    xy = np.array([[i // 15 * 0.005, i % 15 * 0.005] for i in range(30_000)])
+    tree = nearest.build(spark.createDataFrame([(i, [float(a), float(b)], 1) for i, (a, b) in enumerate(xy)], "p long, x array<double>, w long"), 2, leaf=32)
+    assert tree.rows.groupBy("node").count().agg(F.min("count")).first()[0] >= 12
+    at = np.array([[0.3 + i * 0.0007, 0.5 + (i % 5) * 0.1] for i in range(100)])
+    asked = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(at)], "q long, x array<double>")
+    found = {}
+    for r in nearest.candidates(asked, tree, need).select("q", "p").collect():
+        found.setdefault(r.q, set()).add(r.p)
+    d2 = ((at[:, None] - xy[None]) ** 2).sum(axis=2)
+    for i in range(len(at)):
+        assert set(np.flatnonzero(d2[i] <= np.sort(d2[i])[need - 1])) <= found[i]
+    assert np.mean([len(x) for x in found.values()]) <= 4 * need
+
+
 def test_equal_places_and_one_value(spark):
     rows = spark.createDataFrame([(i, [1.0, float(i % 2)], 1) for i in range(300)], "p long, x array<double>, w long")
     tree = nearest.build(rows, 2, leaf=16)
