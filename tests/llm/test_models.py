@@ -89,6 +89,31 @@ def test_ids_are_those_of_the_ranks(text):
     assert bytebpe.decode_bytes(ids, ENCODER.table) == text.encode()
 
 
+class Asked:
+    """The tokenizer with the texts that it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_library_is_asked_for_rows_of_words_once(monkeypatch):
+    """Words go to the library in rows, and those that come again aren't asked for when others are forgotten."""
+    monkeypatch.setattr(bytebpe, "CACHE_PIECES", 900)
+    e = bytebpe.Encoder(MODEL)
+    e.tokenizer = asked = Asked(e.tokenizer)
+    often = "".join(f" often{i} é{i}漢\u200b it's" for i in range(100))
+    for k in range(5):
+        text = f"start{often}" + "".join(f" word{k}x{i}\n \n" for i in range(300)) + " " + "z" * 100
+        asked.texts.clear()
+        assert np.frombuffer(e.encode([text, ""])[0], "<u4").tolist() == RANKS.encode_ordinary(text)
+        assert len(asked.texts) < 10 and any("often" in t for t in asked.texts) == (k == 0) and sum(len(t) for t in asked.texts) > 2000
+    assert e.before and len(e.known) <= 900
+
+
 def test_bpe_tables(spark):
     path, docs = P.path("byte_bpe_50k.json"), odd(spark)
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bytebpe.round_trip_digests(docs, path).collect()}
