@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.llm import langid, linecrf, packing, secrets, setjoin
-from dockflow.llm.shared import prepared, stage, table
+from dockflow.llm.shared import prepared, probably_in, stage, table
 
 LEAST_POSTERIOR = 0.5  # of a language, to keep a document
+OTHER_BITS = 24  # size of the bitmap of ids that don't stay once (2 MB), whatever the input
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +29,15 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: that with the smallest id, once. Documents without an id all stay.
 
     Of several rows with that id the smallest by content stays, whatever their order: the least of all columns, from left to right.
+    Texts of ids that stay once aren't shuffled: a bitmap holds the other ids, and a join decides on the few texts whose bit is set.
     """
     prepared(spark)
-    kept = stage(setjoin.similar_classes(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")), "pipeline-kept")
-    once = docs.join(kept.where("k = 1"), "doc_id", "left_semi").select(*docs.columns)
-    several = docs.join(kept.where("k > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return once.unionByName(several).unionByName(docs.where("doc_id is null"))
+    counts = setjoin.similar_classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("k"))
+    other = stage(counts.where("k <> 1"), "pipeline-other")
+    asked = probably_in(F.col("doc_id"), other, "doc_id", OTHER_BITS)
+    once = docs.where(asked).join(other, "doc_id", "left_anti").select(*docs.columns)
+    several = docs.where(asked).join(other.where("k > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return docs.where(~asked).unionByName(once).unionByName(several)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

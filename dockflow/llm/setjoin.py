@@ -263,11 +263,11 @@ def opened(pairs: DataFrame, similar: int) -> DataFrame:
                 own, union = np.frombuffer(r["own_tokens"], np.uint64), np.frombuffer(r["tokens"], np.uint64)
                 at = np.minimum(np.searchsorted(union, own), len(union) - 1)
                 hit = np.flatnonzero(union[at] == own)
-                p, q = (np.unpackbits(np.frombuffer(r[f"{side}bits"], np.uint8).reshape(len(r[f"{side}members"]), -1), axis=1, count=len(t)) for side, t in (("own_", own), ("", union)))
+                p, q = (_rows(r[f"{side}bits"], len(r[f"{side}members"]), len(t)) for side, t in (("own_", own), ("", union)))
                 p_size, q_size = p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64)
                 if (100 + similar) * len(hit) < similar * (p_size.min() + q_size.min()):
                     continue  # the bound: no two members can be similar
-                common = np.rint(p[:, hit].astype(np.float32) @ q[:, at[hit]].astype(np.float32).T).astype(np.int64)
+                common = _products(p[:, hit], q[:, at[hit]])
                 linked = set()
                 for i, j in np.argwhere((100 + similar) * common >= similar * (p_size[:, None] + q_size[None])).tolist():
                     ends = r["own_comps"][i], r["comps"][j]
@@ -287,39 +287,56 @@ def opened_links(docs: DataFrame, pairs: DataFrame, info: DataFrame, similar: in
     matrix = stage(matrices(sets), "setjoin-matrices")
     sized = plausible(pairs, matrix, similar)
     small, large = (F.when(F.col("own_size") <= F.col("size"), F.col(x)).otherwise(F.col(y)) for x, y in (("gid", "other"), ("other", "gid")))
-    own = matrix.toDF("gid", *(f"own_{c}" for c in matrix.columns[1:]))
-    return opened(sized.select(small.alias("gid"), large.alias("other")).join(own, "gid").join(matrix.withColumnRenamed("gid", "other"), "other").drop("gid", "other"), similar)
+    return opened(both_sides(sized.select(small.alias("gid"), large.alias("other")), matrix).drop("gid", "other"), similar)
 
 
 def plausible(pairs: DataFrame, matrix: DataFrame, similar: int) -> DataFrame:
-    """(gid, other, own_size, size): the pairs whose unions have enough tokens in common among those with the lowest hashes, a fixed share of all.
+    """(gid, other, own_size, size): the pairs with two members of different components that have enough tokens in common among those with
+    the lowest hashes, a fixed share of all.
 
-    Two members have no more in common than the unions have there and the smaller member has elsewhere, so no similar pair is lost; the
-    matrices of the others needn't be sent.
+    Two members have no more in common than they have there and the one with fewer tokens elsewhere has there, so no similar pair is lost;
+    the matrices of the others needn't be sent.
     """
     def light(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out = {"low": [], "least": [], "rest": [], "size": []}
+            out = {"low": [], "bits": [], "sizes": [], "rest": [], "size": []}
             for tokens, bits, members in zip(b.column("tokens").to_pylist(), b.column("bits").to_pylist(), b.column("members").to_pylist()):
                 t = np.frombuffer(tokens, np.uint64)
-                rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(members), -1), axis=1, count=len(t))
+                rows = _rows(bits, len(members), len(t))
                 k = int(np.searchsorted(t, LOW))
                 out["low"].append(tokens[:8 * k])
-                out["least"].append(int(rows.sum(axis=1, dtype=np.int64).min()))
-                out["rest"].append(int(rows[:, k:].sum(axis=1, dtype=np.int64).max()))
+                out["bits"].append(np.packbits(rows[:, :k], axis=1).tobytes())
+                out["sizes"].append(rows.sum(axis=1, dtype=np.int64))
+                out["rest"].append(rows[:, k:].sum(axis=1, dtype=np.int64))
                 out["size"].append(len(tokens) + len(bits))
-            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array(out["low"], pa.binary()), *(pa.array(out[c], pa.int64()) for c in ("least", "rest", "size"))], names=["gid", "low", "least", "rest", "size"])
+            kinds = {"low": pa.binary(), "bits": pa.binary(), "sizes": pa.list_(pa.int64()), "rest": pa.list_(pa.int64()), "size": pa.int64()}
+            yield pa.RecordBatch.from_pydict({"gid": b.column("gid"), "comps": b.column("comps"), **{c: pa.array(out[c], kind) for c, kind in kinds.items()}})
+
+    def could(r: dict) -> bool:
+        low, own = np.frombuffer(r["low"], np.uint64), np.frombuffer(r["own_low"], np.uint64)
+        _, at, own_at = np.intersect1d(low, own, assume_unique=True, return_indices=True)
+        p, q = _rows(r["own_bits"], len(r["own_comps"]), len(own))[:, own_at], _rows(r["bits"], len(r["comps"]), len(low))[:, at]
+        sizes, rest = np.add.outer(r["own_sizes"], r["sizes"]), np.minimum.outer(r["own_rest"], r["rest"])
+        apart = np.not_equal.outer(r["own_comps"], r["comps"])
+        return bool((apart & ((100 + similar) * (_products(p, q) + rest) >= similar * sizes)).any())
 
     def bound(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("own_low").to_pylist(), b.column("low").to_pylist())]
-            own_rest, rest, own_least, least = (b.column(c).to_numpy() for c in ("own_rest", "rest", "own_least", "least"))
-            keep = (100 + similar) * (np.array(common, np.int64) + np.minimum(own_rest, rest)) >= similar * (own_least + least)
-            yield b.select(["gid", "other", "own_size", "size"]).filter(pa.array(keep))
+            yield b.select(["gid", "other", "own_size", "size"]).filter(pa.array([could(r) for r in b.to_pylist()], pa.bool_()))
+
+    kinds = "gid long, comps array<long>, low binary, bits binary, sizes array<long>, rest array<long>, size long"
+    lights = stage(matrix.select("gid", "tokens", "bits", "members", "comps").mapInArrow(light, kinds), "setjoin-lights")
+    return stage(both_sides(pairs, lights).mapInArrow(bound, "gid long, other long, own_size long, size long"), "setjoin-plausible")
+
+
+def _rows(bits: bytes, members: int, tokens: int) -> np.ndarray:
+    """The rows of zeros and ones of a matrix."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8).reshape(members, -1), axis=1, count=tokens)
+
 
-    lights = stage(matrix.select("gid", "tokens", "bits", "members").mapInArrow(light, "gid long, low binary, least long, rest long, size long"), "setjoin-lights")
-    both = pairs.join(lights.toDF("gid", "own_low", "own_least", "own_rest", "own_size"), "gid").join(lights.withColumnRenamed("gid", "other"), "other")
-    return stage(both.select("gid", "other", "own_low", "own_least", "own_rest", "own_size", "low", "least", "rest", "size").mapInArrow(bound, "gid long, other long, own_size long, size long"), "setjoin-plausible")
+def _products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many ones each row of ``p`` has in common with each of ``q``."""
+    return np.rint(p.astype(np.float32) @ q.astype(np.float32).T).astype(np.int64)
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -350,7 +367,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     g = stage(x.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
                                            F.max((100 * F.col("n") - (100 + similar) * F.col("pos"))).alias("room")), "setjoin-unions")
     pairs = stage(group_pairs(g, similar), "setjoin-pairs")
-    all_links = stage(opened_links(known, pairs.select("gid", "other"), info, similar).unionByName(near), "setjoin-links")
+    all_links = stage(opened_links(known, pairs, info, similar).unionByName(near), "setjoin-links")
     whole = stage(components(all_links, "setjoin-second").select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "setjoin-components")
     of_class = c.select("cls", "rep").join(whole, "rep", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     return (s.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(stage(of_class, "setjoin-result"), "cls", "left")
@@ -358,7 +375,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def group_pairs(unions: DataFrame, similar: int) -> DataFrame:
-    """(gid, other, lo, hi, n_lo, n_hi): pairs of groups that may have similar members of different components; the last four are of ``other``.
+    """(gid, other): pairs of groups that may have similar members of different components.
 
     ``unions`` has a row for each token of a group's prefixes. Two similar sets have similar / (100 + similar) of their sizes' sum in common, so
     they already share one of the tokens before which each has no more than it may have for itself: its place is at most its size
@@ -367,15 +384,24 @@ def group_pairs(unions: DataFrame, similar: int) -> DataFrame:
     reach the bound.
     """
     columns = ["lo", "hi", "n_lo", "n_hi", "room"]
-    own, other = unions.toDF("token", "gid", *(f"own_{c}" for c in columns)), unions.withColumnRenamed("gid", "other")
-    apart = (F.col("lo") != F.col("own_lo")) | (F.col("hi") != F.col("own_hi")) | (F.col("lo") != F.col("hi"))
-    could = (F.col("gid") < F.col("other")) & apart & (100 * F.col("n_hi") >= similar * F.col("own_n_lo")) & (similar * F.col("n_lo") <= 100 * F.col("own_n_hi"))
-    early = (F.col("own_room") >= similar * F.col("n_lo")) & (F.col("room") >= similar * F.col("own_n_lo"))
-    met = own.join(other, "token").where(could & early).select("gid", "other").distinct()
-    of = stage(unions.groupBy("gid").agg(F.collect_set("token").alias("tokens"), *[f(c).alias(c) for f, c in zip((F.min, F.max, F.min, F.max), columns)]), "setjoin-group-unions")
-    both = met.join(of.toDF("gid", "own_tokens", *(f"own_{c}" for c in columns[:4])), "gid").join(of.withColumnRenamed("gid", "other"), "other")
-    bound = both.withColumn("shared", F.size(F.array_intersect("own_tokens", "tokens"))).where(within_bound(similar))
-    return bound.select("gid", "other", "lo", "hi", "n_lo", "n_hi")
+    own, its = unions.alias("own"), unions.alias("its")
+    apart = F.expr("its.lo <> own.lo or its.hi <> own.hi or its.lo <> its.hi")
+    could = F.expr(f"own.gid < its.gid and 100 * its.n_hi >= {similar} * own.n_lo and {similar} * its.n_lo <= 100 * own.n_hi") & apart
+    early = F.expr(f"own.room >= {similar} * its.n_lo and its.room >= {similar} * own.n_lo")
+    met = own.join(its, F.expr("own.token = its.token")).where(could & early).select(F.col("own.gid").alias("gid"), F.col("its.gid").alias("other")).distinct()
+    of = stage(unions.groupBy("gid").agg(F.collect_set("token").alias("tokens"), *[f(c).alias(c) for f, c in zip((F.min, F.max), columns[2:4])]), "setjoin-group-unions")
+    both = both_sides(met, of)
+    return both.withColumn("shared", F.size(F.array_intersect("own_tokens", "tokens"))).where(within_bound(similar)).select("gid", "other")
+
+
+def both_sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs (gid, other) with the columns of ``of`` for ``other`` and, named own_..., for ``gid``.
+
+    Columns get their names after the joins, so that both read the same shuffle of ``of``, which is written once.
+    """
+    columns = [c for c in of.columns if c != "gid"]
+    joined = pairs.alias("pairs").join(of.alias("own"), F.expr("pairs.gid = own.gid")).join(of.alias("its"), F.expr("pairs.other = its.gid"))
+    return joined.select("pairs.*", *[F.col(f"own.{c}").alias(f"own_{c}") for c in columns], *[F.col(f"its.{c}").alias(c) for c in columns])
 
 
 def within_bound(similar: int) -> Column:

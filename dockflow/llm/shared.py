@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.session import stage, stage_path  # noqa: F401  (the operators take both from here)
@@ -89,6 +89,20 @@ def in_bitmap(words: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
     return (words[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def probably_in(key: Column, ids: DataFrame, column: str, bits: int) -> Column:
+    """Whether the whole number ``key`` is, by its bit in a bitmap, one of ``ids``: true for all of them and few others, false for null.
+
+    Only the key goes to a Python worker, so rows with long texts are told apart without a shuffle; a join decides on those that are left.
+    """
+    share = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(F.col(column).cast("long")).alias("h")), "h", bits))
+
+    @F.arrow_udf("boolean")
+    def probe(h: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(share.value, h.to_numpy(zero_copy_only=False).astype(np.int64), bits))
+
+    return key.isNotNull() & probe(F.xxhash64(key.cast("long")))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, component), the component being its smallest node. Nodes without an edge aren't returned.
 

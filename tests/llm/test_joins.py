@@ -105,6 +105,79 @@ def test_join_cases(spark):
     assert setjoin.similar_classes(empty(spark)).count() == 0
 
 
+def subtrees(plan, sign):
+    """The parts of a printed plan that begin at a line with ``sign``, each with the lines below it."""
+    lines = plan.splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if sign in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_kept_texts_are_not_shuffled(spark, monkeypatch):
+    """Only texts whose id may be dropped or repeated reach a shuffle, whatever the size of the ids' table."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, text(i if i % 10 else 0)) for i in range(400)] + [(7, text("other")), (None, text(1))]
+    docs = shared.stage(spark.createDataFrame(rows, "doc_id long, text string"), "t")
+    monkeypatch.setattr(corpus_pipeline, "OTHER_BITS", 16)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.ngram_join(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted((str(i), t) for i, t in [(i, min(text(i), text("other")) if i == 7 else text(i)) for i in range(400) if i == 0 or i % 10] + [(None, text(1))])
+    moved = [x for x in subtrees(plan, "Exchange") if "text#" in x]
+    assert moved and all("ArrowEvalPython" in x for x in moved)
+
+
+def test_probably_in(spark):
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 100)], "i long")
+    keys = spark.createDataFrame([(i,) for i in range(3000)] + [(None,)], "k int")
+    got = {r.k for r in keys.where(shared.probably_in(F.col("k"), ids, "i", 20)).collect()}
+    assert {*range(0, 3000, 100)} <= got and len(got) < 40 and None not in got
+    assert keys.where(~shared.probably_in(F.col("k"), ids, "i", 20)).count() == 3001 - len(got)
+
+
+def matrix_of(*groups):
+    """Rows of ``setjoin.matrices``; a group is its members' (id, component, set)."""
+    out = []
+    for gid, members in enumerate(groups):
+        union = np.array(sorted(set().union(*(s for _, _, s in members))), np.uint64)
+        bits = np.packbits(np.array([[t in s for t in union.tolist()] for _, _, s in members], np.uint8), axis=1)
+        out.append((gid, bytearray(union.tobytes()), [m[0] for m in members], [m[1] for m in members], bytearray(bits.tobytes())))
+    return out
+
+
+def test_pairs_are_bounded_by_members(spark):
+    """Groups whose unions, but no two members of which, have enough in common don't move; those with a similar pair do."""
+    rng = random.Random(5)
+    a, b, c, d = (frozenset(rng.getrandbits(64) for _ in range(200)) for _ in range(4))
+    near = frozenset(sorted(a)[:195]) | frozenset(sorted(d)[:5])
+    mixed = [frozenset(sorted(x)[k::2]) for x in (a, b, c) for k in (0, 1)]  # halves: as a whole they have all tokens of a, b and c
+    groups = [[(1, 1, a), (2, 2, b), (3, 3, c)], [(10 + i, 10 + i, s) for i, s in enumerate(mixed)], [(20, 20, near), (21, 21, d)], [(30, 1, a)]]
+    matrix = spark.createDataFrame(matrix_of(*groups), "gid long, tokens binary, members array<long>, comps array<long>, bits binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "gid long, other long")
+    got = {(r.gid, r.other) for r in setjoin.plausible(pairs, matrix, 85).collect()}
+    assert got == {(0, 2)}
+
+
+def test_one_shuffle_serves_both_sides(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        of = shared.stage(spark.createDataFrame([(i, [i], i * 10) for i in range(50)], "gid long, x array<long>, y long"), "t")
+        pairs = shared.stage(spark.createDataFrame([(i, i + 1) for i in range(49)], "gid long, other long"), "t")
+        both = setjoin.both_sides(pairs, of)
+        assert sorted(map(tuple, both.collect())) == [(i, i + 1, [i], i * 10, [i + 1], i * 10 + 10) for i in range(49)]
+        assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = random.Random(2)
     for _ in range(300):
