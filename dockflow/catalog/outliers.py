@@ -82,7 +82,7 @@ VOTED = ["pickups", "temp", "prcp", "roll_mean_24h", "lag_24h"]
 
 @query("outlier_votes")
 def _(d: Data):
-    """Four methods on five columns of the complete grid: two rules, the forest, and the factors of a share."""
+    """Four methods on five columns of the complete grid: two rules, the forest, and the factors, all on every row."""
     rows = ft.feature_table(d.trips(), d.weather()).select("station_name", "time", *VOTED)
     return anomalies.four_votes(stage(rows, "voted"), "pickups", ["station_name", "time"], VOTED).drop(*VOTED[1:])
 

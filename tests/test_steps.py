@@ -80,3 +80,18 @@ def test_search_and_training_stage_their_rows_once(spark, tmp_path):
     with staging(spark) as folder:
         assert {r.model for r in training.train(rows, str(tmp_path / "job"), TINY).collect()} == {"boosted_deep", "forest", "ensemble"}
         assert "training-split" not in staged(folder)
+
+
+def test_votes_take_the_factors_of_all_rows(spark):
+    """No row is left out of the factors: flags are those of ``local_outlier_factor`` and ``isolation_forest`` on the whole table, equal rows included."""
+    rng = np.random.default_rng(8)
+    x = pd.DataFrame({"k": range(600), "a": rng.normal(size=600), "b": rng.normal(size=600)})
+    x.loc[500:, ["a", "b"]] = [0.5, 0.25]
+    x.loc[40:60, "b"] = None
+    df = spark.createDataFrame(x.replace({np.nan: None}))
+    out = anomalies.four_votes(df, "a", ["k"], ["a", "b"], trees=5).toPandas().set_index("k").sort_index()
+    factors = anomalies.local_outlier_factor(df, ["k"], ["a", "b"]).toPandas().set_index("k").sort_index()
+    forest = anomalies.isolation_forest(df, ["k"], ["a", "b"], trees=5).toPandas().set_index("k").sort_index()
+    assert len(out) == 600 and factors.lof.notna().all() and out.lof_outlier.sum() > 20
+    assert (out.lof_outlier == factors.lof_outlier).all()
+    assert (out.iso_outlier != forest.iso_outlier).sum() <= 1  # its edge is a value of a row, that of the votes lies between two
