@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from dockflow.catalog import load
+from dockflow.catalog import load, prediction
 from dockflow.operators import models
+from dockflow.operators.anomalies import four_votes
 from dockflow.operators.preparation import time_folds
 from dockflow.plans import training
 from dockflow.plans.forecast import forecast_models
@@ -67,3 +68,13 @@ def test_full_forest(spark, tmp_path):
     rows = features(spark, 100)
     model = models.forest(["hour", "lag_24h"]).fit(rows)
     assert model.stages[-1].getNumTrees == 300 and model.stages[-1].getMaxDepth() == 20
+
+
+def test_outliers_of_the_job_are_voted_on_all_rows(spark):
+    """By default the job removes what the four methods find on the whole table, the factor among all rows included."""
+    rows, wanted = features(spark), training.Sizes(isolation_trees=10, votes=1)
+    flags = four_votes(training.training_rows(rows).select("station_name", "time", F.col("pickups").cast("double").alias("pickups"), *training.VOTED[1:]),
+                       "pickups", training.KEY, training.VOTED, least=1, trees=10)
+    odd = flags.where("is_outlier = 1").count()
+    assert flags.where("lof_outlier = 1").count() > 0.03 * flags.count()
+    assert training.prepared(rows, wanted).count() == flags.count() - odd and training.Sizes().lof_share == prediction.TRIAL.lof_share == 1.0
