@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from dockflow.catalog import prediction
 from dockflow.operators import anomalies, models, series
 from dockflow.operators.preparation import time_folds
+from dockflow.operators.quantiles import aggregate
+from dockflow.operators.ranking import in_share
 from dockflow.plans import publish as publishing
 from dockflow.plans import training
 from dockflow.session import staging
@@ -95,3 +97,41 @@ def test_votes_take_the_factors_of_all_rows(spark):
     assert len(out) == 600 and factors.lof.notna().all() and out.lof_outlier.sum() > 20
     assert (out.lof_outlier == factors.lof_outlier).all()
     assert (out.iso_outlier != forest.iso_outlier).sum() <= 1  # its edge is a value of a row, that of the votes lies between two
+
+
+def read_staged(spark, folder, name):
+    return [spark.read.parquet(f"{folder}/{x}") for x in os.listdir(folder) if x.rsplit("-", 1)[0] == name]
+
+
+def test_search_assembles_rows_once_and_finds_a_rounds_rows_by_folder(spark):
+    """Features are staged as one vector with the round that first trains on a row, so no fit assembles or digests rows again."""
+    rows = time_folds(features(spark, 220).select("station_name", "time", "pickups", "hour", "lag_24h"), 2)
+    with staging(spark) as folder:
+        out = models.halving(rows, lambda **p: models.forest(["hour", "lag_24h"], **p), models.grid(maxDepth=[1, 2, 3], numTrees=[1]), ["station_name", "time"], folds=2)
+        assert [(r.rounds, r.share) for r in out.orderBy("rank").collect()] == [(3, 1.0), (2, 0.5), (1, 0.25)]
+        (kept,) = read_staged(spark, folder, "halving-folds")
+        assert set(kept.columns) == {"fold", "since", "pickups", "features"} and kept.count() == 440
+        for since, share in enumerate([0.25, 0.5, 1.0]):
+            assert kept.where(F.col("since") <= since).count() == rows.where(in_share(["station_name", "time"], share)).count()
+
+
+def test_training_and_forecast_assemble_rows_once(spark, tmp_path):
+    with staging(spark) as folder:
+        training.train(features(spark, 220), str(tmp_path / "job"), TINY)
+        (scaled,) = read_staged(spark, folder, "training-scaled")
+        assert scaled.columns == ["station_name", "time", "actual", "pickups", "is_train", "features"]
+    saved = training.load(spark, str(tmp_path / "job"))
+    rows = features(spark, 30).select("station_name", "time", *training.FEATURES)
+    got = {(r.station_name, r.time, r.model): r.predicted for r in models.predictions(rows, saved.models, ["station_name", "time"]).collect()}
+    want = {(r.station_name, r.time, name): r.predicted for name, model in saved.models.items() for r in model.transform(rows).collect()}
+    assert got == want and len(got) == 120
+    few = models.forest(["hour"], numTrees=2, maxDepth=2).fit(features(spark, 30))
+    mixed = models.predictions(rows, {**saved.models, "few": few}, ["station_name", "time"]).where("model = 'few'").collect()
+    assert {(r.station_name, r.time): r.predicted for r in mixed} == {(r.station_name, r.time): r.predicted for r in few.transform(rows).collect()}
+
+
+def test_many_aggregates_are_taken_a_few_at_a_time(spark):
+    df = spark.createDataFrame([(float(i), None if i % 3 else float(-i)) for i in range(9)], "a double, b double")
+    aggs = [F.sum("a").alias("s"), F.count("b").alias("n"), F.max("b").alias("m"), F.avg("a").alias("v"), F.min("b").alias("l")]
+    assert aggregate(df, aggs, 2).first().asDict() == df.agg(*aggs).first().asDict()
+    assert aggregate(df.limit(0), aggs, 2).first()["n"] == 0
